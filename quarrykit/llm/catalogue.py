@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import p8_tokenize
+from quarrykit.llm import p6_topn, p8_tokenize
 
-QUERIES: dict = {
-    "p8_ids": p8_tokenize.p8_ids,
-    "p8_token_counts": p8_tokenize.p8_token_counts,
-}
-SQL: dict = {}
+_MODULES = (p6_topn, p8_tokenize)
+
+#: Every function of the modules above that is named for a query.
+QUERIES: dict = {name: f for m in _MODULES for name, f in vars(m).items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
+SQL: dict = {name: sql for m in _MODULES for name, sql in getattr(m, "SQL", {}).items()}
