@@ -50,6 +50,7 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, bands: int =
     edges = band_edges(scored, score, bands)
     done: list[DataFrame] = []
     partial: DataFrame | None = None
+    filled: DataFrame | None = None
     for i in range(len(edges) + 1):
         keep: list[Column] = []
         if i:
@@ -58,10 +59,10 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, bands: int =
             keep.append(F.col(score) >= edges[i])
         band = scored.where(reduce(lambda a, b: a & b, keep)) if keep else scored
         if partial is not None:
-            filled = partial.where(F.col("rank") == n).select(group)
-            band = band.join(filled, group, "left_anti")
-            band = band.unionByName(partial.join(filled, group, "left_anti").drop("rank"))
-            done.append(partial.join(filled, group, "left_semi"))
+            full = partial.where(F.col("rank") == n).select(group)
+            filled = full if filled is None else filled.unionByName(full)
+            band = band.join(filled, group, "left_anti").unionByName(partial.join(full, group, "left_anti").drop("rank"))
+            done.append(partial.join(full, group, "left_semi"))
         ranked = _ranked(band, group, score, tie, n)
         partial = cut_lineage(ranked) if i < len(edges) else ranked
     done.append(partial)
