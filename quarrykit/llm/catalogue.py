@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import p3_split, p6_topn, p8_tokenize
+from quarrykit.llm import p3_split, p6_topn, p7_docpairs, p8_tokenize, p9_leaks
 
-_MODULES = (p3_split, p6_topn, p8_tokenize)
+_MODULES = (p3_split, p6_topn, p7_docpairs, p8_tokenize, p9_leaks)
 
 #: Every function of the modules above that is named for a query.
 QUERIES: dict = {name: f for m in _MODULES for name, f in vars(m).items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
