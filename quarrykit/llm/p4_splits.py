@@ -24,7 +24,7 @@ from quarrykit.runtime import cut_lineage, read_table
 
 SHARES = (("train", 0.8), ("valid", 0.1), ("test", 0.1))
 #: Groups up to this size are bundled by exact size, larger ones by powers of SIZE_STEP; steps of the label share.
-EXACT_SIZE, SIZE_STEP, PROFILE_STEPS = 12, 1.5, 4
+EXACT_SIZE, SIZE_STEP, PROFILE_STEPS = 12, 1.1, 4
 #: Bundles of at most this many groups are dealt by exact rank.
 FEW = 4096
 
