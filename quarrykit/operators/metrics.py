@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,20 +89,24 @@ def within_tolerance(a: Column, b: Column, tolerance: float = 1e-3) -> Column:
     return F.coalesce(F.abs(a.try_cast("double") - b.try_cast("double")) < tolerance, F.lit(False))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\u0001"))).otherwise(F.array().cast("array<string>"))
-
-
-def sentence_bleu(reference: Column, hypothesis: Column, order: int = 4) -> Column:
-    """Smoothed sentence BLEU of token arrays: clipped n-gram counts, add-one smoothing beyond unigrams, brevity min(0, 1 - (r+1)/(h+1))."""
-    logs = []
+def bleu(reference: list[str], hypothesis: list[str], order: int = 4) -> float:
+    """Smoothed sentence BLEU of token lists: clipped n-gram counts, add-one smoothing beyond unigrams, brevity min(0, 1 - (r+1)/(h+1)); 0 to 1."""
+    total = 0.0
     for n in range(1, order + 1):
-        h, r = ngrams(hypothesis, n), ngrams(reference, n)
-        hit = F.aggregate(F.array_distinct(h), F.lit(0), lambda acc, g, h=h, r=r: acc + F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g))))
-        add = 0 if n == 1 else 1
-        logs.append(F.log((hit + add) / (F.greatest(F.size(hypothesis) - n + 1, F.lit(0)) + add)))
-    total = logs[0]
-    for x in logs[1:]:
-        total = total + x
-    brevity = F.least(F.lit(0.0), 1 - (F.size(reference) + 1) / (F.size(hypothesis) + 1))
-    return F.coalesce(F.exp(total / order + brevity), F.lit(0.0))
+        h = Counter(zip(*(hypothesis[i:] for i in range(n))))
+        r = Counter(zip(*(reference[i:] for i in range(n))))
+        add = n > 1
+        hit, all_ = (h & r).total() + add, h.total() + add
+        if not hit or not all_:
+            return 0.0
+        total += math.log(hit / all_)
+    return math.exp(total / order + min(0.0, 1 - (len(reference) + 1) / (len(hypothesis) + 1)))
+
+
+def sentence_bleu(reference: Column, hypothesis: Column) -> Column:
+    """BLEU of token arrays in Arrow batches; n-gram counts inside a lambda would cost the square of a text's length."""
+    @F.pandas_udf("double")
+    def run(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+        return pd.Series([bleu(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(reference, hypothesis)], dtype="float64")
+
+    return run(reference, hypothesis)
