@@ -21,6 +21,7 @@ import textwrap
 import warnings
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,7 @@ FENCED = re.compile(r"^[ \t]*(?:```|~~~)([^\n`]*)\n(.*?)(?:^[ \t]*(?:```|~~~)[ \
 CODE_LINE = re.compile(
     r"^(?:\s+\S|(?:async\s+)?def\s|class\s|@\w|import\s|from\s+\S+\s+import|return\b|if\s.*:|for\s.*:|while\s.*:|with\s.*:|try:|else:|elif\s|except\b|#|[\w.\[\]\"', *()]+\s[-+*/%|&]?=\s|\w[\w.]*\(.*\)?$|del\s|assert\s|raise\s|pass$|\)|\]|\}|\"\"\"|''')"
 )
+QUOTED, PARAGRAPH, WORDS = re.compile(r"^[ \t]*>+ ?", re.M), re.compile(r"\n\s*\n"), re.compile(r"\w+")
 BLANK = re.compile(r"[\s​‌‍⁠﻿]+")
 #: Answers that hold a place only.
 HOLDER = re.compile(
@@ -77,6 +79,8 @@ OTHER_CODE = (
     re.compile(r"[{};]\s*$"), re.compile(r"^\s*(?:function\b|var\s|let\s|const\s|public\s|private\s|static\s|fn\s|pub\s|func\s|package\s|impl\s|struct\s|enum\s|interface\s|#include|using\s|namespace\s|template\s*<|int\s+\w+\s*[=(]|void\s|std::|SELECT\s|fun\s|val\s|sub\s|my\s|local\s|echo\s)"),
     re.compile(r":=|=>|->\s*\w+[<>\w]*\s*\{|::|\bnil\b|&&|\|\||!==?|===|\|\w+\||\$\w+|\.(?:unwrap|iter|collect|push|size|map|filter)\("), re.compile(r"^\s*(?:end|fi|done|esac)\s*$"), re.compile(r"^\s*def\s+\w+[!?]?(?:\([^)]*\))?\s*$"),
 )
+OTHER_ANY = re.compile("|".join(f"(?:{p.pattern})" for p in OTHER_CODE))
+OTHER_HEAD = re.compile("|".join(f"(?:{OTHER_CODE[i].pattern})" for i in (1, 3, 4)))
 KEYWORDS = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False".split())
 TOKEN = re.compile(r"\n|[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 
@@ -129,7 +133,7 @@ def fit_languages(rows: list[tuple[str, str]]) -> np.ndarray:
 
 def posterior(model: np.ndarray, text: str) -> np.ndarray | None:
     """Mean log-likelihood of the text's n-grams under each language; None if it has too few letters."""
-    letters = sum(c.isalpha() for c in text)
+    letters = sum(map(str.isalpha, text))
     cjk = len(CJK.findall(text))
     if letters < LETTERS and cjk < 4:
         return None
@@ -165,6 +169,7 @@ def _parse(code: str) -> SyntaxError | None:
     return None
 
 
+@lru_cache(maxsize=16)
 def code_state(code: str) -> str:
     """`whole` if Python parses it (as a module or as the body of a function), `open` if it breaks off at its end, else `broken`."""
     code = code.replace("\r\n", "\n").strip("\n").rstrip()
@@ -195,13 +200,24 @@ def code_state(code: str) -> str:
 
 def squeeze(text: str) -> str:
     """For comparison: no quote marks, fences or white space, lower case."""
-    text = re.sub(r"^[ \t]*>+ ?", "", text, flags=re.M)
-    return BLANK.sub("", FENCE.sub("", text)).lower()
+    if ">" in text:
+        text = QUOTED.sub("", text)
+    if "```" in text or "~~~" in text:
+        text = FENCE.sub("", text)
+    return BLANK.sub("", "".join(text.split())).lower()
+
+
+@lru_cache(maxsize=64)
+def prompt_parts(prompt: str) -> tuple[str, frozenset[str]]:
+    """A prompt squeezed, and its paragraphs and first line squeezed; answers of one prompt come many in a row."""
+    return squeeze(prompt), frozenset({squeeze(x) for x in PARAGRAPH.split(prompt)} | {squeeze(prompt.split("\n", 1)[0])})
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if sum(map(str.isalnum, answer[:2000])) > 260:
+        return False
     text = BLANK.sub(" ", FENCE.sub("", answer)).strip()
     if not text:
         return True
@@ -239,14 +255,14 @@ def is_copy(answer: str, prompt: str | None) -> bool:
     """Repeats the prompt or a whole part of it and adds nothing."""
     if not prompt:
         return False
-    a, p = squeeze(answer), squeeze(prompt)
+    a = squeeze(answer)
+    p, parts = prompt_parts(prompt)
     if a.endswith(("pass", "...")) and len(a) > 40:
         a = a.removesuffix("pass").removesuffix("...")
     if not a:
         return False
     if a == p:
         return True
-    parts = {squeeze(x) for x in re.split(r"\n\s*\n", prompt)} | {squeeze(prompt.split("\n")[0])}
     if len(a) >= 12 and a in parts:
         return True
     if a in p:
@@ -260,9 +276,8 @@ def is_other_code(answer: str) -> bool:
     lines = [x for x in code.split("\n") if x.strip()]
     if not lines:
         return False
-    hits = sum(any(p.search(x) for p in OTHER_CODE) for x in lines)
-    heads = sum(bool(OTHER_CODE[1].search(x) or OTHER_CODE[3].search(x) or OTHER_CODE[4].search(x)) for x in lines)
-    if hits < max(2, 0.4 * len(lines)) or not heads:
+    hits = sum(OTHER_ANY.search(x) is not None for x in lines)
+    if hits < max(2, 0.4 * len(lines)) or not any(OTHER_HEAD.search(x) for x in lines):
         return False
     return code_state(code) != "whole"
 
@@ -292,12 +307,12 @@ def is_truncated(answer: str, prompt: str | None, ends: dict[tuple[str, ...], tu
             tail = code.rstrip().split("\n")[-1].strip()
             name = re.search(r"([^\W\d]\w*)$", tail)
             if not tail.startswith(("return", "raise", "yield", "#", "pass", "break", "continue")) and name and not tail.endswith((")", "]", "}", "\"", "'")):
-                return len(re.findall(rf"\b{re.escape(name.group(1))}\b", (prompt or "") + "\n" + code)) < 2
+                return WORDS.findall((prompt or "") + "\n" + code).count(name.group(1)) < 2
         if state == "whole":
             tail = code.rstrip().split("\n")[-1].strip()
             m = re.fullmatch(r"return ([^\W\d]\w*)", tail)
             if m and m.group(1) not in ("None", "True", "False", "self"):
-                return len(re.findall(rf"\b{re.escape(m.group(1))}\b", (prompt or "") + "\n" + code)) < 2
+                return WORDS.findall((prompt or "") + "\n" + code).count(m.group(1)) < 2
             if tail.startswith(("def ", "@", "if ", "for ")):
                 return True
         return False
@@ -378,7 +393,10 @@ def defects(generation: DataFrame, runs: DataFrame) -> DataFrame:
     """(src, task_id, answer_no, defect) of each defective answer."""
     spark = generation.sparkSession
     prompts = generation.select(F.col("task_id").cast("string").alias("task_id"), "prompt").dropDuplicates(["task_id"])
-    each = cut_lineage(spread(answers(generation, runs).join(prompts, "task_id", "left")))
+    # answers of a prompt come together, so that what is worked out for the prompt serves them all; a task of very many answers is
+    # dealt out by answer number, sixteen at a time
+    a = answers(generation, runs).withColumn("block", F.floor(F.col("answer_no") / 16))
+    each = cut_lineage(spread(a.join(prompts, "task_id", "left"), "task_id", "block").sortWithinPartitions("task_id"))
     model = fit_languages(sample_languages(prompts, each))
     shared = spark.sparkContext.broadcast((model, end_counts(each)))
 
@@ -389,7 +407,7 @@ def defects(generation: DataFrame, runs: DataFrame) -> DataFrame:
             found = []
             for a, p in zip(pdf.answer, pdf.prompt):
                 if p is not None and p not in known:
-                    if len(known) > 5000:
+                    if len(known) > 64:
                         known.clear()
                     known[p] = posterior(model, natural_text(p))
                 found.append(defect(a, p, model, ends, known.get(p) if p is not None else None))
