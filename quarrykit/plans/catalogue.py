@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrykit.plans import evaluation_queries, graph_queries, retrieval_queries
+from quarrykit.plans import evaluation_queries, graph_queries, retrieval_queries, table_queries
 
-_MODULES = (retrieval_queries, graph_queries, evaluation_queries)
+_MODULES = (retrieval_queries, graph_queries, evaluation_queries, table_queries)
 
 
 def _queries(module) -> dict:
