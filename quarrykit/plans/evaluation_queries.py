@@ -292,3 +292,13 @@ SELECT repo, target_id, round(len(list_intersect(ref, coalesce(pred, []))) / len
     "order_parts_rollup": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 }
 SQL = {k: v for k, v in SQL.items() if v}
+
+
+#: Columns whose type differs in SQL by default, cast to the query's.
+_TYPES = {
+    "pass_at_k_by_model": {"num_correct": "BIGINT"},
+    "positional_join": {"place": "INTEGER"},
+    "stop_token_truncate": {"answer_no": "INTEGER"},
+}
+for _name, _types in _TYPES.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _types.items())}) FROM ({SQL[_name]})"

@@ -260,3 +260,15 @@ z AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || pair_
 SELECT repo, {LABEL.format('n')} || ' ' || n AS line FROM n UNION ALL SELECT DISTINCT repo, {LABEL.format('id')} || ' ' || {LABEL.format('dst_id')} || ' ' || kind FROM e""",
     "modules": "SELECT DISTINCT file_no, repo, replace(regexp_replace(regexp_replace(relative_path, '\\.py$', ''), '/__init__$', ''), '/', '.') AS module FROM source_file WHERE relative_path IS NOT NULL AND len(list_filter(string_split(relative_path, '/'), lambda p: (starts_with(p, '.') AND p <> '.' AND p <> '..') OR p IN ('myenv', 'venv'))) = 0",
 }
+
+
+#: Columns whose type differs in SQL by default, cast to the query's.
+_TYPES = {
+    "call_edges": {"ord": "INTEGER"},
+    "edge_outdegree_groups": {"degree": "INTEGER"},
+    "random_per_group": {"degree": "INTEGER"},
+    "candidate_join_dedup": {"ord": "INTEGER"},
+    "training_pairs": {"ord": "INTEGER"},
+}
+for _name, _types in _TYPES.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _types.items())}) FROM ({SQL[_name]})"

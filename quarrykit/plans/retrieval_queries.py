@@ -256,3 +256,13 @@ SELECT task_id, md5(text) AS prompt_md5, length(text) AS chars FROM t""",
     "prompt_chunks": f"""WITH {WBM}, x AS (SELECT top.repo, string_agg('##CHUNK ' || rank || chr(10) || context, chr(10) ORDER BY rank) AS body FROM top JOIN cw USING (window_no) GROUP BY top.repo)
 SELECT repo, md5(body || chr(10) || '#CURRENT FILE: ' || target || chr(10) || query) AS prompt_md5 FROM x JOIN a USING (repo)""",
 }
+
+
+#: Columns whose type differs in SQL by default, cast to the query's.
+_TYPES = {
+    "line_windows": {"line_no": "INTEGER", "start_line_no": "INTEGER", "end_line_no": "INTEGER"},
+    "current_file_windows": {"line_no": "INTEGER", "start_line_no": "INTEGER", "end_line_no": "INTEGER"},
+    "merged_windows": {"line_no": "INTEGER"},
+}
+for _name, _types in _TYPES.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _types.items())}) FROM ({SQL[_name]})"

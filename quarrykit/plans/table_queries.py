@@ -172,3 +172,11 @@ SELECT CASE WHEN starts_with(d, k || '.') THEN 'intra_class' WHEN starts_with(d,
     "short_prompts": "SELECT DISTINCT task_id FROM generation WHERE prompt IS NOT NULL AND len(list_filter(string_split_regex(prompt, '[ \\t\\n\\f\\r]+'), lambda t: t <> '')) < 120",
     "set_operations": "WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id, 'purchase, no error' AS kind FROM e WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'error') UNION ALL SELECT user_id, 'purchase and signup' FROM e WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM e WHERE event_type = 'signup')",
 }
+
+
+#: Columns whose type differs in SQL by default, cast to the query's.
+_TYPES = {
+    "model_math": {"greatest": "BIGINT"},
+}
+for _name, _types in _TYPES.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _types.items())}) FROM ({SQL[_name]})"
