@@ -22,15 +22,17 @@ QUERY_BLOCK = 4096
 
 
 def term_counts(docs: DataFrame, task: str, doc: str, text: str) -> DataFrame:
-    """(task, doc, term, tf): counts of every term; documents without terms give no row."""
-    return docs.select(task, doc, F.explode(tokens(F.col(text))).alias("term")).groupBy(task, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(task, doc, dl, term, tf): counts of every term, with the document's length; documents without terms give no row."""
+    split = docs.select(task, doc, tokens(F.col(text)).alias("_ts")).select(task, doc, F.size("_ts").alias("dl"), F.explode("_ts").alias("term"))
+    return split.groupBy(task, doc, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf_table(tf: DataFrame, sizes: DataFrame, task: str) -> DataFrame:
     """(task, term, idf): ln(N - n + 1/2) - ln(n + 1/2), a negative one becoming EPSILON times the task's mean idf.
 
-    sizes: (task, n_docs, avgdl). The mean is a second aggregate over the task's vocabulary, not a cross join."""
-    df = tf.groupBy(task, "term").agg(F.count(F.lit(1)).alias("df"))
+    sizes: (task, n_docs, avgdl). The mean is a second aggregate over the task's vocabulary, not a cross join. Occurrences are summed
+    and asked for, which keeps the plan of `tf` the same here and where it is scored, so that its shuffle is reused."""
+    df = tf.groupBy(task, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest")).where("cf > 0 and longest > 0").drop("cf", "longest")
     raw = df.join(sizes, task).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(task).agg(F.avg("raw").alias("mean_idf"))
     return raw.join(mean, task).select(task, "term", "df", "raw", "mean_idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -49,12 +51,9 @@ def bm25(docs: DataFrame, queries: DataFrame, task: str, doc: str, text: str, qu
     sizes = corpus_sizes(docs, task, text)
     idf = idf_table(tf, sizes, task)
     q = queries.select(task, F.explode(tokens(F.col(query))).alias("term")).groupBy(task, "term").agg(F.count(F.lit(1)).alias("qn"))
-    weight = q.join(idf.select(task, "term", "idf"), [task, "term"]).select(task, "term", (F.col("qn") * F.col("idf")).alias("w"))
-    length = docs.select(task, doc, F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("dl"))
-    hit = tf.join(weight, [task, "term"])
-    scored = hit.join(length, [task, doc]).join(sizes, task)
+    weight = q.join(idf.select(task, "term", "idf"), [task, "term"]).join(sizes.select(task, "avgdl"), task).select(task, "term", (F.col("qn") * F.col("idf")).alias("w"), "avgdl")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    got = scored.groupBy(task, doc).agg(F.sum(part).alias("score"))
+    got = tf.join(weight, [task, "term"]).groupBy(task, doc).agg(F.sum(part).alias("score"))
     return docs.select(task, doc).join(queries.select(task).dropDuplicates(), task, "left_semi").join(got, [task, doc], "left").select(task, doc, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions.text import lines
 from quarrykit.operators import retrieval as R
 from quarrykit.operators import windows as W
-from quarrykit.runtime import cut_lineage, read_table
+from quarrykit.runtime import cut_lineage, read_table, spread
 
 #: SQL of the shared table expressions.
 COMPONENT_ONCE = "comp AS (SELECT id, arg_min(source_code, comp_no) AS source_code, arg_min(repo, comp_no) AS repo FROM component WHERE id IS NOT NULL GROUP BY id)"
@@ -44,7 +44,7 @@ def _task_docs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     docs, q = _task_docs(spark, sf)
-    docs = cut_lineage(docs)
+    docs = cut_lineage(spread(docs))  # small tables would be coalesced into one part, and tokens are many
     return R.bm25(docs, q, "task_id", "cand_no", "text", "prompt").withColumn("score", F.round("score", 6))
 
 
@@ -162,7 +162,7 @@ def window_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     a = cut_lineage(_anchor(spark, sf))
     w = read_table(spark, sf, "code_window").where("context is not null").dropDuplicates(["window_no"]).withColumn("repo", F.col("metadata")[0]["repo"])
     w = R.in_scope(w.join(a.select("repo", "target"), "repo"), "metadata", F.col("target"), None).select("repo", "window_no", "context")
-    s = R.bm25(cut_lineage(w), a, "repo", "window_no", "context", "query").withColumn("score", F.round("score", 6))
+    s = R.bm25(cut_lineage(spread(w)), a, "repo", "window_no", "context", "query").withColumn("score", F.round("score", 6))
     return R.top_k(s, "repo", "score", 10, "window_no").select("repo", "window_no", "score", "rank")
 
 
