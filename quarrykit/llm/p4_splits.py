@@ -122,7 +122,7 @@ def allocate(bundles: list[tuple[int, int, int, int]], shares: tuple[tuple[str,
         want = [flow[where[i, s]] + carry[s] for s in range(k)]
         got = [max(0, int(w // size)) for w in want]
         while sum(got) > groups:
-            s = max(range(k), key=lambda s: got[s] * size - want[s])
+            s = max((s for s in range(k) if got[s] > 0), key=lambda s: got[s] * size - want[s])
             got[s] -= 1
         while sum(got) < groups:
             s = max(range(k), key=lambda s: want[s] - got[s] * size)

@@ -95,6 +95,17 @@ def test_allocation_meets_quotas():
     assert all(sum(g) == b[2] for g, b in zip(got, bundles))
 
 
+def test_allocation_around_a_giant():
+    for order in (1, -1):
+        bundles = [(2, 1200, 1, 1200), (2, 36, 1, 36), (1, 32, 1, 32), (2, 9, 300, 2700), (1, 8, 500, 4000), (0, 1, 900, 900)][::order]
+        got = p4.allocate(bundles)
+        total = sum(b[3] for b in bundles)
+        assert all(x >= 0 for g in got for x in g) and all(sum(g) == b[2] for g, b in zip(got, bundles))
+        for s, (_, share) in enumerate(p4.SHARES):
+            held = sum(g[s] * b[1] for g, b in zip(got, bundles))
+            assert abs(held - share * total) <= max(12, 1200 - share * total if any(g[s] and b[1] == 1200 for g, b in zip(got, bundles)) else 12)
+
+
 def test_min_cost_flow():
     # two ways of cost 1 and 3, capacity 2 and 5
     assert p4.min_cost_flow(4, [(0, 1, 2, 1), (0, 2, 5, 3), (1, 3, 9, 0), (2, 3, 4, 0)], 0, 3) == [2, 4, 2, 4]
