@@ -1,12 +1,15 @@
-"""Same or near-same records across splits, by content-defined chunks.
+"""Same or near-same records across splits, by the word n-grams of the exact check itself.
 
 Both parts of a record, description and code, are normalised (case, layout, comments, quotes and articles go; local names of code
-become one name) and reduced to classes of equal normal form. Within each part, every class is cut into chunks where a rolling hash
-of its words says so, so an edit changes the chunks it touches and no others. Chunk digests are joined across splits on each
-class's rarest chunks - those that make up more than 1 - LEAST of its length, so a pair of classes that shares a share LEAST of
-its length meets in one of them for certain, and common chunks never meet. Shared chunk lengths are then summed over all chunks
-into overlap fractions, and pairs above LEAST are checked exactly on word n-grams. Records follow by joins on class pairs: a class
-of very many records costs one row here.
+become one name) and reduced to classes of equal normal form. A class's chunks are its word n-grams, one that ends at every word:
+chunks cut apart by content lose pairs of short texts, where one changed word voids a chunk of twelve. Whatever `near_same` accepts
+has a Jaccard similarity of n-grams of at least half of SIMILAR, so the classes of such a pair share that part of each one's
+n-grams and meet, for certain, in one of each class's rarest n-grams (prefix filter). Their common n-grams are counted there, and a
+pair that can't reach the similarity any more is left out before texts are read; the others are checked exactly.
+
+Codes matter only where the descriptions are near-same: the codes of a pair of description classes are checked with each other,
+or, if those are more than HOT pairs, meet on n-grams as descriptions do. Both ways are exact. Records follow by joins on class
+pairs: a class of very many records costs one row here.
 
 Defined cases: null, blank and placeholder descriptions and null or blank code are no text and overlap with nothing; labels play no
 part; repeated rows count once; split names are compared in lower case; a split other than train, valid or test is passed over."""
@@ -23,14 +26,14 @@ from pyspark.sql import functions as F
 
 from quarrykit.runtime import cut_lineage, read_table, spread
 
-#: Least overlap fraction of a candidate pair, of the longer of the two.
-LEAST = {"description": 0.3, "code": 0.3}
-#: Mean words of a chunk.
-CHUNK = {"description": 3, "code": 8}
 #: Exact check: word n-gram size, least Jaccard similarity, least share of equal words in order.
 GRAM = {"description": 3, "code": 4}
 SIMILAR = {"description": 0.5, "code": 0.42}
 IN_ORDER = {"description": 0.84, "code": 0.8}
+#: Pairs of codes under one pair of descriptions from which they meet on n-grams; results don't hang on it.
+HOT = 4096
+#: For bounds worked out in floating point: less than any step between fractions of words.
+SLACK = 1e-9
 PLACEHOLDER = re.compile(r"(?i)\W*(?:docstring|todo|fixme|none|null|n/?a|tbd|xxx)?\W*")
 WORD = re.compile(r"\w+")
 CODE = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*|[^\W\d]\w*|\d[\w.]*|[^\w\s]", re.S)
@@ -64,18 +67,6 @@ def code_words(text: str | None) -> list[str]:
     return out
 
 
-def chunks(words: list[str], mean: int) -> list[tuple[int, int]]:
-    """(digest, words) of each chunk: a chunk ends after a word whose hash with the one before is 0 modulo `mean`."""
-    out, at = [], 0
-    for i in range(len(words)):
-        end = xxhash.xxh32_intdigest(words[i] if i == 0 else words[i - 1] + " " + words[i]) % mean == 0 if mean > 4 else xxhash.xxh32_intdigest(words[i]) % mean == 0
-        if end or i - at >= 4 * mean or i == len(words) - 1:
-            digest = xxhash.xxh64_intdigest(" ".join(words[at : i + 1]))
-            out.append((digest - (1 << 63), i + 1 - at))
-            at = i + 1
-    return out
-
-
 def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
@@ -122,42 +113,66 @@ def _classes(records: DataFrame) -> DataFrame:
     return spread(rows).mapInPandas(run, "pair_no bigint, split string, repo string, d bigint, c bigint, dw string, cw string").dropDuplicates(["pair_no"])
 
 
+def _near(pairs: DataFrame, part: str) -> DataFrame:
+    """(e, t) of the pairs (e, t, ew, tw) whose words are near-same."""
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [near_same(a.split(" "), b.split(" "), part) for a, b in zip(pdf.ew, pdf.tw)]
+            yield pdf.loc[ok, ["e", "t"]]
+
+    return pairs.select("e", "t", "ew", "tw").mapInPandas(check, "e bigint, t bigint")
+
+
 def class_pairs(recs: DataFrame, key: str, words: str, part: str) -> DataFrame:
     """(key of an evaluation class, key of a train class) of each pair of near-same classes across the splits."""
     train = (F.col("split") == "train").cast("int")
     classes = recs.groupBy(key).agg(F.first(words).alias("w"), F.max(train).alias("in_train"), F.min(train).alias("all_train"))
     same = classes.where("in_train = 1 and all_train = 0").select(F.col(key).alias("e"), F.col(key).alias("t"))
-    mean = CHUNK[part]
+    strong, weak = SIMILAR[part], 0.5 * SIMILAR[part]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [chunks(w.split(" "), mean) for w in pdf.w]
-            yield pd.DataFrame({"k": pdf.k, "w": pdf.w, "in_train": pdf.in_train, "all_train": pdf.all_train, "digest": [[x for x, _ in g] for g in got], "n": [[n for _, n in g] for g in got]})
+            split = [w.split(" ") for w in pdf.w]
+            got = [list({xxhash.xxh64_intdigest(" ".join(g)) - (1 << 63) for g in grams(w, GRAM[part])}) for w in split]
+            yield pd.DataFrame({"k": pdf.k, "w": pdf.w, "in_train": pdf.in_train, "all_train": pdf.all_train, "words": [len(w) for w in split], "size": [len(g) for g in got], "gram": got})
 
     cutted = cut_lineage(classes.withColumnRenamed(key, "k").select("k", "w", "in_train", "all_train").mapInPandas(
-        cut, "k bigint, w string, in_train int, all_train int, digest array<bigint>, n array<int>"))
-    each = cutted.select("k", "in_train", "all_train", F.explode(F.arrays_zip("digest", "n")).alias("x")).select("k", "in_train", "all_train", F.col("x.digest").alias("digest"), F.col("x.n").alias("n"))
-    freq = each.groupBy("digest").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.min("all_train").alias("a"))
-    # a chunk that stands on one side only can't be shared across the splits; it still counts in lengths
-    ranked = each.join(freq, "digest")
-    by_class = Window.partitionBy("k").orderBy("df", "digest")
-    ranked = ranked.withColumn("before", F.coalesce(F.sum("n").over(by_class.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("k")))
-    prefix = ranked.where((F.col("before") <= (1 - LEAST[part]) * F.col("all")) & (F.col("t") == 1) & (F.col("a") == 0)).select("k", "digest", "in_train", "all_train")
-    left = prefix.where("all_train = 0").select(F.col("k").alias("e"), "digest")
-    right = prefix.where("in_train = 1").select(F.col("k").alias("t"), "digest")
-    met = left.join(right, "digest").where("e <> t").select("e", "t").dropDuplicates()
-    side = cutted.select("k", "w", "digest", "n")
-    pair = met.join(side.toDF("e", "ew", "ed", "en"), "e").join(side.toDF("t", "tw", "td", "tn"), "t")
-    shared = F.aggregate(F.filter(F.arrays_zip("ed", "en"), lambda x: F.array_contains("td", x["ed"])), F.lit(0), lambda acc, x: acc + x["en"])
-    longer = F.greatest(F.aggregate("en", F.lit(0), lambda a, x: a + x), F.aggregate("tn", F.lit(0), lambda a, x: a + x))
-    near = pair.withColumn("overlap", shared / longer).where(F.col("overlap") >= LEAST[part]).select("e", "t", "ew", "tw")
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok = [near_same(a.split(" "), b.split(" "), part) for a, b in zip(pdf.ew, pdf.tw)]
-            yield pdf.loc[ok, ["e", "t"]]
-
-    return near.mapInPandas(check, "e bigint, t bigint").unionByName(same)
+        cut, "k bigint, w string, in_train int, all_train int, words int, size int, gram array<bigint>"))
+    each = cutted.select("k", "in_train", "all_train", "words", "size", F.explode("gram").alias("gram"))
+    # an n-gram that stands on one side only can't be shared across the splits; it still counts in the size
+    freq = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.min("all_train").alias("a")).where("df > 1 and t = 1 and a = 0").select("gram", "df")
+    of_class = Window.partitionBy("k")
+    ranked = each.join(freq, "gram").withColumn("held", F.count(F.lit(1)).over(of_class)).withColumn("place", F.row_number().over(of_class.orderBy("df", "gram")))
+    # of the n-grams shared with a near-same class, the rarest is followed by all the others: it stands among the first held - least + 1 of both
+    ahead = F.col("held") - F.ceil(weak * F.col("size") - SLACK) + 1
+    prefix = ranked.where(F.col("place") <= ahead).withColumn("rest", F.col("held") - ahead)
+    facts = F.struct("words", "size", "rest")
+    left = prefix.where("all_train = 0").select(F.col("k").alias("e"), "gram", facts.alias("ef"))
+    right = prefix.where("in_train = 1").select(F.col("k").alias("t"), "gram", facts.alias("tf"))
+    met = left.join(right, "gram").where("e <> t").groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.first("ef").alias("ef"), F.first("tf").alias("tf"))
+    # shared n-grams outside both prefixes lie behind one of them; texts of lengths too far apart can't be equal in order
+    most = F.col("n") + F.greatest("ef.rest", "tf.rest")
+    in_order_too = F.least("ef.words", "tf.words") >= IN_ORDER[part] * F.greatest("ef.words", "tf.words") - SLACK
+    least = F.when(in_order_too, weak / (1 + weak)).otherwise(strong / (1 + strong)) * (F.col("ef.size") + F.col("tf.size"))
+    met = met.where(most >= least - SLACK).select("e", "t")
+    side = cutted.select("k", "w")
+    return _near(met.join(side.toDF("e", "ew"), "e").join(side.toDF("t", "tw"), "t"), part).unionByName(same)
+
+
+def code_pairs(eval_side: DataFrame, train_side: DataFrame, dp: DataFrame) -> DataFrame:
+    """(c, c2) of each pair of near-same codes under a pair (d, d2) of descriptions; pairs from hot descriptions may be of others, too."""
+    e, t = eval_side.select("d", "c").dropDuplicates(), train_side.select(F.col("d").alias("d2"), F.col("c").alias("c2")).dropDuplicates()
+    load = dp.join(e.groupBy("d").agg(F.count(F.lit(1)).alias("ne")), "d").join(t.groupBy("d2").agg(F.count(F.lit(1)).alias("nt")), "d2")
+    load = cut_lineage(load.withColumn("hot", F.col("ne") * F.col("nt") > HOT).select("d", "d2", "hot"))
+    direct = cut_lineage(load.where("not hot").join(e, "d").join(t, "d2").select("c", "c2").dropDuplicates())
+    ew, tw = (side.select("c", "cw").dropDuplicates(["c"]) for side in (eval_side, train_side))
+    near = _near(direct.where("c <> c2").join(ew.toDF("c", "ew"), "c").join(tw.toDF("c2", "tw"), "c2").withColumnsRenamed({"c": "e", "c2": "t"}), "code").toDF("c", "c2")
+    found = near.unionByName(direct.where("c = c2"))
+    hot = load.where("hot")
+    if not hot.isEmpty():
+        some = eval_side.join(hot.select("d").dropDuplicates(), "d", "left_semi").unionByName(train_side.join(hot.select(F.col("d2").alias("d")).dropDuplicates(), "d", "left_semi"))
+        found = found.unionByName(class_pairs(some, "c", "cw", "code").toDF("c", "c2")).dropDuplicates()
+    return found
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -168,7 +183,7 @@ def overlaps(records: DataFrame) -> DataFrame:
     met_d = recs.select("pair_no", "split", "repo", "d", "c", "cw")
     eval_side = met_d.where("split <> 'train'").join(dp.select("d").dropDuplicates(), "d", "left_semi")
     train_side = met_d.where("split = 'train'").join(dp.select(F.col("d2").alias("d")).dropDuplicates(), "d", "left_semi")
-    cp = cut_lineage(class_pairs(eval_side.unionByName(train_side), "c", "cw", "code")).toDF("c", "c2")
+    cp = cut_lineage(code_pairs(eval_side, train_side, dp))
     e = eval_side.select("pair_no", "split", "repo", "d", "c").join(dp, "d").join(cp, "c").select(F.col("pair_no").alias("eval_no"), "split", "repo", "d2", "c2")
     t = train_side.select(F.col("pair_no").alias("train_no"), F.col("d").alias("d2"), F.col("c").alias("c2"))
     return e.join(t, ["d2", "c2"]).select("eval_no", "train_no", "split", "repo").dropDuplicates(["eval_no", "train_no"])

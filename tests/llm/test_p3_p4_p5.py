@@ -149,5 +149,30 @@ def test_overlaps_against_brute_force(spark, sf):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_overlaps_of_short_edits(spark, monkeypatch, hot):
+    """Whatever the exact check accepts is found: words replaced, dropped and put in, in short descriptions and in code."""
+    monkeypatch.setattr(p5, "HOT", hot)
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(400)]
+
+    def edit(words, times):
+        words = list(words)
+        for _ in range(times):
+            at, how = rng.randrange(len(words)), rng.random()
+            words[at : at + (how < 0.8)] = [rng.choice(voc)] if how > 0.2 else []
+        return words
+
+    rows = []
+    for n in range(240):
+        desc, code = rng.choices(voc, k=rng.randrange(3, 16)), [f"{w}()" for w in rng.choices(voc, k=rng.randrange(4, 20))]
+        rows.append((2 * n, "train", "a", None, None, " ".join(desc), " ; ".join(code), 1, "", 0))
+        rows.append((2 * n + 1, "test", "a", None, None, " ".join(edit(desc, n % 3)), " ; ".join(edit(code, n // 3 % 4)), 1, "", 0))
+    got = {(r["eval_no"], r["train_no"]) for r in p5.overlaps(spark.createDataFrame(rows, PAIRS)).collect()}
+    d, c = [p5.description_words(r[5]) for r in rows], [p5.code_words(r[6]) for r in rows]
+    want = {(e, t) for e in range(1, 480, 2) for t in range(0, 480, 2) if d[e] and p5.near_same(d[e], d[t], "description") and p5.near_same(c[e], c[t], "code")}
+    assert got == want and len(want) > 100
+
+
 def test_in_order():
     assert p5.in_order(list("abcdef"), list("abxdef")) == 5 / 6 and p5.in_order([], ["a"]) == 0
