@@ -134,3 +134,14 @@ def test_quality(spark):
     scores = p10.outlier_scores(p10.with_stats(df, "doc_id", "text", "lang"), "doc_id").collect()
     assert {r["doc_id"] for r in scores} == {1, 2, 3, 4, 8, 9}
     assert p10.outlier_scores(p10.with_stats(df.limit(0), "doc_id", "text", "lang"), "doc_id").count() == 0
+
+
+def test_quality_without_ordinary_neighbours(spark):
+    """A language of logs only, and languages of one document: no neighbour decides what is found."""
+    rng = random.Random(6)
+    log = lambda n: "\n".join(f"2024-01-0{i % 9 + 1} 10:00:0{i % 9} INFO job{rng.randrange(99)} - step {i * rng.randrange(9)} {'x' * rng.randrange(20)}" for i in range(n))
+    prose = "The reader asks for the page when it is not there, and so we give it what is in the store. "
+    rows = [(n, log(rng.randrange(3, 90)), "logs") for n in range(60)] + [(100, log(20), "one"), (101, prose * 5, "other"), (102, prose * 9, "logs"), (103, None, "none")]
+    stats = p10.with_stats(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
+    assert sorted(r["doc_id"] for r in p10.found(stats, "doc_id").collect()) == [*range(60), 100]
+    assert p10.found(stats.limit(0), "doc_id").count() == 0
