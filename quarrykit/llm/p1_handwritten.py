@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrykit.runtime import cut_lineage, read_table, spread
@@ -246,20 +246,51 @@ def features(files: DataFrame) -> DataFrame:
 
 
 def copies(feats: DataFrame) -> DataFrame:
-    """(file_no, shared): the greatest share of a file's tokens under rules it has in common with one file of another repository,
-    of files that the rules cover alike; a helper function that many files hold makes no copy.
-
-    Of each rule only its first and last holder are kept, so a rule of a third of all files costs no more than any other; among
-    copies of one file every copy has the first or the last as its partner."""
-    each = feats.select("file_no", F.coalesce("repo", F.lit("")).alias("repo"), F.explode(F.arrays_zip("phrase", "phrase_tokens")).alias("p"))
-    each = each.select("file_no", "repo", F.col("p.phrase").alias("phrase"), F.col("p.phrase_tokens").alias("n"))
-    holder = F.struct("repo", "file_no")
+    """(file_no, shared): the share of a file's tokens under rules it has in common with one file of another repository, of files
+    that the rules cover alike; a helper function that many files hold makes no copy. From COPIED_SHARE the share is that of some
+    such partner, below it the greatest among the partners tried; a file that has a partner of COPIED_SHARE always gets one.
+
+    First each rule's first and last holder are tried as partners, so a rule of a third of all files costs no more than any other.
+    A file they leave undecided, though other repositories hold rules of enough of its tokens, is then tried exactly (`exact_copies`)."""
+    each = feats.select("file_no", F.coalesce("repo", F.lit("")).alias("repo"), "tokens", F.explode(F.arrays_zip("phrase", "phrase_tokens")).alias("p"))
+    each = each.select("file_no", "repo", "tokens", F.col("p.phrase").alias("phrase"), F.col("p.phrase_tokens").alias("n"))
+    holder = F.struct("repo", "file_no", "tokens")
     rule = each.groupBy("phrase").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a.repo <> b.repo")
-    met = each.join(rule, "phrase").select("file_no", "repo", "n", F.explode(F.array("a", "b")).alias("other")).where("other.repo <> repo")
-    common = met.groupBy("file_no", F.col("other.file_no").alias("other")).agg(F.sum("n").alias("n"))
-    size = feats.select("file_no", "tokens")
-    both = common.where(F.col("n") >= COPIED_TOKENS).join(size, "file_no").join(size.toDF("other", "other_tokens"), "other")
-    return both.groupBy("file_no").agg(F.max(F.col("n") / F.greatest("tokens", "other_tokens")).alias("shared"))
+    # a file has one or two partners in a rule; with the first of them its tokens count as held elsewhere
+    met = each.join(rule, "phrase").select("file_no", "tokens", "n", F.posexplode(F.filter(F.array("a", "b"), lambda h: h["repo"] != F.col("repo"))).alias("nth", "other"))
+    held = F.sum(F.when(F.col("nth") == 0, F.col("n")).otherwise(0))
+    common = met.groupBy("file_no", F.col("other.file_no").alias("other")).agg(F.sum("n").alias("n"), held.alias("held"), F.first("tokens").alias("tokens"), F.first("other.tokens").alias("other_tokens"))
+    share = F.when(F.col("n") >= COPIED_TOKENS, F.col("n") / F.greatest("tokens", "other_tokens"))
+    tried = cut_lineage(common.groupBy("file_no").agg(F.max(share).alias("shared"), F.sum("held").alias("held"), F.first("tokens").alias("tokens")))
+    left = tried.where((F.coalesce("shared", F.lit(0.0)) < COPIED_SHARE) & (F.col("held") >= COPIED_TOKENS) & (F.col("held") >= COPIED_SHARE * F.col("tokens"))).select("file_no", "held")
+    first = tried.where("shared is not null").select("file_no", "shared")
+    if left.isEmpty():
+        return first
+    return first.unionByName(exact_copies(feats, left)).groupBy("file_no").agg(F.max("shared").alias("shared"))
+
+
+def exact_copies(feats: DataFrame, left: DataFrame) -> DataFrame:
+    """(file_no, shared): the greatest share, from COPIED_SHARE, of each file of `left` (file_no, held: its tokens under rules that
+    other repositories hold) with one file of another repository.
+
+    Files of equal rules and tokens are one class. A partner holds rules of COPIED_SHARE of the file's tokens, so it holds one of
+    the file's rarest rules - those that begin before its held tokens less that share - and they meet in that one for certain."""
+    named = feats.select("file_no", F.coalesce("repo", F.lit("")).alias("repo"), "tokens", "phrase", "phrase_tokens", F.xxhash64("phrase", "phrase_tokens", "tokens").alias("k"))
+    files = named.join(left, "file_no")
+    mine = files.dropDuplicates(["k"]).select("k", "tokens", "held", F.explode(F.arrays_zip("phrase", "phrase_tokens")).alias("p"))
+    mine = cut_lineage(mine.groupBy("k", F.col("p.phrase").alias("phrase")).agg(F.sum("p.phrase_tokens").alias("n"), F.first("tokens").alias("tokens"), F.first("held").alias("held")))
+    # the holders of these rules, by class: its files, and the first and last repository they lie in
+    holders = named.select("k", "repo", "tokens", F.explode(F.array_distinct("phrase")).alias("phrase")).join(mine.select("phrase").dropDuplicates(), "phrase", "left_semi")
+    holders = cut_lineage(holders.groupBy(F.col("k").alias("o"), "phrase").agg(F.count(F.lit(1)).alias("files"), F.min("repo").alias("o0"), F.max("repo").alias("o1"), F.first("tokens").alias("other_tokens")))
+    rules = holders.groupBy("phrase").agg(F.sum("files").alias("df"), F.min("o0").alias("a"), F.max("o1").alias("b")).where("a <> b").select("phrase", "df")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("df", "phrase").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = mine.join(rules, "phrase").withColumn("before", before).where(F.col("before") <= F.col("held") - COPIED_SHARE * F.col("tokens") + 1e-6)
+    met = prefix.select("k", "phrase", "held", "tokens").join(holders, "phrase").where(F.col("held") >= COPIED_SHARE * F.col("other_tokens") - 1e-6)
+    met = met.groupBy("k", "o").agg(F.first("o0").alias("o0"), F.first("o1").alias("o1"), F.first(F.greatest("tokens", "other_tokens")).alias("longer"))
+    common = met.join(mine.select("k", "phrase", "n"), "k").join(holders.select("o", "phrase"), ["o", "phrase"])
+    common = common.groupBy("k", "o").agg(F.sum("n").alias("n"), F.first("longer").alias("longer"), F.first("o0").alias("o0"), F.first("o1").alias("o1"))
+    share = common.where(F.col("n") >= COPIED_TOKENS).withColumn("shared", F.col("n") / F.col("longer")).where(F.col("shared") >= COPIED_SHARE)
+    return files.select("file_no", "repo", "k").join(share, "k").where("o0 <> repo or o1 <> repo").groupBy("file_no").agg(F.max("shared").alias("shared"))
 
 
 def origins(files: DataFrame) -> DataFrame:

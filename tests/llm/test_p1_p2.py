@@ -37,6 +37,18 @@ def test_origins(spark):
     assert p1.origins(files(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("edited", [False, True])
+def test_copies_between_variants(spark, edited):
+    """The first and the last holder of every rule are variants that hold a part of the file each; the copies lie between them."""
+    rng = np.random.default_rng(3)
+    parts = ["\n".join(f"def f{i}_{k}(x{rng.integers(999)}):\n    y{k} = load(x, 'k{rng.integers(9999)}') + {rng.integers(9999)}\n    return y{k}.merge(z{rng.integers(999)}, w={rng.integers(99)})" for k in range(9)) for i in range(20)]
+    whole = "\n\n".join(parts)
+    other = "\n\n".join(parts[:9] + ["def ours():\n    return 1"] + parts[10:]) if edited else whole
+    rows = [(1, "a", "x.py", "\n\n".join(parts[7:])), (2, "m", "p.py", whole), (3, "n", "q.py", other), (4, "z", "y.py", "\n\n".join(parts[:13])), (5, "m", "again.py", whole), (6, "n", "short.py", "\n\n".join(parts[8:10]))]
+    got = {r["file_no"]: r["shared"] for r in p1.copies(p1.features(files(spark, rows))).collect()}
+    assert {n for n, share in got.items() if share >= p1.COPIED_SHARE} == {2, 3, 5} and all(got[n] > 0.8 for n in (2, 3, 5))
+
+
 def test_repair_counts_rules():
     # abab abab: R1=ab, R2=R1R1, sequence R2R2 -> 2 symbols and 2 rules of 2
     seq, owner = np.array([1, 2] * 4 + [5, 6, 7], np.uint64), np.array([0] * 8 + [1] * 3)
