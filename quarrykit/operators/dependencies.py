@@ -104,19 +104,21 @@ def containing_class(component_id: Column) -> Column:
     return F.when(name.contains("."), F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("@"), F.substring_index(component_id, "@", -1)))
 
 
-def reachable(edge_table: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(root, node, depth): what each root reaches over (src, dst), at its least depth. Each round extends only nodes met in the round before."""
+def reachable(edge_table: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(root, node, depth): what each root reaches over (src, dst), at its least depth. Each round extends only nodes met in the round before.
+
+    Rounds end when one meets no new node; `max_depth` is a safety limit, and paths that are longer raise."""
     step = cut_lineage(edge_table.select("src", "dst").dropDuplicates())
     seen = roots.select(F.col("node").alias("root"), "node").dropDuplicates().withColumn("depth", F.lit(0))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         nxt = front.join(step, front.node == step.src).select("root", F.col("dst").alias("node")).dropDuplicates()
         nxt = cut_lineage(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if nxt.isEmpty():
-            break
+            return seen
         seen = cut_lineage(seen.unionByName(nxt))
         front = nxt
-    return seen
+    raise RuntimeError(f"nodes lie behind more than {max_depth} steps")
 
 
 def edge_buckets(calls: DataFrame) -> DataFrame:

@@ -109,10 +109,10 @@ def edge_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
-    """What each calling component reaches over calls, up to eight steps."""
+    """What each calling component reaches over calls, however many steps away. Its SQL stops after eight steps, so the two part on deeper graphs."""
     e = _edges(spark, sf, "outgoing_calls").select(F.concat_ws(":", "repo", "id").alias("src"), F.concat_ws(":", "repo", "dst_id").alias("dst"))
     e = cut_lineage(e)
-    return D.reachable(e, e.select(F.col("src").alias("node")), 8).groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
+    return D.reachable(e, e.select(F.col("src").alias("node"))).groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
 
 
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,7 @@ from quarrykit.operators import retrieval as R
 from quarrykit.operators import sampling as S
 from quarrykit.operators import windows as W
 from quarrykit.operators.components import connected_components
+from quarrykit.plans import graph_queries
 
 
 def okapi(docs, query):
@@ -173,3 +174,15 @@ def test_dependencies(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = {(x["root"], x["node"]): x["depth"] for x in D.reachable(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 3}
+
+
+def test_reachability_of_long_chains(spark, tmp_path):
+    """Every node of a chain of 12 calls is reached, and a safety limit that is hit raises."""
+    c = component(spark, [("r", f"f{i}@a.py", "function", [f"f{i + 1}@a.py"]) for i in range(12)]).withColumn("comp_no", F.monotonically_increasing_id())
+    c.write.parquet(f"{tmp_path}/component.parquet")
+    got = {x["root"]: (x["nodes"], x["depth"]) for x in graph_queries.reachability(spark, str(tmp_path)).collect()}
+    assert got == {f"r:f{i}@a.py": (13 - i, 12 - i) for i in range(12)}
+    e, root = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), spark.createDataFrame([("a",)], "node string")
+    assert D.reachable(e, root, 2).count() == 3
+    with pytest.raises(RuntimeError):
+        D.reachable(e, root, 1)
