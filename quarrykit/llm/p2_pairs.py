@@ -367,23 +367,23 @@ def end_counts(texts: DataFrame) -> dict[tuple[str, ...], tuple[int, int]]:
 
 
 def sample_languages(prompts: DataFrame, texts: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE labelled texts of each language, by the least hash."""
+    """At most SAMPLE labelled texts of each language, by the least hash; equal texts count once, and texts are whole."""
     both = prompts.select(F.col("prompt").alias("t")).unionByName(texts.select(F.col("answer").alias("t"))).where(F.length("t") > 20)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, list] = {}
+        kept: dict[str, set] = {}
         for pdf in batches:
-            for t, h in zip(pdf.t, pdf.h):
-                text = natural_text(t)[:2000]
+            for t, h in pdf[["t", "h"]].drop_duplicates().itertuples(index=False, name=None):
+                text = natural_text(t)
                 lang = marked_language(text)
                 if lang:
-                    kept.setdefault(lang, []).append((h, text))
-            kept = {k: sorted(v)[:SAMPLE] for k, v in kept.items()}
+                    kept.setdefault(lang, set()).add((h, text))
+            kept = {k: set(sorted(v)[:SAMPLE]) for k, v in kept.items()}
         yield pd.DataFrame([(k, h, t) for k, v in kept.items() for h, t in v], columns=["lang", "h", "t"])
 
     from pyspark.sql import Window
 
-    near = both.select("t", F.xxhash64("t").alias("h")).where(F.pmod("h", F.lit(8)) == 0).mapInPandas(run, "lang string, h bigint, t string")
+    near = both.select("t", F.xxhash64("t").alias("h")).mapInPandas(run, "lang string, h bigint, t string").dropDuplicates()
     w = Window.partitionBy("lang").orderBy("h", "t")
     rows = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select("lang", "t").toLocalIterator()
     return [(r["lang"], r["t"]) for r in rows]

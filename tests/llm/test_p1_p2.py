@@ -93,6 +93,17 @@ def test_defect(model, answer, want):
     assert p2.defect(answer, PROMPT, model, ENDS, scores) == want
 
 
+def test_sample_of_languages(spark, monkeypatch):
+    """All labelled texts of a language that has no more than SAMPLE, each once and whole."""
+    monkeypatch.setattr(p2, "SAMPLE", 40)
+    texts = [f"die funktion gibt den wert zurück sobald der puffer {w} gelesen wurde und er nicht leer ist" + " und dann" * n * 10 for n, w in enumerate("abcdefghijklmnopqrstuvwxyz" + "äöüß")]
+    frame = lambda rows, name: spark.createDataFrame([(t,) for t in rows], f"{name} string")
+    got = p2.sample_languages(frame(texts[:3], "prompt"), frame(texts * 3 + texts[:1] * 60, "answer"))
+    assert sorted(got) == sorted(("de", p2.natural_text(t)) for t in texts) and max(len(t) for _, t in got) > 2000
+    monkeypatch.setattr(p2, "SAMPLE", 7)
+    assert len(set(p2.sample_languages(frame([], "prompt"), frame(texts * 3, "answer")))) == 7
+
+
 def test_defects_tables(spark):
     g = spark.createDataFrame(
         [("1", PROMPT, ["    return path", None], "m", "clash"), ("1", PROMPT, ["    return path", None], "m", "clash"), ("2", None, ["", "x = (1,"], None, "c"), ("3", PROMPT, None, "m", "c"), ("4", PROMPT, [], "m", "c"), ("5", PROMPT, ["word " * 60000 + "end."], "m", "c")],
