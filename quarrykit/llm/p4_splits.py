@@ -5,8 +5,9 @@ pairs joined by a chain of such pairs. Files are nodes, pairs are edges between
 
 Groups of one size and label profile form a bundle. A min-cost flow from bundles over (profile class, split) to splits fills the
 quotas: rows up to a split's quota of a class cost nothing, rows beyond it cost their deviation. The flow's rows of each bundle
-are rounded to whole groups by largest remainder, the rest carried to the next bundle, and groups are dealt by hash: in bundles of
-few groups by exact hash rank, in large ones by hash against cumulative shares, so no bundle is gathered in one task.
+are rounded to whole groups by largest remainder, the rest carried to the next bundle, and groups are dealt by exact hash rank. In
+large bundles groups are counted by the head of their hash and ranked only inside the heads that hold a boundary, so no bundle is
+gathered in one task.
 
 Defined cases: repeated rows count once; a pair without usable ids is a group of its own; a null repository is one of its own name;
 null labels are a label value; more rows in one group than a quota holds go to the split where they deviate least."""
@@ -25,7 +26,7 @@ from quarrykit.runtime import cut_lineage, read_table
 SHARES = (("train", 0.8), ("valid", 0.1), ("test", 0.1))
 #: Groups up to this size are bundled by exact size, larger ones by powers of SIZE_STEP; steps of the label share.
 EXACT_SIZE, SIZE_STEP, PROFILE_STEPS = 12, 1.1, 4
-#: Bundles of at most this many groups are dealt by exact rank.
+#: Bundles of at most this many groups are ranked in one task each; larger ones get the same ranks by heads of 12 bits of the hash.
 FEW = 4096
 
 
@@ -137,10 +138,11 @@ def assign(members: DataFrame, labels: DataFrame, shares: tuple[tuple[str, float
 
     The driver gets one row of each bundle: sizes up to EXACT_SIZE and powers of SIZE_STEP, times label profiles - some hundreds,
     whatever the corpus."""
-    m = cut_lineage(members.join(labels.dropDuplicates(["pair_no"]), "pair_no", "left").withColumn("positive", (F.coalesce("label", F.lit(0)) > 0).cast("int")))
-    groups = m.groupBy("group_no").agg(F.count(F.lit(1)).alias("size"), F.sum("positive").alias("positive"))
+    m = cut_lineage(members.join(labels.dropDuplicates(["pair_no"]), "pair_no", "left").withColumn("positive", (F.coalesce("label", F.lit(0)) > 0).cast("int")).withColumn("unset", F.col("label").isNull().cast("int")))
+    groups = m.groupBy("group_no").agg(F.count(F.lit(1)).alias("size"), F.sum("positive").alias("positive"), F.sum("unset").alias("unset"))
     size_class = F.when(F.col("size") <= EXACT_SIZE, F.col("size")).otherwise(EXACT_SIZE + F.ceil(F.log(F.col("size") / EXACT_SIZE) / F.log(F.lit(SIZE_STEP)))).cast("int")
-    profile = F.round(F.col("positive") / F.col("size") * PROFILE_STEPS).cast("int")
+    steps = lambda part: F.round(F.col(part) / F.col("size") * PROFILE_STEPS).cast("int")
+    profile = steps("positive") + (PROFILE_STEPS + 1) * steps("unset")
     groups = cut_lineage(groups.withColumn("size_class", size_class).withColumn("profile", profile).withColumn("h", F.xxhash64("group_no")))
     spark = m.sparkSession
     rows = groups.groupBy("profile", "size_class").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("rows")).orderBy("profile", "size_class").collect()
@@ -160,8 +162,13 @@ def assign(members: DataFrame, labels: DataFrame, shares: tuple[tuple[str, float
     few = dealt.where(F.col("groups") <= FEW)
     w = Window.partitionBy("profile", "size_class").orderBy("h", "group_no")
     few = few.withColumn("place", F.row_number().over(w) - 1)
-    many = dealt.where(F.col("groups") > FEW).withColumn("place", F.floor((F.col("h") / F.lit(float(2**64)) + 0.5) * F.col("groups")))
-    both = few.unionByName(many)
+    many = dealt.where(F.col("groups") > FEW).withColumn("head", F.shiftright("h", 52))
+    up_to = Window.partitionBy("profile", "size_class").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = many.groupBy("profile", "size_class", "head").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
+    many = many.join(heads, ["profile", "size_class", "head"]).withColumn("parted", F.exists("cuts", lambda c: (c > F.col("ahead")) & (c < F.col("ahead") + F.col("n"))))
+    in_head = Window.partitionBy("profile", "size_class", "head").orderBy("h", "group_no")
+    ranked = many.where("parted").withColumn("place", F.col("ahead") + F.row_number().over(in_head) - 1)
+    both = few.unionByName(ranked.unionByName(many.where("not parted").withColumn("place", F.col("ahead"))).drop("head", "n", "ahead", "parted"))
     name = F.lit(shares[-1][0])
     for i in reversed(range(len(shares) - 1)):
         name = F.when(F.col("place") < F.col("cuts")[i], shares[i][0]).otherwise(name)

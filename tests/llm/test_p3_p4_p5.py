@@ -86,6 +86,18 @@ def test_groups_and_splits(spark):
     assert p4.grouped(df.limit(0)).count() == 0
 
 
+def test_dealing_is_exact_in_large_bundles(spark, monkeypatch):
+    """Each label value, null too, meets the shares to a row, and large bundles are dealt just as small ones."""
+    rows = [(n, n, (None, 0, 1)[n % 3]) for n in range(1500)]
+    df = spark.createDataFrame(rows, "pair_no bigint, group_no bigint, label int")
+    got = {}
+    for few in (4096, 100):
+        monkeypatch.setattr(p4, "FEW", few)
+        got[few] = {r["pair_no"]: r["split"] for r in p4.assign(df.select("pair_no", "group_no"), df.select("pair_no", "label")).collect()}
+    count = Counter((n % 3, split) for n, split in got[100].items())
+    assert got[100] == got[4096] and count == {(k, s): n for k in range(3) for s, n in (("train", 400), ("valid", 50), ("test", 50))}
+
+
 def test_allocation_meets_quotas():
     bundles = [(c, size, n, size * n) for c in range(3) for size, n in ((1, 400), (3, 120), (10, 30))]
     got = p4.allocate(bundles)
