@@ -99,16 +99,17 @@ def is_incompressible(literal: str) -> bool:
 
 def data_chars(code: str) -> int:
     """Solid characters in blobs, long runs of numbers, and rows of literal tables."""
-    if max(map(len, code.split("\n"))) < 200 and sum(map(len, DIGITS.findall(code))) < 0.06 * len(code):
-        return 0  # neither long lines nor many digits: no run of data can stand here
+    # neither long lines nor many digits: no blob or run of numbers can stand here, but rows of words can
+    runs = max(map(len, code.split("\n"))) >= 200 or sum(map(len, DIGITS.findall(code))) >= 0.06 * len(code)
     n = 0
-    for m in LITERAL.finditer(code):
+    for m in LITERAL.finditer(code) if runs else ():
         if m.end() - m.start() >= 60 and is_incompressible(m.group()):
             n += len("".join(m.group().split()))
     rest = LITERAL.sub(lambda m: '""' if m.end() - m.start() >= 60 else m.group(), code)
-    for m in NUMBERS.finditer(rest):
-        n += len("".join(m.group().split()))
-    rest = NUMBERS.sub("\n", rest)
+    if runs:
+        for m in NUMBERS.finditer(rest):
+            n += len("".join(m.group().split()))
+        rest = NUMBERS.sub("\n", rest)
     rows = [m.group() for m in TABLE_ROW.finditer(rest)]
     if len(rows) >= 8:
         n += sum(len("".join(r.split())) for r in rows)

@@ -62,6 +62,13 @@ def test_incompressible():
     assert p1.is_incompressible(f"'{b64}'") and not p1.is_incompressible("'" + "path/to/some/dir/" * 20 + "'") and not p1.is_incompressible("'short'")
 
 
+def test_word_lists_are_data():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, 9)])
+    table = "WORDS = {\n" + "".join(f'    "{word()}": "{word()}",\n' for _ in range(400)) + "}\n"
+    assert p1.data_chars(table) >= 0.9 * len("".join(table.split())) and p1.data_chars(BODY) == 0
+
+
 ENDS: dict = {}
 MODEL_ROWS = [
     ("en", "the value of this function is returned when the buffer has been read and it is not empty"), ("de", "die funktion gibt den wert zurück sobald der puffer gelesen wurde und er nicht leer ist"),
