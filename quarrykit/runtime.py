@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -92,8 +93,42 @@ def slots(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 
 
+#: Bytes of input for one part of Python-bound work.
+PART_BYTES = 64 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of what `df` reads, without a job: the size of its tables, and of written intermediate data at most PART_BYTES for
+    each part, as the planner's guess for those grows without bound over joins."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        size = int(str(leaf.stats().sizeInBytes()))
+        total += min(size, leaf.rdd().getNumPartitions() * PART_BYTES) if leaf.nodeName() in ("LogicalRDD", "ExternalRDD") else size
+    return total
+
+
+def _size(text: str) -> int:
+    """Bytes of a size setting such as 128m."""
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower())
+    return int(m.group(1)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m.group(2)]
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts for work bound by Python CPU: at least two for each slot, and one for each PART_BYTES of input."""
+    return max(slots(df.sparkSession) * 2, -(-input_bytes(df) // PART_BYTES))
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Split the rows evenly over at least all slots before work that is bound by Python CPU."""
-    ship(df.sparkSession)
-    n = max(slots(df.sparkSession) * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    """Rows in enough parts for work that is bound by Python CPU; the count grows with the input.
+
+    Where the input alone fills all slots twice over with splits of the file reader, and no key is named, these splits serve and
+    nothing is shuffled. Only smaller inputs, which the reader hands out in few splits, are dealt out anew."""
+    spark = df.sparkSession
+    ship(spark)
+    split = _size(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    if not by and input_bytes(df) >= 2 * slots(spark) * split:
+        return df
+    n = parts_for(df)
     return df.repartition(n, *[F.col(c) for c in by]) if by else df.repartition(n)
