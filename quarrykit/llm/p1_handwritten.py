@@ -1,46 +1,62 @@
 """Files that nobody of the project wrote by hand: generated, minified, vendored, or data stored as code.
 
-Each batch of files is tokenized and a grammar is inferred for every file by rounds of Re-Pair: in a round, every pair of
-neighbouring symbols that repeats in its file and is locally the most frequent becomes a rule, in all files of the batch at once
-(numpy sorts, no loop over tokens). Tokens stand for their kind here (keyword, name, number, string), so that stubs that differ
-in names only reuse each other's rules. Reuse is tokens per symbol of the grammar; beyond GENERATED_REUSE no person wrote the file.
-Literals are told by what they would compress to: one that is near-incompressible for its alphabet is a blob.
-
-Rules shared across repositories are found over phrases that are cut by content: a phrase ends where the hash of a pair of
-concrete tokens is the least of its neighbourhood, so equal code falls into equal phrases wherever it stands. A phrase
-that recurs with the next one in the collection is a rule of the joint grammar. (rule, repository) is pre-aggregated to least and greatest repository,
-never to a list, and joined back; the share of tokens under rules common with one file elsewhere tells copies.
-
-Beside the grammar count the notices tools and vendors leave in a file's head and the names they give files and folders.
-Words about such things (a file that writes generated code, a report on vendors) do not count: a notice must be in its own
-form, a name must be a generator's suffix, and a vendor folder must hold a package folder.
-
-Defined cases: null code is empty and no case unless its path is; repeated rows count once; files are read whole."""
+The grammar decides. Each batch of files is tokenized and a grammar is inferred for every file by rounds of Re-Pair: in a round,
+every pair of neighbouring symbols that repeats in its file and is locally the most frequent becomes a rule, in all files of the
+batch at once (numpy sorts, no loop over tokens), until no pair repeats. Tokens stand for their kind (keyword, name, number,
+string), so that stubs that differ in names only reuse each other's rules. Reuse is tokens per symbol of the grammar; what counts is
+its excess over the reuse of hand-written files of that length. A file's literals are a blob if a
+Re-Pair grammar over their characters takes no fewer bits than their own alphabet does (escapes are decoded first).
+
+Rules shared across repositories are found by one round of Re-Pair over the whole collection: its symbols are phrases cut by
+content (a phrase ends where the hash of a pair of concrete tokens is the least of its neighbourhood, so equal code falls into equal
+phrases wherever it stands), and a pair of neighbouring phrases that repeats in the collection is a rule. The share of tokens under
+rules common with one file elsewhere tells copies.
+
+Many generated and copied files read like any other code: only what their tools wrote at their head or into their name tells them.
+No list of such words stands here. They are learned from the files that the grammar tells: word n-grams of head comments, and parts
+of paths, are counted over all files and over those the grammar tells to be generated (or copied); a line or name whose n-grams are as
+usual among these as the lines of the told files themselves marks its file too (learning from positive and unlabelled files). Words about such things (a file
+that writes generated code, a report on vendors) stand in files the grammar doesn't tell, and so mark nothing.
+
+Defined cases: null code is empty, and a case only by its path; repeated rows count once; files are read whole; a corpus in which the
+grammar tells no file has no marks to learn."""
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrykit.runtime import cut_lineage, read_table, spread
 
-#: Tokens per grammar symbol from which a file is generated; tokens a file has at least for that.
-GENERATED_REUSE, REUSE_TOKENS = 6.0, 80
+#: Fixed value: log of the reuse of hand-written files, a square function of the log of their tokens (least squares on sf0.1).
+HAND_REUSE = (0.102849, -0.930932, 2.344493)
+#: Excess of log reuse from which a file is generated (three times the reuse of hand-written files); tokens it has at least for that.
+EXCESS, REUSE_TOKENS = math.log(3), 80
 #: Share of tokens under rules shared by repositories from which a file is a copy; tokens in shared rules it has at least.
 COPIED_SHARE, COPIED_TOKENS = 0.72, 40
-#: Share of a file's solid characters in data literals from which it is data; characters of data it has at least.
+#: Share of a file's solid characters in blobs (or, where its grammar is reused, in literals) from which it is data; characters of blobs it has at least.
 DATA_SHARE, DATA_CHARS = 0.6, 300
-#: Mean characters of a line, and share of white space, from which and up to which a file is minified.
-MINIFIED_LINE, MINIFIED_SPACE = 140, 0.085
-ROUNDS, WINDOW = 10, 8
-#: Tokens of a rule shared by repositories.
-RULE_TOKENS = 20
+#: Characters of a literal that may be part of a blob; bits a symbol, of those its alphabet would take, from which it is near-incompressible.
+BLOB_LITERAL, INCOMPRESSIBLE = 40, 1.0
+#: Mean characters of a line, excess of log reuse, and solid characters from which a file is minified.
+MINIFIED_LINE, MINIFIED_EXCESS, MINIFIED_CHARS = 140, 0.3, 400
+#: Pairs on both sides that a cut between phrases has the least hash of; tokens of a rule shared by repositories.
+WINDOW, RULE_TOKENS = 8, 20
+#: Learned marks: files with an n-gram; repositories of told files with a part of a path; share of the told files' own score, and odds against those of all files.
+MARK_FILES, MARK_REPOS, MARK_SHARE, MARK_ODDS = 8, 3, {"head": 0.5, "path": 0.3}, 4.0
+#: What marks are learned for.
+LEARNED = ("generated", "vendored")
+#: Copies of the table of n-grams, so that an n-gram of a third of all files is not one task's work.
+SALT = 8
 
 TOKEN = re.compile(
     r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*.*?\*/|\d[\w.]*|\w+|[^\w\s]", re.S
@@ -49,29 +65,6 @@ KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try "
     "while with yield self function var let const new this typeof instanceof switch case default export extends static throw catch".split()
 )
-#: Notices of generators and of copies, as they stand in a comment near the top of a file.
-GENERATED_NOTICE = re.compile(
-    r"(?im)^[\s#/*;<!\-]*(?:.*@generated\b|.*<auto-generated\b|.*\bauto-?generated (?:by|from|file|code)\b.*|.*\bgenerated by\b.*\bdo not (?:edit|modify)\b.*"
-    r"|.*\b(?:code|file) (?:was |is )?(?:automatically )?(?:generated|produced|written|created|emitted) by \S+.*(?:do not (?:edit|modify)|don't (?:edit|modify)|changes will be lost).*"
-    r"|.*\bmachine output of\b.*|.*\bmachine[- ]generated\b.*|.*\bedits here are (?:discarded|lost|overwritten)\b.*|.*\bchanges (?:here )?will be lost\b.*"
-    r"|.*\bbuilt from \S+ on every \w+.*|.*automatisch (?:von|durch) \S+ (?:erzeugt|generiert|erstellt)\b.*|.*\bg[ée]n[ée]r[ée] (?:automatiquement )?par \S+.*"
-    r"|.*\b(?:generado|creado) autom[áa]ticamente (?:por|desde)\b.*|.*\bthis file (?:was|is) (?:automatically |auto-?)?(?:generated|produced|created)\b.*)"
-)
-COPIED_NOTICE = re.compile(
-    r"(?im)^[\s#/*;<!\-]*(?:.*\blocal changes: ?\w+|.*\bcopied (?:unmodified|verbatim|unchanged|as is) from\b.*|taken (?:verbatim )?from the \S+ (?:project|repository|library)\b.*"
-    r"|upstream: .*|.*\bkeep identical to\b.*|.*\b(?:imported|vendored) (?:snapshot|copy|release) of\b.*|vendored from\b.*|.*\bvendored (?:copy|version)\b.*|.*\bbundled copy of\b.*)"
-)
-OURS = re.compile(r"(?i)\bthis one is ours\b|\bchange this writer\b|\bour own\b|\bwritten by hand\b|\bhand-?written\b")
-GENERATED_NAME = re.compile(r"(?i)(?:_pb2(?:_grpc)?|\.pb|_autogen|\.autogen|_generated|\.generated|\.gen|\.g|_gen)(?:_[0-9a-z]{1,3})?\.\w+$|(?:^|/)(?:parsetab|lextab)\.py$")
-MINIFIED_NAME = re.compile(r"(?i)[.\-]min\.\w+$")
-VENDOR_FOLDER = re.compile(r"(?i)(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|extern(?:al)?s?|deps|contrib|bundled|node_modules|site-packages|bower_components)/+(?:[^/]+/)+[^/]+$")
-VERSIONED_FOLDER = re.compile(r"(?:^|/)[\w\-]+-\d+\.\d+(?:\.\d+)*/")
-HEAD_LINES = 12
-DIGITS = re.compile(r"\d+")
-HEX = re.compile(r"(?:\\x[0-9a-fA-F]{2}){8,}")
-NUMBERS = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*[,;\]\)\}]\s*){6,}")
-TABLE_ROW = re.compile(r"(?m)^\s*[\"'\w.\-]+\s*[:,]\s*[(\[{]?\s*(?:[-+]?\d[\d.eE+\-]*|[\"'][^\"'\n]*[\"'])(?:\s*,\s*(?:[-+]?\d[\d.eE+\-]*|[\"'][^\"'\n]*[\"']))*\s*[)\]}]?\s*,?\s*$")
-LITERAL = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -80,51 +73,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def is_incompressible(literal: str) -> bool:
-    """Whether a literal's content is near-incompressible for its alphabet: hex escapes, base64, hex or plain digits."""
-    body = literal.strip("\"'")
-    solid = "".join(body.split())
-    if len(solid) < 60 or len(body) - len(solid) > 0.05 * len(body):
-        return False
-    if HEX.match(solid):
-        escaped = re.findall(r"\\x([0-9a-fA-F]{2})", solid)
-        return 4 * len(escaped) >= 0.7 * len(solid) and len(set(escaped)) > 12
-    alphabet = 4 if re.fullmatch(r"[0-9a-fA-F]+", solid) else 6
-    if alphabet == 6 and not re.fullmatch(r"[A-Za-z0-9+/_\-]+=*", solid):
-        return False
-    kinds = sum(bool(re.search(p, solid)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    raw = solid.encode()
-    return (alphabet == 4 or kinds == 3) and len(zlib.compress(raw, 6)) >= 0.88 * alphabet / 8 * len(raw)
-
-
-def data_chars(code: str) -> int:
-    """Solid characters in blobs, long runs of numbers, and rows of literal tables."""
-    # neither long lines nor many digits: no blob or run of numbers can stand here, but rows of words can
-    runs = max(map(len, code.split("\n"))) >= 200 or sum(map(len, DIGITS.findall(code))) >= 0.06 * len(code)
-    n = 0
-    for m in LITERAL.finditer(code) if runs else ():
-        if m.end() - m.start() >= 60 and is_incompressible(m.group()):
-            n += len("".join(m.group().split()))
-    rest = LITERAL.sub(lambda m: '""' if m.end() - m.start() >= 60 else m.group(), code)
-    if runs:
-        for m in NUMBERS.finditer(rest):
-            n += len("".join(m.group().split()))
-        rest = NUMBERS.sub("\n", rest)
-    rows = [m.group() for m in TABLE_ROW.finditer(rest)]
-    if len(rows) >= 8:
-        n += sum(len("".join(r.split())) for r in rows)
-    return n
-
-
 def repair_reuse(symbols: np.ndarray, owner: np.ndarray, files: int) -> np.ndarray:
-    """Tokens per grammar symbol of each file, by rounds of Re-Pair in all files at once. `owner` is sorted."""
+    """Tokens per grammar symbol of each file, by rounds of Re-Pair in all files at once, until no pair repeats. `owner` is sorted."""
     size = np.bincount(owner, minlength=files).astype(float)
     rules = np.zeros(files)
     seq, fid = symbols.astype(np.uint64), owner
     frozen_len = np.zeros(files)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         same = fid[:-1] == fid[1:]
         key = _mix(seq[:-1] * M1 + _mix(seq[1:] + M3))
         tagged = _mix(key + fid[:-1].astype(np.uint64) * M3)
@@ -191,26 +146,91 @@ def phrases(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep = inside & (both >= RULE_TOKENS)
     return owner[at][keep], joined[keep].view(np.int64), n[keep]
 
+def blob_bits(texts: list[np.ndarray]) -> np.ndarray:
+    """Bits a symbol that the Re-Pair grammar of each sequence takes, over those its own alphabet takes; 0 where it has no alphabet."""
+    n = np.array([len(t) for t in texts], float)
+    if not n.sum():
+        return np.zeros(len(texts))
+    owner = np.repeat(np.arange(len(texts)), n.astype(np.int64))
+    flat = np.concatenate(texts).astype(np.uint64)
+    kinds = np.unique(owner.astype(np.uint64) << np.uint64(32) | flat) >> np.uint64(32)
+    alphabet = np.bincount(kinds.astype(np.int64), minlength=len(texts)).astype(float)
+    grammar = n / np.maximum(repair_reuse(_mix(flat + M1), owner, len(texts)), 1e-9)
+    # a grammar's symbols are the alphabet and, at most, a rule for every third of them
+    bits = grammar * np.log2(np.maximum(alphabet, 2) + grammar / 3) / (np.maximum(n, 1) * np.log2(np.maximum(alphabet, 2)))
+    return np.where(alphabet > 2, bits, 0)
+
+
+ESCAPE = re.compile(r"\\x([0-9a-fA-F]{2})")
+NAME_PART = re.compile(r"[^\W\d_]+|\d+")
+HEAD_WORD = re.compile(r"[^\W\d_]+|\d[\d.]*|[^\w\s]")
+COMMENT_MARKS = ("#", "//", "/*", "*", "--", ";", "<!--")
+
+
+def blob_text(tokens: list[str]) -> tuple[str, int]:
+    """The contents of the literals that could be blobs - long, nearly without white space - with escapes decoded, and their length as written."""
+    out, raw = [], 0
+    for t in tokens:
+        if len(t) > BLOB_LITERAL and t[0] in "\"'`":
+            body = t.strip("\"'`")
+            solid = "".join(body.split())
+            if len(body) - len(solid) <= 0.05 * len(body):
+                raw += len(solid)
+                out.append(ESCAPE.sub(lambda m: chr(0xE000 + int(m.group(1), 16)), solid) if "\\x" in solid else solid)
+    return "".join(out), raw
+
+
+def head_lines(code: str) -> list[str]:
+    """The comment lines before the first line of code, however many."""
+    out = []
+    for line in code.split("\n"):
+        bare = line.strip()
+        if bare and not bare.startswith(COMMENT_MARKS):
+            break
+        if bare:
+            out.append(bare)
+    return out
+
+
+def line_grams(line: str) -> set[int]:
+    """Hashes of the word pairs and triples of a line, with its ends; numbers are all alike."""
+    words = ["^", *("0" if w[0].isdigit() else w for w in HEAD_WORD.findall(line.lower())), "$"]
+    return {xxhash.xxh64_intdigest(" ".join(words[i : i + n])) - (1 << 63) for n in (2, 3) for i in range(len(words) - n + 1)}
+
+
+def path_grams(path: str) -> set[int]:
+    """Hashes of the folders of a path as they are and by their form, of the parts of the file's name, and of its ending."""
+    folders = [x for x in path.replace("\\", "/").lower().split("/") if x not in ("", ".", "..")]
+    if not folders:
+        return set()
+    name = folders.pop()
+    forms = [re.sub(r"a+", "a", NAME_PART.sub(lambda m: "0" if m.group()[0].isdigit() else "a", x)) for x in folders]
+    # a folder that holds a package folder is told from one that holds the file
+    parts = [f"{'above' if i + 1 < len(folders) else 'last'} {x}" for i, x in enumerate([*folders])] + [f"form {x}" for x in forms]
+    parts += [f"name {x}" for x in re.split(r"[^a-z0-9]+", name)[1:] if x] + [f"end {name.partition('.')[2]}", *(f"pair {a}_{b}" for a, b in zip(re.split(r"[^a-z0-9]+", name)[1:], re.split(r"[^a-z0-9]+", name)[2:]))]
+    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in parts}
+
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         concrete: dict[str, int] = {}
         kinds: dict[str, int] = {}
         ids: list[np.ndarray] = []
-        rows = []
-        hashes: dict[str, int] = {}
-        for code in pdf.code:
+        rows, blobs, marks = [], [], []
+        for code, path in zip(pdf.code, pdf.relative_path):
             code = (code or "").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
             tokens = [t for t in TOKEN.findall(code) if t[0] != "#" and t[:2] not in ("//", "/*")]
             ids.append(np.fromiter((concrete.setdefault(t, len(concrete)) for t in tokens), np.int64, len(tokens)))
-            head = "\n".join(x for x in code.split("\n", 40)[:40] if x.lstrip()[:1] in ("#", "/", "*", "<", ";"))
-            head = "\n".join(x for x in head.split("\n")[:HEAD_LINES] if not OURS.search(x))
             lines = [x for x in code.split("\n") if x.strip()]
             solid = len("".join(code.split()))
-            rows.append((
-                bool(GENERATED_NOTICE.search(head)), bool(COPIED_NOTICE.search(head)),
-                sum(map(len, lines)) / max(len(lines), 1), 1 - solid / max(len(code), 1), solid, data_chars(code),
-            ))
+            literal = sum(len(t) for t in tokens if t[0] in "\"'`" or t[0].isdigit())
+            rows.append((sum(map(len, lines)) / max(len(lines), 1), solid, min(literal, solid)))
+            text, raw = blob_text(tokens)
+            blobs.append((np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), raw))
+            seen = [(-1, g) for g in path_grams(path or "")]
+            for i, line in enumerate(head_lines(code)):
+                seen += [(i, g) for g in line_grams(line)]
+            marks.append(seen)
         owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         kind = np.empty(len(concrete), np.uint64)
@@ -219,29 +239,32 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             stable[i] = zlib.crc32(t.encode("utf-8", "replace")) | len(t) << 32
             c = t[0]
             kind[i] = kinds.setdefault(t if t in KEYWORDS or not (c.isalnum() or c in "_\"'`") else "9" if c.isdigit() else "s" if c in "\"'`" else "n", len(kinds))
-        names = np.array(sorted(kinds, key=kinds.get))
-        by_name = np.fromiter((zlib.crc32(n.encode()) for n in names), np.uint64, len(names))
+        by_name = np.fromiter((zlib.crc32(n.encode()) for n in sorted(kinds, key=kinds.get)), np.uint64, len(kinds))
         reuse = repair_reuse(by_name[kind[flat].astype(np.int64)] if len(flat) else np.zeros(0, np.uint64), owner, len(ids))
         who, value, n = phrases(stable[flat] if len(flat) else np.zeros(0, np.uint64), owner)
         cut = np.searchsorted(who, np.arange(len(ids) + 1))
-        out = pd.DataFrame(rows, columns=["generated_notice", "copied_notice", "line", "space", "solid", "data"])
+        out = pd.DataFrame(rows, columns=["line", "solid", "literal"])
         out.insert(0, "file_no", pdf.file_no.to_numpy())
         out["repo"], out["relative_path"] = pdf.repo.to_numpy(), pdf.relative_path.to_numpy()
         out["tokens"] = [len(i) for i in ids]
         out["reuse"] = reuse
+        out["excess"] = np.log(reuse) - np.polyval(HAND_REUSE, np.log(np.maximum(out.tokens.to_numpy(), REUSE_TOKENS)))
+        out["blob"] = np.array([raw for _, raw in blobs], np.int64) * (blob_bits([b for b, _ in blobs]) >= INCOMPRESSIBLE)
         out["phrase"] = [value[a:b] for a, b in zip(cut[:-1], cut[1:])]
         out["phrase_tokens"] = [n[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
+        out["mark_line"] = [np.array([i for i, _ in m], np.int32) for m in marks]
+        out["mark"] = [np.array([g for _, g in m], np.int64) for m in marks]
         yield out
 
 
 SCHEMA = (
-    "file_no bigint, generated_notice boolean, copied_notice boolean, line double, space double, solid bigint, data bigint, repo string, relative_path string, "
-    "tokens bigint, reuse double, phrase array<bigint>, phrase_tokens array<int>"
+    "file_no bigint, line double, solid bigint, literal bigint, repo string, relative_path string, tokens bigint, reuse double, excess double, blob bigint, "
+    "phrase array<bigint>, phrase_tokens array<int>, mark_line array<int>, mark array<bigint>"
 )
 
 
 def features(files: DataFrame) -> DataFrame:
-    """The row of each file: notices, shape, data, grammar reuse, and its phrases."""
+    """The row of each file: shape, blobs, grammar reuse, its phrases, and the n-grams of its head and path."""
     rows = files.select("file_no", "repo", "relative_path", "code").where(F.col("file_no").isNotNull())
     return spread(rows).mapInPandas(_features, SCHEMA).dropDuplicates(["file_no"])
 
@@ -294,25 +317,76 @@ def exact_copies(feats: DataFrame, left: DataFrame) -> DataFrame:
     return files.select("file_no", "repo", "k").join(share, "k").where("o0 <> repo or o1 <> repo").groupBy("file_no").agg(F.max("shared").alias("shared"))
 
 
-def origins(files: DataFrame) -> DataFrame:
-    """(file_no, repo, relative_path, origin, reuse, shared): origin is generated, minified, data, vendored, or null for hand-written files."""
-    feats = cut_lineage(features(files))
-    f = feats.drop("phrase", "phrase_tokens").join(copies(feats), "file_no", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
-    path = F.regexp_replace(F.coalesce("relative_path", F.lit("")), r"\\", "/")
-    reused = (F.col("reuse") >= GENERATED_REUSE) & (F.col("tokens") >= REUSE_TOKENS)
-    minified = (F.col("line") >= MINIFIED_LINE) & (F.col("space") <= MINIFIED_SPACE) & (F.col("solid") >= 400)
+def told(feats: DataFrame) -> DataFrame:
+    """The features with what the grammar alone tells: grammar_origin, and shared."""
+    f = feats.join(copies(feats), "file_no", "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    reused = (F.col("excess") >= EXCESS) & (F.col("tokens") >= REUSE_TOKENS)
     origin = (
-        F.when(F.col("generated_notice") | path.rlike(GENERATED_NAME.pattern), "generated")
-        .when((F.col("data") >= DATA_CHARS) & (F.col("data") >= DATA_SHARE * F.col("solid")), "data")
-        .when(minified | path.rlike(MINIFIED_NAME.pattern), "minified")
+        F.when((F.col("blob") >= DATA_CHARS) & (F.col("literal") >= DATA_SHARE * F.col("solid")), "data")
+        .when(reused & (F.col("literal") >= DATA_SHARE * F.col("solid")), "data")
+        .when((F.col("line") >= MINIFIED_LINE) & (F.col("excess") >= MINIFIED_EXCESS) & (F.col("solid") >= MINIFIED_CHARS), "minified")
         .when(reused, "generated")
-        .when(F.col("copied_notice") | path.rlike(VENDOR_FOLDER.pattern) | (F.col("shared") >= COPIED_SHARE), "vendored")
+        .when(F.col("shared") >= COPIED_SHARE, "vendored")
     )
-    return f.select("file_no", "repo", "relative_path", origin.alias("origin"), "reuse", "shared", "data", "solid", "line", "space", "tokens", "generated_notice", "copied_notice")
+    return f.withColumn("grammar_origin", origin)
+
+
+def _surely(told: Column, n: Column) -> Column:
+    """The share that told of n files surely have, three standard deviations below (Wilson): a rare name is no mark by chance."""
+    p = told / n
+    return (p + 4.5 / n - 3 * F.sqrt(p * (1 - p) / n + 2.25 / (n * n))) / (1 + 9 / n)
+
+
+def learned(f: DataFrame) -> DataFrame:
+    """(file_no, mark_generated, mark_vendored, ..): whether the head or path of a file bears marks of files told already.
+
+    `f` has file_no, repo, grammar_origin, mark_line, mark. In the first round the told files are the grammar's, and only heads are
+    judged; in the second the files with such heads are told too, and paths are judged as well: a notice leads to the folders such files lie in.
+    A path never tells others. N-grams are counted before the shuffle, over all files, and a part of a path counts only where files of
+    several repositories are told; what comes back to the files is a share for each n-gram. Thresholds are single numbers: the
+    scores of the told files themselves."""
+    start = f.select("file_no", F.coalesce("repo", F.lit("")).alias("repo"), *[F.coalesce(F.col("grammar_origin") == k, F.lit(False)).cast("int").alias(k) for k in LEARNED])
+    each = f.select("file_no", F.explode(F.arrays_zip("mark_line", "mark")).alias("m"))
+    each = each.select("file_no", F.col("m.mark_line").alias("at"), F.col("m.mark").alias("g"), F.pmod(F.xxhash64("file_no"), F.lit(SALT)).cast("int").alias("salt"))
+    known, scores = start, None
+    for judge in (("head",), ("head", "path")):
+        rows = each.join(known, "file_no")
+        # a file holds an n-gram once, however many of its lines do
+        grams = rows.groupBy("g", "file_no").agg(F.first("repo").alias("repo"), *[F.first(k).alias(k) for k in LEARNED])
+        grams = grams.groupBy("g", "repo").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in LEARNED])
+        grams = grams.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(k).alias(f"told_{k}") for k in LEARNED], *[F.count_if(F.col(k) > 0).alias(f"repos_{k}") for k in LEARNED])
+        grams = grams.where(F.col("n") >= MARK_FILES).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        by_line = rows.join(grams, ["g", "salt"]).groupBy("file_no", "at").agg(
+            *[F.first(k).alias(k) for k in LEARNED], *[F.avg(F.col(f"told_{k}") / F.col("n")).alias(f"head_{k}") for k in LEARNED],
+            *[F.max(F.when(F.col(f"repos_{k}") >= MARK_REPOS, _surely(F.col(f"told_{k}"), F.col("n")))).alias(f"path_{k}") for k in LEARNED], F.count(F.lit(1)).alias("grams"))
+        in_head = (F.col("at") >= 0) & (F.col("grams") >= 2)
+        scores = cut_lineage(by_line.groupBy("file_no").agg(
+            *[F.max(k).alias(k) for k in LEARNED], *[F.max(F.when(in_head, F.col(f"head_{k}"))).alias(f"head_{k}") for k in LEARNED],
+            *[F.max(F.when(F.col("at") < 0, F.col(f"path_{k}"))).alias(f"path_{k}") for k in LEARNED]))
+        own = scores.agg(*[F.percentile_approx(F.when(F.col(k) == 1, F.col(f"{p}_{k}")), 0.75, 1000).alias(f"{p}_{k}") for k in LEARNED for p in judge]).first()
+        base = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in LEARNED]).first()
+        marks = []
+        for k in LEARNED:
+            odds = MARK_ODDS * (base[k] or 0) / max(1, base["n"] - (base[k] or 0))
+            hits = [F.coalesce(F.col(f"{p}_{k}") >= max(odds / (1 + odds), MARK_SHARE[p] * own[f"{p}_{k}"]), F.lit(False)) for p in judge if own[f"{p}_{k}"] is not None]
+            marks.append(reduce(lambda a, b: a | b, hits, F.lit(False)).alias(f"mark_{k}"))
+        scores = scores.select("file_no", *marks, *[f"{p}_{k}" for k in LEARNED for p in ("head", "path")])
+        known = start.join(scores, "file_no", "left").select("file_no", "repo", *[F.greatest(F.col(k), F.coalesce(F.col(f"mark_{k}").cast("int"), F.lit(0))).alias(k) for k in LEARNED])
+    return scores
+
+
+def origins(files: DataFrame) -> DataFrame:
+    """(file_no, repo, relative_path, origin, grammar_origin, reuse, shared, ..): origin is generated, minified, data, vendored, or null
+    for hand-written files; grammar_origin is what the grammar tells without learned marks."""
+    f = cut_lineage(told(cut_lineage(features(files))).drop("phrase", "phrase_tokens"))
+    f = f.drop("mark_line", "mark").join(learned(f), "file_no", "left")
+    origin = F.coalesce("grammar_origin", F.when(F.col("mark_generated"), "generated").when(F.col("mark_vendored"), "vendored"))
+    return f.select("file_no", "repo", "relative_path", origin.alias("origin"), "grammar_origin", "reuse", "excess", "shared", "blob", "literal", "solid", "line", "tokens",
+                    "head_generated", "path_generated", "head_vendored", "path_vendored")
 
 
 def p1_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return origins(read_table(spark, sf_dir, "source_file")).select("file_no", "origin", "reuse", "shared")
+    return origins(read_table(spark, sf_dir, "source_file")).select("file_no", "origin", "grammar_origin", "reuse", "shared")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

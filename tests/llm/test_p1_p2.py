@@ -17,26 +17,59 @@ def files(spark, rows):
     return spark.createDataFrame([(n, r, "/x/" + (p or ""), p, c, "clash", 1, "clash") for n, r, p, c in rows], schema)
 
 
-def test_origins(spark):
+def test_grammar_tells(spark):
+    """What the grammar alone tells, in a corpus too small to learn marks from."""
     rng = np.random.default_rng(1)
     blob = "DATA = b'" + "".join(f"\\x{b:02x}" for b in rng.integers(0, 256, 800)) + "'\n"
     mini = "!function(){" + "".join(f"function {c}(e,f){{return e.m{c}(f)}}" for c in "abcdefghijklmnopqrstuvwxyz") + "}();"
+    hand = "\n\n".join(
+        f"def {''.join(rng.choice(list('abcdefgh'), 6))}(a, b):\n" + "".join(f"    {x} = {y}" for x, y in zip(rng.permutation(["u", "v", "w", "q"]), rng.permutation(["a + b\n", "[i for i in b]\n", "f(a, k=3)\n", "{'x': a}\n"]))) for _ in range(3))
+    words = "WORDS = {\n" + "".join(f'    "{rng.integers(10**9)}": "w{rng.integers(10**9)}",\n' for _ in range(400)) + "}\n"
     rows = [
-        (1, "a", "src/x.py", "# This file was produced by tool; do not edit.\n" + BODY), (2, "a", "src/autogen_report.py", BODY.replace("alpha", "omega").replace("gamma", "chi")),
-        (3, "a", "src/s.py", STUBS), (4, "a", "src/b.py", blob), (5, "a", "web/m.js", mini),
+        (1, "a", "src/x.py", "# This file was produced by tool; do not edit.\n" + hand), (2, "a", "src/autogen_report.py", hand.replace("a + b", "a - b * 2")), (3, "a", "src/s.py", STUBS), (4, "a", "src/b.py", blob), (5, "a", "web/m.js", mini),
         (6, "a", "src/lib/shared.py", BODY.replace("ctx", "env").replace("limit", "cap")), (7, "b", "pkg/shared2.py", "# other head\n" + BODY.replace("ctx", "env").replace("limit", "cap")),
-        (8, "b", "vendor/lib-1.2/core.py", "x = 1\n"), (9, "b", "vendor/ledger.py", "y = 2\n"), (10, "b", "a.py", None), (11, "b", "b.py", ""),
+        (8, "b", "vendor/lib-1.2/core.py", "x = 1\n"), (9, "b", "words.py", words), (10, "b", "a.py", None), (11, "b", "b.py", ""),
         (12, "b", "w.py", "# Do not edit the generated index by hand, change this writer instead.\ndef w():\n    return 1\n"), (12, "b", "w.py", "# Do not edit the generated index by hand, change this writer instead.\ndef w():\n    return 1\n"),
-        (13, None, None, "z = 3"), (14, "c", "long.py", "\n".join(f"v{i} = call_{i * 7919}(a{i * 31}, b{i * 17})" for i in range(3000))),
+        (13, None, None, "z = 3"), (14, "b", "p.min.py", "\n".join(f"def {a}(b,c,d):b=c[d];d=[b for b in c if b>{n}];c=lambda d:d^{n};b+=d(c,{n});" * 4 for n, a in enumerate("fghijklmno"))),
     ]
     got = {r["file_no"]: r["origin"] for r in p1.origins(files(spark, rows)).collect()}
     assert len(got) == 14
-    assert got[1] == got[3] == "generated" and got[4] == "data" and got[5] == "minified"
-    assert got[6] == got[7] == "vendored" and got[8] == "vendored"
-    assert all(got[n] is None for n in (2, 9, 10, 11, 12, 13))
+    assert got[3] == "generated" and got[4] == got[9] == "data" and got[5] == got[14] == "minified" and got[6] == got[7] == "vendored"
+    assert all(got[n] is None for n in (1, 2, 8, 10, 11, 12, 13))
     assert p1.origins(files(spark, [])).count() == 0
 
 
+def _hand(rng, n=9):
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(60)]
+    w = lambda: words[rng.integers(60)]
+    forms = ["    {0} = {1}.{2}({3})", "    if {0} is None:\n        raise {1}('{2} {3}')", "    for {0} in {1}:\n        {2}.append({0})", "    {0}, {1} = {2}['{3}'], 7", "    while {0} < 10:\n        {0} += {1}", "    with {0}({1}) as {2}:\n        {3} = {2}.read()"]
+    return "\n\n".join(f"def {w()}_{w()}({w()}, {w()}=None):\n" + "\n".join(forms[rng.integers(6)].format(w(), w(), w(), w()) for _ in range(rng.integers(2, 7))) + f"\n    return {w()}" for _ in range(n))
+
+
+@pytest.mark.parametrize("licence", [0, 30])
+def test_marks_are_learned(spark, licence):
+    """Notices and names of told files mark files that read like any other, behind a licence of any length; words about them don't."""
+    rng = np.random.default_rng(5)
+    top = "".join(f"# clause {i} of the terms\n" for i in range(licence))
+    rows, n = [], 0
+    for i in range(60):  # told by their grammar, half of them with a notice
+        rows.append((n := n + 1, f"r{i % 7}", f"src/{i}/s_autogen.py" if i % 3 else f"lib/t{i}.py", (f"# Code emitted by tool{i} from x.proto; do not touch.\n" if i % 2 else "") + STUBS.replace("item", f"i{i}")))
+    told = n
+    for i in range(40):  # hand-written in form, with a notice
+        rows.append((n := n + 1, f"r{i % 7}", f"pkg/m{i}.py", top + f"# Code emitted by tool{100 + i} from y.proto; do not touch.\n" + _hand(rng)))
+    for i in range(30):  # by the name alone
+        rows.append((n := n + 1, f"r{i % 7}", f"pkg/n{i}_autogen.py", _hand(rng)))
+    marked = n
+    for i in range(40):  # about such files
+        rows.append((n := n + 1, f"r{i % 7}", f"pkg/o{i}.py", "# This writer makes code; do not touch what it emitted, change the writer.\n" + _hand(rng)))
+    for i in range(500):
+        rows.append((n := n + 1, f"r{i % 7}", f"src/{i}/p{i}.py", (top or "# Copyright somebody\n") * (i % 2) + _hand(rng)))
+    got = {r["file_no"]: (r["grammar_origin"], r["origin"]) for r in p1.origins(files(spark, rows)).collect()}
+    assert all(got[i] == ("generated", "generated") for i in range(1, told + 1))
+    assert all(got[i] == (None, "generated") for i in range(told + 1, marked + 1))
+    assert all(got[i] == (None, None) for i in range(marked + 1, n + 1))
+
+
 @pytest.mark.parametrize("edited", [False, True])
 def test_copies_between_variants(spark, edited):
     """The first and the last holder of every rule are variants that hold a part of the file each; the copies lie between them."""
@@ -56,17 +89,15 @@ def test_repair_counts_rules():
     assert reuse[0] > 1.2 and reuse[1] == 1
 
 
-def test_incompressible():
+def test_blob_bits():
     rng = np.random.default_rng(2)
+    code = lambda t: np.array([ord(c) for c in t], np.uint32)
     b64 = "".join(np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))[rng.integers(0, 64, 400)])
-    assert p1.is_incompressible(f"'{b64}'") and not p1.is_incompressible("'" + "path/to/some/dir/" * 20 + "'") and not p1.is_incompressible("'short'")
-
-
-def test_word_lists_are_data():
-    rng = np.random.default_rng(4)
-    word = lambda: "".join(np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, 9)])
-    table = "WORDS = {\n" + "".join(f'    "{word()}": "{word()}",\n' for _ in range(400)) + "}\n"
-    assert p1.data_chars(table) >= 0.9 * len("".join(table.split())) and p1.data_chars(BODY) == 0
+    words = "".join(np.array(["path", "order", "index", "cache", "token", "value"])[rng.integers(0, 6, 90)])
+    bits = p1.blob_bits([code(b64), code(words), code(""), code("aaaa" * 50)])
+    assert bits[0] >= p1.INCOMPRESSIBLE and (bits[1:] < p1.INCOMPRESSIBLE).all()
+    text, raw = p1.blob_text(["'" + "\\x0f\\xa1" * 20 + "'", "'short'", "'" + "long words with spaces " * 9 + "'"])
+    assert raw == 160 and len(text) == 40
 
 
 ENDS: dict = {}
