@@ -1,16 +1,21 @@
 """Per-document text statistics, and outlier scores from exact ranks within each language.
 
-One pass over the texts gives the counts and shares of each document (no shuffle but the spreading of rows). Each statistic then
-gets exact ranks within the document's language: values are counted before any shuffle, the distinct (language, statistic, value)
-rows are range-partitioned and sorted, each part sums its counts, and part offsets turn local positions into global ones. A rank
-over the number of documents is an empirical cumulative probability; the tail probabilities of the statistics on the side of junk
-are combined as the sum of their negative logarithms (Fisher). The same sum is taken over the tails of a fixed reference of ordinary
-documents, so a language tag of one document, or one where most texts are junk, vetoes nothing. A document is a candidate if the
-larger of the two scores is high, and is found if in addition the larger part of its characters stands outside running prose. The
-reference has hardly a document with so little prose, so each of these is a candidate: what is found hangs on no other document.
+One pass over the texts gives the counts and shares of each document (no shuffle but the spreading of rows). The scored statistics
+then get exact ranks within the document's language: values are counted before any shuffle, the distinct (language, statistic,
+value) rows are range-partitioned and sorted, each part sums its counts, and part offsets turn local positions into global ones. A rank
+over the number of documents is an empirical cumulative probability; the tail probabilities on the side of junk are combined as the
+sum of their negative logarithms (Fisher).
+
+Ranks are taken twice. The first score orders all documents of a language; those up to its median are the language's core. The second
+score is that of the tails against the core alone, so that junk lies beyond the core whether it is a tenth or nearly half of the language.
+Tails point one way only, so plain prose scores low whatever else its language holds.
+
+The score decides: from CLEAR on a document is found, below POSSIBLE it is not, and only between the two an exact check follows,
+whether the larger part of its characters stands outside running prose. As the core of a language that holds junk only is junk,
+and that of a language of one document is that document, the same sum over the quantiles of a fixed reference counts for POSSIBLE as well.
 
 Running prose is told by stretches of lines: lines of strict form (table, log, tree, key-value, markup, code, dump) are no prose,
-the other lines of a paragraph are judged together by their share of common words of five languages, or for scripts without
+the other lines of a paragraph are judged together by their share of common words of four languages, or for scripts without
 spaces by letters and sentence marks.
 
 Defined cases: null, empty and blank texts get null statistics and are no cases; a null or blank language is its own group `und`,
@@ -24,18 +29,18 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrykit.runtime import cut_lineage, read_table, spread
+from quarrykit.runtime import cut_lineage, parts_for, read_table, spread
 
 #: Common words.
 COMMON = frozenset(
     # English
     "the of and to a in is it that for on as with was be by at from or an are this which you not but have had has were they their all one there so when can will would if "
     "no more out up into do its time than only some could them other then now over also after before because may must should been about until while where what who how each every "
-    "both same such these those we our us your he she his her him me my i any most once twice does did nothing very just too own yet again needs whether depends whoever nobody "
-    "somebody everyone anything either neither first last turns looks slower faster "
+    "both same such these those we our us your he she his her him me my i any most once does did nothing very just too own yet again anything either neither first "
+    "last "
     # German
     "der die das und ist nicht ein eine einen einem einer den dem des von zu mit sich auf für im in als auch es an werden aus er hat dass sie nach wird bei noch wie um am sind "
     "über kann wenn wir ich war nur oder aber vor zur bis mehr durch man sein wurde sobald damit obwohl bevor weil sonst schon konnte "
@@ -74,8 +79,12 @@ STATS = ("words", "mean_word_len", "symbol_ratio", "digit_ratio", "line_end_shar
 TAIL = {"words": 0, "mean_word_len": 0, "symbol_ratio": 1, "digit_ratio": 1, "line_end_share": -1, "common_share": -1, "prose_share": -1}
 #: Common words a prose stretch has at least; words below which a stretch follows its neighbour.
 COMMON_LEAST, SHORT = 0.2, 4
-#: Score from which a document is a candidate: that of a document in the middle of every statistic (ln 2 for each) less a third.
-CANDIDATE = 0.65 * len(STATS) * 0.6931
+#: The statistics that are scored, and the least tail probability that counts, so that scores mean the same at every size.
+SCORED, LEAST_TAIL = ("symbol_ratio", "digit_ratio", "line_end_share", "common_share", "prose_share"), 0.001
+#: Score from which a document is found, and below which it is not; between them the share of prose is looked at.
+CLEAR, POSSIBLE = 30.0, 11.0
+#: A value that one in HEAVY of all documents has is joined back by broadcast: at most that many values a statistic.
+HEAVY = 1000
 #: Fixed reference: each statistic's quantiles over the 6,247 documents of sf0.1 whose prose share is at least 0.5.
 QUANTILES = (0.001, 0.01, 0.1, 0.5, 0.9, 0.99, 0.999)
 REFERENCE = {
@@ -201,13 +210,13 @@ def with_stats(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
 
 def exact_ranks(long: DataFrame) -> DataFrame:
-    """(lang, stat, value, n, below, total) of each distinct value: documents with it, with less, and in all.
+    """(lang, stat, value, docs, n, below, total) of each distinct value: documents with it, and of those that count (`counts` is 1)
+    how many have it, less, and anything.
 
-    `long` has lang, stat, value. Counting precedes the shuffle; parts hold ranges of (lang, stat, value), so a language or value
+    `long` has lang, stat, value, counts. Counting precedes the shuffle; parts hold ranges of (lang, stat, value), so a language or value
     of a third of all rows is spread over parts. The offsets table has a row for each part and group in it."""
-    counts = long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
-    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, "lang", "stat", "value").sortWithinPartitions("lang", "stat", "value")
+    counts = long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("docs"), F.sum("counts").alias("n"))
+    ranged = counts.repartitionByRange(parts_for(counts), "lang", "stat", "value").sortWithinPartitions("lang", "stat", "value")
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run: dict = {}
@@ -224,29 +233,41 @@ def exact_ranks(long: DataFrame) -> DataFrame:
                 pdf["part"] = part
                 yield pdf
 
-    local = cut_lineage(ranged.mapInPandas(number, "lang string, stat string, value double, n bigint, below_here bigint, part int"))
-    from pyspark.sql import Window
-
+    local = cut_lineage(ranged.mapInPandas(number, "lang string, stat string, value double, docs bigint, n bigint, below_here bigint, part int"))
     sums = local.groupBy("lang", "stat", "part").agg(F.sum("n").alias("in_part"))
     w = Window.partitionBy("lang", "stat")
     offsets = sums.select(
         "lang", "stat", "part", F.sum("in_part").over(w).alias("total"),
         F.coalesce(F.sum("in_part").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return local.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", "n", (F.col("below_here") + F.col("offset")).alias("below"), "total")
+    return local.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", "docs", "n", (F.col("below_here") + F.col("offset")).alias("below"), "total")
+
+
+def _summed_tails(long: DataFrame, documents: int) -> DataFrame:
+    """(key, lang, score): the sum over the statistics of -ln of the tail probability on the side of junk, among the rows that count."""
+    ranks = exact_ranks(long.select("lang", "stat", "value", "counts"))
+    low = (F.col("below") + F.col("n") + 1) / (F.col("total") + 1)
+    high = (F.col("total") - F.col("below") + 1) / (F.col("total") + 1)
+    side = F.create_map(*[x for s in SCORED for x in (F.lit(s), F.lit(TAIL[s]))])[F.col("stat")]
+    tail = F.when(side < 0, low).when(side > 0, high).otherwise(2 * F.least(low, high))
+    tails = cut_lineage(ranks.select("lang", "stat", "value", "docs", (-F.log(F.least(F.lit(1.0), F.greatest(F.lit(LEAST_TAIL), tail)))).alias("s")))
+    # values that very many documents share come by broadcast; so no value is one task's work
+    heavy = tails.where(F.col("docs") * HEAVY >= documents).select("lang", "stat", "value", F.col("s").alias("heavy"))
+    met = long.select("key", "lang", "stat", "value").join(F.broadcast(heavy), ["lang", "stat", "value"], "left")
+    rest = met.where("heavy is null").drop("heavy").join(tails.select("lang", "stat", "value", "s"), ["lang", "stat", "value"])
+    both = met.where("heavy is not null").select("key", "lang", F.col("heavy").alias("s")).unionByName(rest.select("key", "lang", "s"))
+    return both.groupBy("key", "lang").agg(F.sum("s").alias("score"))
 
 
 def outlier_scores(stats: DataFrame, key: str) -> DataFrame:
-    """(key, lang, score): the sum over the statistics of -ln of the tail probability on the side of junk."""
-    filled = stats.where(F.col("words").isNotNull())
-    pairs = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS])
-    long = filled.select(key, "lang", F.explode(pairs).alias("p")).select(key, "lang", "p.stat", "p.value")
-    ranks = exact_ranks(long.select("lang", "stat", "value"))
-    low = (F.col("below") + F.col("n")) / F.col("total")
-    high = (F.col("total") - F.col("below")) / F.col("total")
-    side = F.create_map(*[x for s, t in TAIL.items() for x in (F.lit(s), F.lit(t))])[F.col("stat")]
-    tail = F.when(side < 0, low).when(side > 0, high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
-    tails = ranks.select("lang", "stat", "value", (-F.log(tail)).alias("s"))
-    return long.join(tails, ["lang", "stat", "value"]).groupBy(key, "lang").agg(F.sum("s").alias("score"))
+    """(key, lang, score): the outlier score of each document that has statistics, against the core of its language."""
+    filled = stats.where(F.col("words").isNotNull()).withColumnRenamed(key, "key")
+    pairs = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in SCORED])
+    long = filled.select("key", "lang", F.explode(pairs).alias("p")).select("key", "lang", "p.stat", "p.value")
+    documents = filled.count()
+    first = cut_lineage(_summed_tails(long.withColumn("counts", F.lit(1)), documents))
+    median = first.groupBy("lang").agg(F.percentile_approx("score", 0.5, 10_000).alias("median"))
+    core = first.join(F.broadcast(median), "lang").select("key", "lang", (F.col("score") <= F.col("median")).cast("int").alias("counts"))
+    return _summed_tails(long.join(core, ["key", "lang"]), documents).withColumnRenamed("key", key)
 
 
 def reference_score() -> Column:
@@ -260,14 +281,21 @@ def reference_score() -> Column:
         side = TAIL[stat]
         return low if side < 0 else high if side > 0 else F.least(F.lit(1.0), 2 * F.least(low, high))
 
-    return reduce(lambda a, b: a + b, [-F.log(tail(s)) for s in STATS])
+    return reduce(lambda a, b: a + b, [-F.log(tail(s)) for s in SCORED])
 
 
-def found(stats: DataFrame, key: str) -> DataFrame:
-    """(key) of the documents whose larger score makes them candidates and whose prose is the smaller part."""
+def decided(stats: DataFrame, key: str) -> DataFrame:
+    """(key, score, found, by): what each document with statistics is found to be, and whether its score or the exact check decides."""
     scores = outlier_scores(stats, key).groupBy(key).agg(F.max("score").alias("score"))
-    candidates = stats.where(F.col("prose_share") < 0.5).join(scores, key).where(F.greatest("score", reference_score()) >= CANDIDATE)
-    return candidates.select(key).dropDuplicates([key])
+    rows = stats.where(F.col("words").isNotNull()).join(scores, key)
+    possible = F.greatest("score", reference_score()) >= POSSIBLE
+    clear = F.col("score") >= CLEAR
+    return rows.select(key, "score", (clear | (possible & (F.col("prose_share") < 0.5))).alias("found"), F.when(clear | ~possible, "score").otherwise("check").alias("by")).dropDuplicates([key])
+
+
+def found(stats: DataFrame, key: str) -> DataFrame:
+    """(key) of the documents found not to be running prose."""
+    return decided(stats, key).where("found").select(key)
 
 
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

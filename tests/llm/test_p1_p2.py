@@ -53,7 +53,7 @@ def test_marks_are_learned(spark, licence):
     top = "".join(f"# clause {i} of the terms\n" for i in range(licence))
     rows, n = [], 0
     for i in range(60):  # told by their grammar, half of them with a notice
-        rows.append((n := n + 1, f"r{i % 7}", f"src/{i}/s_autogen.py" if i % 3 else f"lib/t{i}.py", (f"# Code emitted by tool{i} from x.proto; do not touch.\n" if i % 2 else "") + STUBS.replace("item", f"i{i}")))
+        rows.append((n := n + 1, f"r{i % 7}", f"src/{i}/s_autogen.py", (f"# Code emitted by tool{i} from x.proto; do not touch.\n" if i % 2 else "") + STUBS.replace("item", f"i{i}")))
     told = n
     for i in range(40):  # hand-written in form, with a notice
         rows.append((n := n + 1, f"r{i % 7}", f"pkg/m{i}.py", top + f"# Code emitted by tool{100 + i} from y.proto; do not touch.\n" + _hand(rng)))

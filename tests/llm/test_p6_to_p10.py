@@ -113,13 +113,46 @@ def test_leaks_against_brute_force(spark, least, monkeypatch):
 
 
 def test_exact_ranks(spark):
+    """Ranks among the rows that count, of the values of all rows; more than half of the rows share a value."""
     rng = random.Random(4)
-    rows = [(rng.choice(["en", "en", "de"]), rng.choice(["s", "t"]), float(rng.choice([1, 1, 2, 3, rng.randrange(99)]))) for _ in range(3000)]
-    got = {(r["lang"], r["stat"], r["value"]): (r["n"], r["below"], r["total"]) for r in p10.exact_ranks(spark.createDataFrame(rows, "lang string, stat string, value double")).collect()}
+    rows = [(rng.choice(["en", "en", "de"]), rng.choice(["s", "t"]), float(rng.choice([1, 1, 1, 2, rng.randrange(99)])), rng.randrange(2)) for _ in range(3000)]
+    got = {(r["lang"], r["stat"], r["value"]): (r["docs"], r["n"], r["below"], r["total"]) for r in p10.exact_ranks(spark.createDataFrame(rows, "lang string, stat string, value double, counts int")).collect()}
     by = defaultdict(list)
-    for lang, stat, v in rows:
-        by[lang, stat].append(v)
-    assert got == {(*k, x): (v.count(x), sum(y < x for y in v), len(v)) for k, v in by.items() for x in set(v)}
+    for lang, stat, v, c in rows:
+        by[lang, stat].append((v, c))
+    assert got == {(*k, x): (sum(y == x for y, _ in v), sum(c for y, c in v if y == x), sum(c for y, c in v if y < x), sum(c for _, c in v)) for k, v in by.items() for x, _ in v}
+
+
+def test_scores_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 900
+    junk = rng.random(n) < 0.3
+    cols = {s: np.where(junk, rng.random(n), np.round(rng.random(n) * 0.2, 1)) if p10.TAIL[s] > 0 else np.where(junk, rng.random(n) * 0.3, np.round(0.8 + rng.random(n) * 0.2, 1)) for s in p10.SCORED}
+    lang = np.where(rng.random(n) < 0.7, "en", "de")
+    rows = [(i, str(lang[i]), 5.0, *[float(cols[s][i]) for s in p10.SCORED]) for i in range(n)]
+    stats = spark.createDataFrame(rows, "doc_id bigint, lang string, words double, " + ", ".join(f"{s} double" for s in p10.SCORED))
+
+    def summed(ref):
+        out = np.zeros(n)
+        for g in ("en", "de"):
+            for s in p10.SCORED:
+                r = np.sort(cols[s][(lang == g) & ref])
+                x = cols[s][lang == g]
+                p = (np.searchsorted(r, x, "right") + 1) / (len(r) + 1) if p10.TAIL[s] < 0 else (len(r) - np.searchsorted(r, x, "left") + 1) / (len(r) + 1)
+                out[lang == g] -= np.log(np.clip(p, p10.LEAST_TAIL, 1))
+        return out
+
+    first = summed(np.ones(n, bool))
+    core = np.zeros(n, bool)
+    for g in ("en", "de"):
+        x = np.sort(first[lang == g])
+        core[lang == g] = first[lang == g] <= x[int(np.ceil(len(x) / 2)) - 1] + 1e-12
+    want = summed(core)
+    got = {r["doc_id"]: r["score"] for r in p10.outlier_scores(stats, "doc_id").collect()}
+    assert len(got) == n and np.allclose([got[i] for i in range(n)], want)
+    assert want[junk].min() > np.quantile(want[~junk], 0.9)
 
 
 def test_quality(spark):
