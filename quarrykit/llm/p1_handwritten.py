@@ -55,8 +55,8 @@ WINDOW, RULE_TOKENS = 8, 20
 MARK_FILES, MARK_REPOS, MARK_SHARE, MARK_ODDS = 8, 3, {"head": 0.5, "path": 0.3}, 4.0
 #: What marks are learned for.
 LEARNED = ("generated", "vendored")
-#: Copies of the table of n-grams, so that an n-gram of a third of all files is not one task's work.
-SALT = 8
+#: An n-gram of one in HOT of all files is looked up by broadcast, so that one of a third of all files is not one task's work.
+HOT = 1000
 
 TOKEN = re.compile(
     r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*.*?\*/|\d[\w.]*|\w+|[^\w\s]", re.S
@@ -227,9 +227,12 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((sum(map(len, lines)) / max(len(lines), 1), solid, min(literal, solid)))
             text, raw = blob_text(tokens)
             blobs.append((np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), raw))
-            seen = [(-1, g) for g in path_grams(path or "")]
+            met: set[int] = set()
+            seen = [(-1, 1, g) for g in path_grams(path or "")]
             for i, line in enumerate(head_lines(code)):
-                seen += [(i, g) for g in line_grams(line)]
+                grams = line_grams(line)
+                seen += [(i, int(g not in met), g) for g in grams]
+                met |= grams
             marks.append(seen)
         owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
@@ -252,21 +255,22 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out["blob"] = np.array([raw for _, raw in blobs], np.int64) * (blob_bits([b for b, _ in blobs]) >= INCOMPRESSIBLE)
         out["phrase"] = [value[a:b] for a, b in zip(cut[:-1], cut[1:])]
         out["phrase_tokens"] = [n[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
-        out["mark_line"] = [np.array([i for i, _ in m], np.int32) for m in marks]
-        out["mark"] = [np.array([g for _, g in m], np.int64) for m in marks]
+        out["mark_line"] = [np.array([i for i, _, _ in m], np.int32) for m in marks]
+        out["mark_new"] = [np.array([x for _, x, _ in m], np.int32) for m in marks]
+        out["mark"] = [np.array([g for _, _, g in m], np.int64) for m in marks]
         yield out
 
 
 SCHEMA = (
     "file_no bigint, line double, solid bigint, literal bigint, repo string, relative_path string, tokens bigint, reuse double, excess double, blob bigint, "
-    "phrase array<bigint>, phrase_tokens array<int>, mark_line array<int>, mark array<bigint>"
+    "phrase array<bigint>, phrase_tokens array<int>, mark_line array<int>, mark_new array<int>, mark array<bigint>"
 )
 
 
 def features(files: DataFrame) -> DataFrame:
     """The row of each file: shape, blobs, grammar reuse, its phrases, and the n-grams of its head and path."""
     rows = files.select("file_no", "repo", "relative_path", "code").where(F.col("file_no").isNotNull())
-    return spread(rows).mapInPandas(_features, SCHEMA).dropDuplicates(["file_no"])
+    return spread(rows, "file_no").dropDuplicates(["file_no"]).mapInPandas(_features, SCHEMA)
 
 
 def copies(feats: DataFrame) -> DataFrame:
@@ -337,49 +341,57 @@ def _surely(told: Column, n: Column) -> Column:
     return (p + 4.5 / n - 3 * F.sqrt(p * (1 - p) / n + 2.25 / (n * n))) / (1 + 9 / n)
 
 
+def _meet(rows: DataFrame, table: DataFrame, files: int, how: str) -> DataFrame:
+    """Rows with their n-gram's entry of `table`; both hold its number of files, n. N-grams of very many files meet by broadcast: they
+    are at most HOT times the n-grams of a file; so none of them is one task's work."""
+    hot = F.col("n") * HOT >= files
+    return rows.where(hot).join(F.broadcast(table.where(hot).drop("n")), "g", how).unionByName(rows.where(~hot).join(table.where(~hot).drop("n"), "g", how))
+
+
 def learned(f: DataFrame) -> DataFrame:
     """(file_no, mark_generated, mark_vendored, ..): whether the head or path of a file bears marks of files told already.
 
-    `f` has file_no, repo, grammar_origin, mark_line, mark. In the first round the told files are the grammar's, and only heads are
+    `f` has file_no, repo, grammar_origin, mark_line, mark_new, mark. In the first round the told files are the grammar's, and only heads are
     judged; in the second the files with such heads are told too, and paths are judged as well: a notice leads to the folders such files lie in.
     A path never tells others. N-grams are counted before the shuffle, over all files, and a part of a path counts only where files of
     several repositories are told; what comes back to the files is a share for each n-gram. Thresholds are single numbers: the
     scores of the told files themselves."""
     start = f.select("file_no", F.coalesce("repo", F.lit("")).alias("repo"), *[F.coalesce(F.col("grammar_origin") == k, F.lit(False)).cast("int").alias(k) for k in LEARNED])
-    each = f.select("file_no", F.explode(F.arrays_zip("mark_line", "mark")).alias("m"))
-    each = each.select("file_no", F.col("m.mark_line").alias("at"), F.col("m.mark").alias("g"), F.pmod(F.xxhash64("file_no"), F.lit(SALT)).cast("int").alias("salt"))
+    each = f.select("file_no", F.explode(F.arrays_zip("mark_line", "mark_new", "mark")).alias("m"))
+    each = each.select("file_no", F.col("m.mark_line").alias("at"), F.col("m.mark_new").alias("new"), F.col("m.mark").alias("g"))
+    files = f.count()
+    usual = cut_lineage(each.groupBy("g").agg(F.sum("new").alias("n")).where(F.col("n") >= MARK_FILES))
+    hot = F.broadcast(usual.where(F.col("n") * HOT >= files))
+    named = each.join(hot, "g", "left")
+    each = cut_lineage(named.where("n is not null").unionByName(named.where("n is null").drop("n").join(usual.where(F.col("n") * HOT < files), "g")))
     known, scores = start, None
     for judge in (("head",), ("head", "path")):
-        rows = each.join(known, "file_no")
-        # a file holds an n-gram once, however many of its lines do
-        grams = rows.groupBy("g", "file_no").agg(F.first("repo").alias("repo"), *[F.first(k).alias(k) for k in LEARNED])
-        grams = grams.groupBy("g", "repo").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in LEARNED])
-        grams = grams.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(k).alias(f"told_{k}") for k in LEARNED], *[F.count_if(F.col(k) > 0).alias(f"repos_{k}") for k in LEARNED])
-        grams = grams.where(F.col("n") >= MARK_FILES).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        by_line = rows.join(grams, ["g", "salt"]).groupBy("file_no", "at").agg(
-            *[F.first(k).alias(k) for k in LEARNED], *[F.avg(F.col(f"told_{k}") / F.col("n")).alias(f"head_{k}") for k in LEARNED],
+        told = known.where(" or ".join(f"{k} = 1" for k in LEARNED))
+        rows = each if "path" in judge else each.where("at >= 0")
+        grams = rows.where("new = 1").join(told, "file_no").groupBy("g", "repo").agg(F.first("n").alias("n"), *[F.sum(k).alias(k) for k in LEARNED])
+        grams = cut_lineage(grams.groupBy("g").agg(F.first("n").alias("n"), *[F.sum(k).alias(f"told_{k}") for k in LEARNED], *[F.count_if(F.col(k) > 0).alias(f"repos_{k}") for k in LEARNED]))
+        by_line = _meet(rows, grams, files, "left").groupBy("file_no", "at").agg(
+            *[F.avg(F.coalesce(F.col(f"told_{k}") / F.col("n"), F.lit(0.0))).alias(f"head_{k}") for k in LEARNED],
             *[F.max(F.when(F.col(f"repos_{k}") >= MARK_REPOS, _surely(F.col(f"told_{k}"), F.col("n")))).alias(f"path_{k}") for k in LEARNED], F.count(F.lit(1)).alias("grams"))
         in_head = (F.col("at") >= 0) & (F.col("grams") >= 2)
-        scores = cut_lineage(by_line.groupBy("file_no").agg(
-            *[F.max(k).alias(k) for k in LEARNED], *[F.max(F.when(in_head, F.col(f"head_{k}"))).alias(f"head_{k}") for k in LEARNED],
-            *[F.max(F.when(F.col("at") < 0, F.col(f"path_{k}"))).alias(f"path_{k}") for k in LEARNED]))
-        own = scores.agg(*[F.percentile_approx(F.when(F.col(k) == 1, F.col(f"{p}_{k}")), 0.75, 1000).alias(f"{p}_{k}") for k in LEARNED for p in judge]).first()
-        base = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in LEARNED]).first()
+        by_file = by_line.groupBy("file_no").agg(*[F.max(F.when(in_head, F.col(f"head_{k}"))).alias(f"head_{k}") for k in LEARNED], *[F.max(F.when(F.col("at") < 0, F.col(f"path_{k}"))).alias(f"path_{k}") for k in LEARNED])
+        scores = cut_lineage(start.select("file_no").join(by_file, "file_no", "left").join(known, "file_no"))
+        own = scores.agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in LEARNED], *[F.percentile_approx(F.when(F.col(k) == 1, F.col(f"{p}_{k}")), 0.75, 1000).alias(f"{p}_{k}") for k in LEARNED for p in judge]).first()
         marks = []
         for k in LEARNED:
-            odds = MARK_ODDS * (base[k] or 0) / max(1, base["n"] - (base[k] or 0))
+            odds = MARK_ODDS * (own[k] or 0) / max(1, own["n"] - (own[k] or 0))
             hits = [F.coalesce(F.col(f"{p}_{k}") >= max(odds / (1 + odds), MARK_SHARE[p] * own[f"{p}_{k}"]), F.lit(False)) for p in judge if own[f"{p}_{k}"] is not None]
             marks.append(reduce(lambda a, b: a | b, hits, F.lit(False)).alias(f"mark_{k}"))
-        scores = scores.select("file_no", *marks, *[f"{p}_{k}" for k in LEARNED for p in ("head", "path")])
-        known = start.join(scores, "file_no", "left").select("file_no", "repo", *[F.greatest(F.col(k), F.coalesce(F.col(f"mark_{k}").cast("int"), F.lit(0))).alias(k) for k in LEARNED])
-    return scores
+        scores = scores.select("file_no", "repo", *LEARNED, *marks, *[f"{p}_{k}" for k in LEARNED for p in ("head", "path")])
+        known = scores.select("file_no", "repo", *[F.greatest(F.col(k), F.col(f"mark_{k}").cast("int")).alias(k) for k in LEARNED])
+    return scores.drop("repo", *LEARNED)
 
 
 def origins(files: DataFrame) -> DataFrame:
     """(file_no, repo, relative_path, origin, grammar_origin, reuse, shared, ..): origin is generated, minified, data, vendored, or null
     for hand-written files; grammar_origin is what the grammar tells without learned marks."""
     f = cut_lineage(told(cut_lineage(features(files))).drop("phrase", "phrase_tokens"))
-    f = f.drop("mark_line", "mark").join(learned(f), "file_no", "left")
+    f = f.drop("mark_line", "mark_new", "mark").join(learned(f), "file_no", "left")
     origin = F.coalesce("grammar_origin", F.when(F.col("mark_generated"), "generated").when(F.col("mark_vendored"), "vendored"))
     return f.select("file_no", "repo", "relative_path", origin.alias("origin"), "grammar_origin", "reuse", "excess", "shared", "blob", "literal", "solid", "line", "tokens",
                     "head_generated", "path_generated", "head_vendored", "path_vendored")
