@@ -1,13 +1,18 @@
 """Broken prompt-response pairs: each defective answer with its defect.
 
-Two models are trained on the pairs themselves. Languages: naive Bayes over character n-grams; its labels are the pairs whose text the
-common words of a language mark clearly, from a sample that is bounded per language and drawn by hash. Endings: how often each
-n-gram of token kinds ends a text against how often it occurs at all, counted over all answers (partial counts in each task, one
-sum); the table is bounded by the number of token kinds. An answer whose language posterior is not the prompt's is `other_language`;
-one whose last n-gram all but never ends a text is a candidate for `truncated`, as is one that its own syntax leaves open; an
-exact check follows: code must not parse to its end, prose must lack a sentence end.
+Two models are trained on the texts themselves and decide, for whole batches at once in numpy.
 
-Defects in order of precedence, one for each answer: `empty`, `refusal`, `copy`, `other_language`, `truncated`.
+Languages: naive Bayes over character n-grams, with natural languages, Python, and other code as classes. It is fitted on a sample of
+SAMPLE texts (the least hashes) that common words or marks of code label clearly. The natural part of an answer is `other_language` if its posterior
+is for another language than the prompt's, the code part if its posterior is for other code.
+
+Endings: n-grams of token kinds, each with the state it stands in - open brackets, open quote, open fence. Of each n-gram is counted, over
+all answers, how often it occurs and how often it ends an answer (partial counts in each task, one sum; the table is bounded by the
+number of kinds). An answer is a candidate for `truncated` if its last n-gram seldom ends where it occurs, or is rare among all
+ends; an exact check follows: code must not parse to its end (or must end in a name that stands nowhere else), prose must lack a sentence end.
+
+Emptiness, refusal and copies are told by forms and comparison. Defects in order of precedence, one for each answer: `empty`,
+`refusal`, `copy`, `other_language`, `truncated`.
 
 Defined cases: a null or empty response array gives no rows; a null element or run answer is `empty`; a null prompt can't be copied
 and has no language; repeated rows count once; texts are read whole."""
@@ -15,11 +20,9 @@ and has no language; repeated rows count once; texts are read whole."""
 from __future__ import annotations
 
 import ast
-import math
 import re
 import textwrap
 import warnings
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from quarrykit.runtime import cut_lineage, read_table, spread
 
-#: Rows of each language that the naive Bayes model is fitted on at most; buckets of its hashed n-grams.
-SAMPLE, BUCKETS, SIZES = 2_000, 1 << 16, (1, 2, 3)
-#: Log-odds of the answer's language over the prompt's, per n-gram, from which they differ; letters of prose an answer needs for that.
-ODDS, LETTERS = 0.08, 12
-#: Share of ends under which an ending is a candidate for truncation; times it must have been seen.
-END_SHARE, END_SEEN = 0.05, 20
+#: Texts that the naive Bayes model is fitted on at most; buckets of its hashed n-grams; sizes of them.
+SAMPLE, BUCKETS, SIZES = 8_000, 1 << 16, (1, 2, 3)
+#: Log-odds of the answer's language over the prompt's, per n-gram, from which they differ; letters of prose or code an answer needs for that.
+ODDS, CODE_ODDS, LETTERS, CODE_LETTERS = 0.08, 0.0, 12, 20
+#: Share of the places of an n-gram that end an answer, and share of all ends it makes, below which it is an unlikely end; times it must have been seen.
+END_SHARE, END_RARE, END_SEEN = 0.05, 0.004, 20
+#: Characters that numpy works on at once; bounds a worker's memory whatever the batch.
+BLOCK_CHARS = 1_000_000
 #: Common words that mark a language, for the labels of the training sample.
 MARKS = {
     "en": frozenset("the of and to is that for on as with was be by at from or an are this which you not but have has they all so when if it we what".split()),
@@ -43,7 +48,8 @@ MARKS = {
     "fr": frozenset("le la les des du un une et est que qui dans en pour pas sur au par plus ne se ce il elle sont avec nous vous mais ou où si cette dès sans avant quand déjà cela c'est".split()),
     "es": frozenset("el los las y es que del se por un una con no su para al lo como más pero esta entre cuando muy sin sobre también hasta hay donde todo antes así aunque esto si qué".split()),
 }
-LANGUAGES = ("en", "de", "fr", "es", "zh", "other")
+NATURAL_LANGUAGES, CODE_LANGUAGES = ("en", "de", "fr", "es", "zh", "other"), ("python", "code")
+LANGUAGES = NATURAL_LANGUAGES + CODE_LANGUAGES
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 OTHER_SCRIPT = re.compile(r"[Ѐ-ӿ؀-ۿऀ-ॿ฀-๿Ͱ-Ͽ֐-׿]")
 NATURAL = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -59,30 +65,24 @@ BLANK = re.compile(r"[\s​‌‍⁠﻿]+")
 HOLDER = re.compile(
     r"(?i)(?:(?:#|//|--)?\s*(?:todo|fixme|tbd|xxx|n/?a|none|null|your (?:code|answer|solution) (?:goes )?here|(?:add|write|insert|put) your (?:code|answer)(?: here)?|implement(?:ation)?(?: me| here| goes here)?|placeholder|not implemented(?: yet)?|to be (?:done|implemented|completed)|fill (?:me )?in|coming soon|code here|answer here)[\s:.!\-]*(?:implement\w*|this|here|me|it|function|later|the|body|\s)*\.?)"
 )
-#: Forms of declining to answer, at the start of a sentence or of a comment.
+#: The general forms of declining in the first person, of apology with a negation, and of being outside what is allowed.
 REFUSAL = re.compile(
-    r"(?i)(?:^|[.!?:;,\"'#\-–—]\s*|\b(?:but|as|and|so|because)\s)\s*(?:"
-    r"i(?:'m| am)? (?:really |very |so |truly )?(?:sorry|afraid)\b.{0,30}\b(?:can(?:'|no)?t|cannot|unable|won't|not)\b"
-    r"|(?:sorry|apologies|my apologies|regrettably|unfortunately)\b.{0,90}\b(?:can(?:'|no)?t|cannot|unable|won't|not|outside|irresponsible|no)\b"
-    r"|i (?:can(?:'|no)?t|cannot|can not|won't|will not|must not|may not|do not feel|don't feel|am unable|am not able|am not allowed|'m unable|must decline|have to decline|need to decline|refuse|decline|would rather not|prefer not|was told to stay away|am not permitted)\b"
-    r"|i(?:'m| am) (?:unable|not able|not allowed|not permitted|not comfortable|not going|going to have to decline)\b"
-    r"|as an? (?:ai|assistant|language model|large language model)\b.{0,40}\b(?:not|can(?:'|no)?t|cannot|unable)\b"
-    r"|no can do\b|(?:this|that|your|the) (?:request|task|question|prompt|function|code)\b.{0,40}\b(?:goes against|violates|is against|is not something|touches|is outside)\b|(?:code|anything|requests?)\b.{0,40}\b(?:outside of what i|beyond what i)\b"
-    r"|that is not something i can\b|let me be upfront, i\b|i was told to stay away\b"
-    r"|lo siento\b|(?:no )?me es (?:im)?posible\b|no puedo\b|no podr[ée]\b|debo rechazar\b|me niego\b|lamento\b|lamentablemente\b|desafortunadamente\b|como asistente\b|no estoy (?:autorizad|en condiciones|capacitad)|rechazo\b"
-    r"|je (?:suis )?(?:d[ée]sol[ée]|navr[ée])|je ne (?:peux|suis|puis|pourrai|saurais)\b|je dois (?:refuser|d[ée]cliner)|je refuse\b|d[ée]sol[ée]\b|malheureusement\b.{0,20}\bje\b|en tant qu|il m'est impossible|il ne m'est pas possible"
-    r"|es tut mir leid\b|leider\b.{0,12}\b(?:kann|darf|muss|ist|bin)\b|(?:diese|die|eure|ihre|deine) (?:anfrage|aufgabe|bitte)\b.{0,20}\b(?:ablehnen|zur[üu]ckweisen|nicht)\b|ich (?:kann|darf|muss|werde|bin|m[öo]chte)\b.{0,30}\b(?:nicht|ablehnen|leider|au[ßs]erstande|keine)\b|dabei kann ich nicht\b|das kann ich nicht\b|als assistent\b|tut mir leid\b|mir ist es nicht\b"
-    r"|抱歉|对不起|很遗憾|我(?:无法|不能|不会)|恕我"
-    r")"
+    r"(?i)\bi(?:'m| am)? (?:\w+ )?(?:can(?:'|no)?t|can ?not|won't|will not|must not|may not|unable|not (?:able|allowed|permitted|comfortable|going)|do(?:n't| not) feel comfortable|(?:must |have to |need to )?(?:decline|refuse)|would rather not|prefer not)\b"
+    r"|\b(?:sorry|apolog\w+|regret\w*|unfortunately|afraid)\b[^\n]{0,90}\b(?:can(?:'|no)?t|cannot|unable|won't|not|outside|beyond|against|irresponsible)\b|\bno can do\b"
+    r"|\bas an? (?:ai|assistant|(?:large )?language model)\b[^\n]{0,40}\b(?:not|can(?:'|no)?t|cannot|unable)\b|\b(?:against|outside|beyond|violates) (?:of )?(?:my|what i|the) (?:\w+ )?(?:guidelines|policy|policies|rules|am|can)\b"
+    r"|\bich (?:kann|darf|muss|werde|möchte|bin)\b[^\n.]{0,40}\b(?:nicht|ablehnen|außerstande|keine)\b|\b(?:kann|darf|muss) ich\b[^\n.]{0,40}\b(?:nicht|ablehnen)\b|\bleider\b[^\n.]{0,40}\b(?:nicht|keine)\b|\b(?:tut mir leid|leider nicht)\b"
+    r"|\bje (?:ne )?(?:peux|puis|pourrai|saurais|suis|dois|refuse)\b[^\n.]{0,30}(?:\bpas\b|refuser|décliner|désolé|navré)|\bje refuse\b|\bdésolée?\b[^\n.]{0,40}\b(?:pas|impossible)\b|\bm'est impossible\b"
+    r"|\bno (?:puedo|podré|estoy (?:autorizad|capacitad))|\blo siento\b|\bno me es posible\b|\b(?:debo|tengo que) (?:rechazar|declinar)\b|\bme niego\b|\blament(?:o|ablemente)\b"
+    r"|(?:抱歉|对不起|很遗憾)|我(?:无法|不能|不会)"
 )
+#: Marks of code that is not Python, for the labels of the training sample.
 OTHER_CODE = (
     re.compile(r"[{};]\s*$"), re.compile(r"^\s*(?:function\b|var\s|let\s|const\s|public\s|private\s|static\s|fn\s|pub\s|func\s|package\s|impl\s|struct\s|enum\s|interface\s|#include|using\s|namespace\s|template\s*<|int\s+\w+\s*[=(]|void\s|std::|SELECT\s|fun\s|val\s|sub\s|my\s|local\s|echo\s)"),
     re.compile(r":=|=>|->\s*\w+[<>\w]*\s*\{|::|\bnil\b|&&|\|\||!==?|===|\|\w+\||\$\w+|\.(?:unwrap|iter|collect|push|size|map|filter)\("), re.compile(r"^\s*(?:end|fi|done|esac)\s*$"), re.compile(r"^\s*def\s+\w+[!?]?(?:\([^)]*\))?\s*$"),
 )
 OTHER_ANY = re.compile("|".join(f"(?:{p.pattern})" for p in OTHER_CODE))
 OTHER_HEAD = re.compile("|".join(f"(?:{OTHER_CODE[i].pattern})" for i in (1, 3, 4)))
-KEYWORDS = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False".split())
-TOKEN = re.compile(r"\n|[^\W\d]\w*|\d[\w.]*|[^\w\s]")
+KEYWORDS = tuple("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False".split())
 
 
 def natural_text(text: str) -> str:
@@ -110,47 +110,162 @@ def marked_language(text: str) -> str | None:
     return None
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashed character n-grams of the lower-case text."""
-    codes = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    out = []
+def code_text(text: str) -> str:
+    """The code part: fenced code, else the lines that look like code."""
+    m = FENCED.search(text)
+    if m:
+        return m.group(2)
+    return "\n".join(x for x in text.split("\n") if x.strip() and (CODE_LINE.match(x) or x.rstrip()[-1:] in "{};" or x.strip() == "end"))
+
+
+def code_label(code: str) -> str | None:
+    """`python` if it parses, `code` if its lines bear marks of other languages and it does not; None if neither is clear."""
+    lines = [x for x in code.split("\n") if x.strip()]
+    if not lines:
+        return None
+    if sum(OTHER_ANY.search(x) is not None for x in lines) >= max(2, 0.4 * len(lines)) and any(OTHER_HEAD.search(x) for x in lines):
+        return "code" if code_state(code) != "whole" else None
+    return "python" if len(lines) >= 2 and code_state(code) == "whole" else None
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of the list of at most BLOCK_CHARS characters, or one text."""
+    at = 0
+    while at < len(texts):
+        to, n = at, 0
+        while to < len(texts) and (to == at or n + len(texts[to]) <= BLOCK_CHARS):
+            n += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every character n-gram of the lower-case texts."""
+    flat = [" " + " ".join(t.lower().split()) + " " for t in texts]
+    codes = np.frombuffer("".join(flat).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(flat)), [len(t) for t in flat])
+    who, bucket = [], []
     for n in SIZES:
         if len(codes) >= n:
-            h = np.zeros(len(codes) - n + 1, np.uint64)
+            last = len(codes) - n + 1
+            h = np.zeros(last, np.uint64)
             for i in range(n):
-                h = h * np.uint64(0x100000001B3) + codes[i : len(codes) - n + 1 + i] + np.uint64(n)
-            out.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+                h = h * np.uint64(0x100000001B3) + codes[i : last + i] + np.uint64(n)
+            inside = owner[:last] == owner[n - 1 :]
+            who.append(owner[:last][inside])
+            bucket.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)[inside])
+    return (np.concatenate(who), np.concatenate(bucket)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def fit_languages(rows: list[tuple[str, str]]) -> np.ndarray:
-    """Log probabilities (language, bucket) of a multinomial naive Bayes model with equal priors."""
-    counts = np.full((len(LANGUAGES), BUCKETS), 0.1)
-    for lang, text in rows:
-        np.add.at(counts[LANGUAGES.index(lang)], grams(text), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-
-
-def posterior(model: np.ndarray, text: str) -> np.ndarray | None:
-    """Mean log-likelihood of the text's n-grams under each language; None if it has too few letters."""
-    letters = sum(map(str.isalpha, text))
-    cjk = len(CJK.findall(text))
-    if letters < LETTERS and cjk < 4:
-        return None
-    scores = model[:, grams(text)].mean(axis=1)
-    if cjk < 0.2 * letters:
-        scores[LANGUAGES.index("zh")] = -99
-    scores[LANGUAGES.index("other")] = 0 if len(OTHER_SCRIPT.findall(text)) > 0.5 * letters else -99
-    return scores
-
-
-def kinds(text: str) -> list[str]:
-    """Token kinds: line ends, keywords, names, numbers, and each mark as itself."""
-    return ["w" if (t[0].isalpha() or t[0] == "_") and t not in KEYWORDS else "9" if t[0].isdigit() else t if len(t) < 9 and ord(t[0]) < 128 else "。" if t in "。！？" else "?" for t in TOKEN.findall(text)]
-
-
-def ending(text: str) -> tuple[str, ...]:
-    return tuple(kinds(text.rstrip()[-300:])[-3:])
+    """Log probabilities (bucket, language) of a multinomial naive Bayes model with equal priors."""
+    counts = np.full((BUCKETS, len(LANGUAGES)), 0.1)
+    for i, lang in enumerate(LANGUAGES):
+        mine = [t for x, t in rows if x == lang]
+        for a, b in _blocks(mine):
+            counts[:, i] += np.bincount(gram_buckets(mine[a:b])[1], minlength=BUCKETS)
+    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+
+def posteriors(model: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Mean log-likelihood of each text's n-grams under each language; -inf where the language is out of the question, nan for too few letters."""
+    out = np.full((len(texts), len(LANGUAGES)), np.nan, np.float32)
+    zh, other = LANGUAGES.index("zh"), LANGUAGES.index("other")
+    for a, b in _blocks(texts):
+        who, bucket = gram_buckets(texts[a:b])
+        n = np.maximum(np.bincount(who, minlength=b - a), 1)
+        for i in range(len(LANGUAGES)):
+            out[a:b, i] = np.bincount(who, model[bucket, i], minlength=b - a) / n
+        for k, t in enumerate(texts[a:b], a):
+            if t.isascii():
+                cjk = foreign = 0
+                few = len(t) < 3 * LETTERS and sum(map(str.isalpha, t)) < LETTERS
+            else:
+                letters = sum(map(str.isalpha, t))
+                cjk, foreign = len(CJK.findall(t)) >= 0.2 * letters, len(OTHER_SCRIPT.findall(t)) > 0.5 * letters
+                few = letters < LETTERS and len(CJK.findall(t)) < 4
+            out[k, other] = 0 if foreign else -np.inf
+            if not cjk:
+                out[k, zh] = -np.inf
+            if few:
+                out[k] = np.nan
+    return out
+
+
+def _kind_table() -> np.ndarray:
+    """The class of each code point below 128: 0 space, 1 line end, 2 word, 3 digit, or the mark itself."""
+    t = np.arange(128)
+    for c in range(128):
+        x = chr(c)
+        t[c] = 1 if x == "\n" else 0 if x.isspace() or c < 32 else 2 if x.isalpha() or x == "_" else 3 if x.isdigit() else c
+    return t
+
+
+KIND = _kind_table()
+M = np.uint64(0x9E3779B97F4A7C15)
+KEYWORD_HASH = np.array(sorted(int(np.bitwise_xor.reduce(np.array([(ord(c) * (i + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for i, c in enumerate(w)], np.uint64))) for w in KEYWORDS), np.uint64)
+SENTENCE = {ord(c): ord(".") for c in "。．"} | {ord("！"): ord("!"), ord("？"): ord("?"), ord("…"): ord(".")}
+
+
+def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, whether it ends its text) of every token: the kinds of the last three tokens, and whether a bracket, a quote of
+    the line, or a fence is open behind them. Texts end where their white space at the end begins."""
+    flat = [t.rstrip().translate(SENTENCE) if not t.isascii() else t.rstrip() for t in texts]
+    codes = np.frombuffer("\n".join(flat + [""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(flat)), [len(t) + 1 for t in flat])
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    kind = np.where(codes < 128, KIND[np.minimum(codes, 127)], 2)
+    bound = np.concatenate([[True], owner[1:] != owner[:-1]])
+    start_of = np.flatnonzero(bound)
+
+    def since(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sum of x from the place `at` up to each place."""
+        total = np.cumsum(x)
+        return total - total[at] + x[at]
+
+    text_at = np.repeat(start_of, np.diff(np.append(start_of, len(codes))))
+    line_start = np.concatenate([[True], (kind[:-1] == 1) | bound[1:]])
+    line_at = np.maximum.accumulate(np.where(line_start, np.arange(len(codes)), 0))
+    opening = np.isin(codes, [40, 91, 123]).astype(np.int64) - np.isin(codes, [41, 93, 125])
+    depth = since(opening, text_at) > 0
+    quotes = since((codes == 34).astype(np.int64), line_at) % 2 | since((codes == 39).astype(np.int64), line_at) % 2
+    run = (codes == 96) & np.concatenate([codes[1:] == 96, [False]]) & np.concatenate([codes[2:] == 96, [False, False]])
+    fences = since((run & ~np.concatenate([[False], run[:-1]])).astype(np.int64), text_at) % 2
+    word = (kind == 2) | (kind == 3)
+    begins = (kind != 0) & ~(word & np.concatenate([[False], word[:-1]]) & ~bound)
+    begins &= ~((kind == 1) & np.concatenate([(owner[1:] != owner[:-1]), [True]]))  # the line end that parts texts is no token
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    stop = np.append(at[1:], len(codes)) - 1
+    place = np.arange(len(codes)) - np.maximum.accumulate(np.where(begins, np.arange(len(codes)), 0))
+    letters = np.where(word, codes.astype(np.uint64) * (place.astype(np.uint64) + np.uint64(1)) * M, np.uint64(0))
+    hashed = np.bitwise_xor.reduceat(letters, at)
+    found = np.minimum(np.searchsorted(KEYWORD_HASH, hashed), len(KEYWORDS) - 1)
+    k = np.where((kind[at] == 2) & (KEYWORD_HASH[found] == hashed), 200 + found, kind[at])
+    who = owner[at]
+    # the state behind the token: at its last character that is no space
+    last = np.maximum.accumulate(np.where(kind != 0, np.arange(len(codes)), 0))[stop]
+    last = np.where((kind[last] == 1) & (codes[last] == 10) & (last > at), last - 1, last)
+    state = depth[last].astype(np.int64) | quotes[last] << 1 | fences[last] << 2
+    one = np.concatenate([[0], np.where(who[1:] == who[:-1], k[:-1] + 1, 0)])
+    two = np.concatenate([[0, 0], np.where(who[2:] == who[:-2], k[:-2] + 1, 0)])[: len(k)]
+    gram = ((two * 512 + one) * 512 + k + 1) * 8 + state
+    return who, gram, np.concatenate([who[1:] != who[:-1], [True]])
+
+
+def unlikely_ends(texts: list[str], ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each text ends in an n-gram that is an unlikely end; `ends` are the n-grams of likely ends and all n-grams seen often, sorted."""
+    likely, often = ends
+    out = np.zeros(len(texts), bool)
+    for a, b in _blocks(texts):
+        who, gram, last = end_grams(texts[a:b])
+        g = gram[last]
+        at = np.minimum(np.searchsorted(likely, g), max(len(likely) - 1, 0))
+        out[a + who[last]] = ~(likely[at] == g) if len(likely) else True
+    return out
 
 
 def body_of(answer: str) -> str:
@@ -213,42 +328,34 @@ def prompt_parts(prompt: str) -> tuple[str, frozenset[str]]:
     return squeeze(prompt), frozenset({squeeze(x) for x in PARAGRAPH.split(prompt)} | {squeeze(prompt.split("\n", 1)[0])})
 
 
+PLACE_LINES = frozenset(("pass", "...", "…", '""""""', "''''''", '""', "''", "pass;", "-", "return ...", "raise NotImplementedError", "raise NotImplementedError()"))
+
+
 def is_empty(answer: str | None) -> bool:
+    """Nothing but blanks and placeholders, however many."""
     if answer is None:
         return True
-    if sum(map(str.isalnum, answer[:2000])) > 260:
-        return False
-    text = BLANK.sub(" ", FENCE.sub("", answer)).strip()
-    if not text:
-        return True
-    if len(text) > 200:
-        return False
-    left = []
-    for line in FENCE.sub("", answer).split("\n"):
-        line = BLANK.sub(" ", line).strip()
-        if not line or line in ("pass", "...", "…", "\"\"\"\"\"\"", "''''''", "\"\"", "''", "pass;", "-", "return ...", "raise NotImplementedError", "raise NotImplementedError()") or HOLDER.fullmatch(line.strip("\"' ")):
+    for line in answer.split("\n"):
+        bare = line.strip() if line.isascii() else BLANK.sub(" ", line).strip()
+        if not bare or bare in PLACE_LINES or not any(map(str.isalnum, bare)) or FENCE.fullmatch(line.rstrip("\r")):
             continue
-        if re.fullmatch(r"raise NotImplementedError\((?:[\"'](?:todo|not implemented)?[\"'])?\)", line, re.I):
+        if HOLDER.fullmatch(bare.strip("\"' ")) or re.fullmatch(r"raise NotImplementedError\((?:[\"'](?:todo|not implemented)?[\"'])?\)", bare, re.I):
             continue
-        left.append(line)
-    return not left or not any(c.isalnum() for c in "".join(left))
+        return False
+    return True
 
 
 def is_refusal(answer: str) -> bool:
-    """Declines in its first sentences, or in a comment or string that is all the answer has."""
-    text = BLANK.sub(" ", FENCE.sub("", answer)).strip()
-    bare = re.sub(r"^(?:#+|//|\"\"\"|'''|[\"'>*\-]+)\s*", "", text)
-    start = bare[:220]
-    if re.search(r"\n\s*(?:return|def|if|for|while|with)\b", answer) and not start.startswith(tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZÉÀ¿¡IJ抱对很我恕")):
-        return False
-    m = REFUSAL.search(start)
-    if m is None:
-        return False
-    before = start[: m.start()]
-    if len(before.split()) > 12 or CODE_LINE.match(before + " ") and before.strip():
+    """Declines somewhere, and holds no code but such as does nothing."""
+    if REFUSAL.search(answer) is None:
         return False
-    code = [x for x in FENCE.sub("", answer).split("\n") if x.strip() and not x.lstrip().startswith(("#", "//", '"', "'")) and CODE_LINE.match(x)]
-    return len([x for x in code if x.strip() not in ("pass", "...", "return None") and not x.lstrip().startswith(("raise", "def ", "async def", "return None"))]) == 0 or len(bare) < 60
+    for line in answer.split("\n"):
+        bare = line.strip()
+        if not bare or bare.startswith(("#", "//", '"', "'", "pass", "...", "raise", "def ", "async def", "return None", "```", "~~~")):
+            continue
+        if CODE_LINE.match(line):
+            return False
+    return True
 
 
 def is_copy(answer: str, prompt: str | None) -> bool:
@@ -270,72 +377,77 @@ def is_copy(answer: str, prompt: str | None) -> bool:
     return len(p) >= 40 and a.replace(p, "") in ("", "pass", "...")
 
 
-def is_other_code(answer: str) -> bool:
-    """Code of another language: it does not parse as Python, and its lines bear marks of others."""
-    code = body_of(answer)
-    lines = [x for x in code.split("\n") if x.strip()]
-    if not lines:
-        return False
-    hits = sum(OTHER_ANY.search(x) is not None for x in lines)
-    if hits < max(2, 0.4 * len(lines)) or not any(OTHER_HEAD.search(x) for x in lines):
-        return False
-    return code_state(code) != "whole"
-
-
-def is_truncated(answer: str, prompt: str | None, ends: dict[tuple[str, ...], tuple[int, int]]) -> bool:
-    """Breaks off inside a statement, string or sentence."""
+def is_truncated(answer: str, prompt: str | None) -> bool:
+    """The exact check of a candidate: it breaks off inside a statement, string or sentence."""
     text = answer.rstrip()
     fences = len(FENCE.findall(text))
+    if fences and fences % 2 == 0 and not text.endswith(("```", "~~~")):  # prose behind the last fence
+        tail = re.split(r"(?m)^[ \t]*(?:```|~~~)[^\n`]*$", text)[-1]
+        return not _sentence_ends(tail.rstrip())
     code = body_of(text)
-    last = ending(code if fences else text)
-    seen, ended = ends.get(last, (0, 0))
-    unlikely = seen >= END_SEEN and ended < END_SHARE * seen
     lines = [x for x in code.split("\n") if x.strip()]
     if not lines:
         return False
-    if fences or sum(bool(CODE_LINE.match(x)) for x in lines) >= 0.5 * len(lines):
-        heads = [m.start() for m in re.finditer(r"^(?:async def|def|class|@\w)", code, re.M)]
-        state = code_state(code)
-        if state == "broken" and heads:
-            runs = [h for i, h in enumerate(heads) if not i or "\n\n" in code[heads[i - 1] : h]]
-            state = code_state(code[runs[-1] :])
-        if state == "open":
-            return True
-        if fences % 2 == 1:
-            return True
-        if state == "whole" and unlikely:
-            tail = code.rstrip().split("\n")[-1].strip()
-            name = re.search(r"([^\W\d]\w*)$", tail)
-            if not tail.startswith(("return", "raise", "yield", "#", "pass", "break", "continue")) and name and not tail.endswith((")", "]", "}", "\"", "'")):
-                return WORDS.findall((prompt or "") + "\n" + code).count(name.group(1)) < 2
-        if state == "whole":
-            tail = code.rstrip().split("\n")[-1].strip()
-            m = re.fullmatch(r"return ([^\W\d]\w*)", tail)
-            if m and m.group(1) not in ("None", "True", "False", "self"):
-                return WORDS.findall((prompt or "") + "\n" + code).count(m.group(1)) < 2
-            if tail.startswith(("def ", "@", "if ", "for ")):
-                return True
+    if not fences and sum(bool(CODE_LINE.match(x)) for x in lines) < 0.5 * len(lines):
+        return not _sentence_ends(text)
+    heads = [m.start() for m in re.finditer(r"^(?:async def|def|class|@\w)", code, re.M)]
+    state = code_state(code)
+    if state == "broken" and heads:
+        runs = [h for i, h in enumerate(heads) if not i or "\n\n" in code[heads[i - 1] : h]]
+        state = code_state(code[runs[-1] :])
+    if state == "open" or fences % 2 == 1:
+        return True
+    if state != "whole":
+        return False
+    tail = code.rstrip().split("\n")[-1].strip()
+    if tail.startswith(("def ", "@", "if ", "for ")):
+        return True
+    # a name that is cut stands nowhere else
+    name = re.search(r"([^\W\d]\w*)$", tail)
+    if name is None or tail.startswith("#") or name.group(1) in KEYWORDS or name.group(1) in ("self", "cls"):
         return False
-    return not re.search(r"[.!?…。！？:;)\]\"'`*»”’]$", text) and (unlikely or seen < END_SEEN or last[-1:] == ("w",))
-
-
-def defect(answer: str | None, prompt: str | None, model: np.ndarray, ends: dict, prompt_scores: np.ndarray | None) -> str | None:
-    if is_empty(answer):
-        return "empty"
-    if is_refusal(answer):
-        return "refusal"
-    if is_copy(answer, prompt):
-        return "copy"
-    if is_other_code(answer):
-        return "other_language"
-    if prompt_scores is not None:
-        said = natural_text(answer) if FENCE.search(answer) or not re.search(r"^\s*(?:def |async def |@)", answer) else ""
-        scores = posterior(model, said)
-        if scores is not None:
-            own, asked = int(scores.argmax()), int(prompt_scores.argmax())
-            if own != asked and scores[own] - scores[asked] >= ODDS:
-                return "other_language"
-    return "truncated" if is_truncated(answer, prompt, ends) else None
+    return WORDS.findall((prompt or "") + "\n" + code).count(name.group(1)) < 2
+
+
+def _sentence_ends(text: str) -> bool:
+    return bool(re.search(r"[.!?…。！？:;)\]\"'`*»”’]$", text))
+
+
+def batch_defects(texts: list[str | None], prompts: list[str | None], model: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> list[str | None]:
+    """The defect of each answer, or None."""
+    out: list[str | None] = [None] * len(texts)
+    left = []
+    for i, (a, p) in enumerate(zip(texts, prompts)):
+        if is_empty(a):
+            out[i] = "empty"
+        elif is_refusal(a):
+            out[i] = "refusal"
+        elif is_copy(a, p):
+            out[i] = "copy"
+        else:
+            left.append(i)
+    if not left:
+        return out
+    asked = {p: k for k, p in enumerate(dict.fromkeys(prompts[i] for i in left if prompts[i] is not None))}
+    scores = posteriors(model, [natural_text(p) for p in asked]) if asked else np.zeros((0, len(LANGUAGES)))
+    mine = [texts[i] for i in left]
+    said = posteriors(model, [natural_text(a) if FENCE.search(a) or not re.search(r"^\s*(?:def |async def |@)", a) else "" for a in mine])
+    codes = [code_text(a) for a in mine]
+    written = posteriors(model, codes)
+    n = len(NATURAL_LANGUAGES)
+    python, code = LANGUAGES.index("python"), LANGUAGES.index("code")
+    unlikely = unlikely_ends(mine, ends)
+    for k, i in enumerate(left):
+        p = asked.get(prompts[i])
+        if len(codes[k]) >= CODE_LETTERS and not np.isnan(written[k, code]) and written[k, code] - written[k, python] >= CODE_ODDS and code_state(codes[k]) != "whole":
+            out[i] = "other_language"
+        elif p is not None and not np.isnan(said[k, 0]) and not np.isnan(scores[p, 0]):
+            own, want = int(said[k, :n].argmax()), int(scores[p, :n].argmax())
+            if own != want and said[k, own] - said[k, want] >= ODDS:
+                out[i] = "other_language"
+        if out[i] is None and unlikely[k] and is_truncated(texts[i], prompts[i]):
+            out[i] = "truncated"
+    return out
 
 
 def answers(generation: DataFrame, runs: DataFrame) -> DataFrame:
@@ -346,47 +458,44 @@ def answers(generation: DataFrame, runs: DataFrame) -> DataFrame:
     return r.unionByName(e.dropDuplicates(["task_id", "answer_no"]))
 
 
-def end_counts(texts: DataFrame) -> dict[tuple[str, ...], tuple[int, int]]:
-    """How often each n-gram of token kinds occurs and ends a text, over all answers. Counted in each task first; the sum has a row for
-    each n-gram of the fixed set of kinds, whatever the corpus."""
+def count_ends(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that are likely ends, and all that were seen often, sorted. Counted in each task first, over all answers; the sum has a row for each n-gram
+    of the fixed set of kinds, whatever the corpus."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        ended: Counter = Counter()
         for pdf in batches:
-            for t in pdf.answer:
-                if t and t.strip():
-                    k = kinds(t.rstrip())
-                    seen.update(zip(k, k[1:], k[2:]))
-                    ended[tuple(k[-3:])] += 1
-        rows = [("\x00".join(k), n, ended.get(k, 0)) for k, n in seen.items()] + [("\x00".join(k), n, n) for k, n in ended.items() if k not in seen]
-        yield pd.DataFrame(rows, columns=["k", "seen", "ended"])
-
-    got = texts.select("answer").mapInPandas(run, "k string, seen bigint, ended bigint").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
-    return {tuple(r["k"].split("\x00")): (r["seen"], r["ended"]) for r in got.where(F.col("seen") >= END_SEEN).toLocalIterator()}
-
-
-def sample_languages(prompts: DataFrame, texts: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE labelled texts of each language, by the least hash; equal texts count once, and texts are whole."""
-    both = prompts.select(F.col("prompt").alias("t")).unionByName(texts.select(F.col("answer").alias("t"))).where(F.length("t") > 20)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[str, set] = {}
-        for pdf in batches:
-            for t, h in pdf[["t", "h"]].drop_duplicates().itertuples(index=False, name=None):
-                text = natural_text(t)
-                lang = marked_language(text)
-                if lang:
-                    kept.setdefault(lang, set()).add((h, text))
-            kept = {k: set(sorted(v)[:SAMPLE]) for k, v in kept.items()}
-        yield pd.DataFrame([(k, h, t) for k, v in kept.items() for h, t in v], columns=["lang", "h", "t"])
-
-    from pyspark.sql import Window
-
-    near = both.select("t", F.xxhash64("t").alias("h")).mapInPandas(run, "lang string, h bigint, t string").dropDuplicates()
-    w = Window.partitionBy("lang").orderBy("h", "t")
-    rows = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select("lang", "t").toLocalIterator()
-    return [(r["lang"], r["t"]) for r in rows]
+            rows = [t for t in pdf.answer if t and t.strip()]
+            for a, b in _blocks(rows):
+                _, gram, last = end_grams(rows[a:b])
+                kinds, of = np.unique(gram, return_inverse=True)
+                yield pd.DataFrame({"k": kinds, "seen": np.bincount(of, minlength=len(kinds)), "ended": np.bincount(of[last], minlength=len(kinds))})
+
+    got = texts.select("answer").mapInPandas(run, "k bigint, seen bigint, ended bigint").groupBy("k").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    t = got.where(F.col("seen") >= END_SEEN).toPandas().sort_values("k")
+    total = max(1, int(t.ended.sum()))
+    likely = t[(t.ended >= END_SHARE * t.seen) & (t.ended >= END_RARE * total)]
+    return likely.k.to_numpy(np.int64), t.k.to_numpy(np.int64)
+
+
+def sample_texts(texts: DataFrame) -> list[str]:
+    """At most SAMPLE different texts, by the least hash; `texts` has text. Hashes are counted once each before the least are taken, so copies don't fill the sample."""
+    hashed = texts.where(F.length("text") > 20).select("text", F.xxhash64("text").alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if least is None:
+        return []
+    return sorted(r["text"] for r in hashed.where(F.col("h") <= least).dropDuplicates(["h"]).select("text").toLocalIterator())
+
+
+def labelled(texts: list[str]) -> list[tuple[str, str]]:
+    """The natural and the code part of each text that its common words or marks of code label clearly."""
+    rows = []
+    for t in texts:
+        said, code = natural_text(t), code_text(t)
+        if (lang := marked_language(said)) is not None:
+            rows.append((lang, said))
+        if (lang := code_label(code)) is not None:
+            rows.append((lang, code))
+    return rows
 
 
 def defects(generation: DataFrame, runs: DataFrame) -> DataFrame:
@@ -397,21 +506,13 @@ def defects(generation: DataFrame, runs: DataFrame) -> DataFrame:
     # dealt out by answer number, sixteen at a time
     a = answers(generation, runs).withColumn("block", F.floor(F.col("answer_no") / 16))
     each = cut_lineage(spread(a.join(prompts, "task_id", "left"), "task_id", "block").sortWithinPartitions("task_id"))
-    model = fit_languages(sample_languages(prompts, each))
-    shared = spark.sparkContext.broadcast((model, end_counts(each)))
+    model = fit_languages(labelled(sample_texts(each.select(F.col("answer").alias("text")).unionByName(prompts.select(F.col("prompt").alias("text"))))))
+    shared = spark.sparkContext.broadcast((model, count_ends(each)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, ends = shared.value
-        known: dict[str, np.ndarray | None] = {}
         for pdf in batches:
-            found = []
-            for a, p in zip(pdf.answer, pdf.prompt):
-                if p is not None and p not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[p] = posterior(model, natural_text(p))
-                found.append(defect(a, p, model, ends, known.get(p) if p is not None else None))
-            out = pdf[["src", "task_id", "answer_no"]].assign(defect=found)
+            out = pdf[["src", "task_id", "answer_no"]].assign(defect=batch_defects(list(pdf.answer), list(pdf.prompt), model, ends))
             yield out[out.defect.notna()]
 
     return each.mapInPandas(run, "src string, task_id string, answer_no int, defect string")
