@@ -36,7 +36,7 @@ from quarrykit.runtime import cut_lineage, read_table, spread
 #: Texts that the naive Bayes model is fitted on at most; buckets of its hashed n-grams; sizes of them.
 SAMPLE, BUCKETS, SIZES = 8_000, 1 << 16, (1, 2, 3)
 #: Log-odds of the answer's language over the prompt's, per n-gram, from which they differ; letters of prose or code an answer needs for that.
-ODDS, CODE_ODDS, LETTERS, CODE_LETTERS = 0.08, 0.0, 12, 20
+ODDS, CODE_ODDS, LETTERS, CODE_LETTERS = 0.08, 0.1, 12, 40
 #: Share of the places of an n-gram that end an answer, and share of all ends it makes, below which it is an unlikely end; times it must have been seen.
 END_SHARE, END_RARE, END_SEEN = 0.05, 0.004, 20
 #: Characters that numpy works on at once; bounds a worker's memory whatever the batch.
@@ -159,23 +159,24 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_languages(rows: list[tuple[str, str]]) -> np.ndarray:
-    """Log probabilities (bucket, language) of a multinomial naive Bayes model with equal priors."""
+    """Log probabilities (bucket, language) of a multinomial naive Bayes model with equal priors; -inf for a language without texts."""
     counts = np.full((BUCKETS, len(LANGUAGES)), 0.1)
     for i, lang in enumerate(LANGUAGES):
         mine = [t for x, t in rows if x == lang]
         for a, b in _blocks(mine):
             counts[:, i] += np.bincount(gram_buckets(mine[a:b])[1], minlength=BUCKETS)
-    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    known = np.array([any(x == lang for x, _ in rows) for lang in LANGUAGES])
+    return np.where(known, np.log(counts / counts.sum(axis=0)), -np.inf).astype(np.float32)
 
 
-def posteriors(model: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Mean log-likelihood of each text's n-grams under each language; -inf where the language is out of the question, nan for too few letters."""
+def posteriors(model: np.ndarray, texts: list[str], languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
+    """Mean log-likelihood of each text's n-grams under each of the languages, nan under others; -inf where the language is out of the question, nan for too few letters."""
     out = np.full((len(texts), len(LANGUAGES)), np.nan, np.float32)
     zh, other = LANGUAGES.index("zh"), LANGUAGES.index("other")
     for a, b in _blocks(texts):
         who, bucket = gram_buckets(texts[a:b])
         n = np.maximum(np.bincount(who, minlength=b - a), 1)
-        for i in range(len(LANGUAGES)):
+        for i in map(LANGUAGES.index, languages):
             out[a:b, i] = np.bincount(who, model[bucket, i], minlength=b - a) / n
         for k, t in enumerate(texts[a:b], a):
             if t.isascii():
@@ -347,15 +348,13 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Declines somewhere, and holds no code but such as does nothing."""
-    if REFUSAL.search(answer) is None:
-        return False
     for line in answer.split("\n"):
         bare = line.strip()
         if not bare or bare.startswith(("#", "//", '"', "'", "pass", "...", "raise", "def ", "async def", "return None", "```", "~~~")):
             continue
         if CODE_LINE.match(line):
             return False
-    return True
+    return REFUSAL.search(answer) is not None
 
 
 def is_copy(answer: str, prompt: str | None) -> bool:
@@ -429,21 +428,21 @@ def batch_defects(texts: list[str | None], prompts: list[str | None], model: np.
     if not left:
         return out
     asked = {p: k for k, p in enumerate(dict.fromkeys(prompts[i] for i in left if prompts[i] is not None))}
-    scores = posteriors(model, [natural_text(p) for p in asked]) if asked else np.zeros((0, len(LANGUAGES)))
+    scores = posteriors(model, [natural_text(p) for p in asked], NATURAL_LANGUAGES) if asked else np.zeros((0, len(LANGUAGES)))
     mine = [texts[i] for i in left]
-    said = posteriors(model, [natural_text(a) if FENCE.search(a) or not re.search(r"^\s*(?:def |async def |@)", a) else "" for a in mine])
+    said = posteriors(model, [natural_text(a) if FENCE.search(a) or not re.search(r"^\s*(?:def |async def |@)", a) else "" for a in mine], NATURAL_LANGUAGES)
     codes = [code_text(a) for a in mine]
-    written = posteriors(model, codes)
+    written = posteriors(model, codes, CODE_LANGUAGES)
     n = len(NATURAL_LANGUAGES)
     python, code = LANGUAGES.index("python"), LANGUAGES.index("code")
     unlikely = unlikely_ends(mine, ends)
     for k, i in enumerate(left):
         p = asked.get(prompts[i])
-        if len(codes[k]) >= CODE_LETTERS and not np.isnan(written[k, code]) and written[k, code] - written[k, python] >= CODE_ODDS and code_state(codes[k]) != "whole":
+        if len(codes[k]) >= CODE_LETTERS and np.isfinite(written[k, [python, code]]).all() and written[k, code] - written[k, python] >= CODE_ODDS and code_state(codes[k]) != "whole":
             out[i] = "other_language"
         elif p is not None and not np.isnan(said[k, 0]) and not np.isnan(scores[p, 0]):
             own, want = int(said[k, :n].argmax()), int(scores[p, :n].argmax())
-            if own != want and said[k, own] - said[k, want] >= ODDS:
+            if own != want and np.isfinite(said[k, own]) and said[k, own] - said[k, want] >= ODDS:
                 out[i] = "other_language"
         if out[i] is None and unlikely[k] and is_truncated(texts[i], prompts[i]):
             out[i] = "truncated"

@@ -100,11 +100,13 @@ def test_blob_bits():
     assert raw == 160 and len(text) == 40
 
 
-ENDS: dict = {}
 MODEL_ROWS = [
     ("en", "the value of this function is returned when the buffer has been read and it is not empty"), ("de", "die funktion gibt den wert zurück sobald der puffer gelesen wurde und er nicht leer ist"),
     ("fr", "la fonction renvoie la valeur dès que le tampon a été lu et il ne faut pas ouvrir"), ("es", "la función devuelve el valor en cuanto el búfer se ha leído por completo y no se debe abrir"), ("zh", "如果找不到缓存系统会使用默认的配置并记录错误"),
+    ("python", "    with open(path) as f:\n        lines = f.readlines()[:limit]\n    for x in lines:\n        if x is None:\n            raise ValueError(x)\n    return lines"),
+    ("code", "function load(path, limit) {\n  if (!path) { return null; }\n  const x = path.map(v => v.a);\n  for (let i = 0; i < limit; i++) { x.push(i); }\n  return x;\n}"),
 ] * 20
+GOOD = ["    x = load(path)\n    return x", "    return path", "    with open(path) as f:\n        return f.readlines()[:limit]", "It gives back the lines of the file.", "def f(a):\n    return a", "```python\ndef f(a):\n    return a\n```"]
 
 
 @pytest.fixture(scope="module")
@@ -112,34 +114,63 @@ def model():
     return p2.fit_languages(MODEL_ROWS)
 
 
+@pytest.fixture(scope="module")
+def ends(spark):
+    rows = [(g,) for g in GOOD for _ in range(40)]
+    return p2.count_ends(spark.createDataFrame(rows, "answer string"))
+
+
 PROMPT = "Write the body of this function.\n\ndef load(path, limit):\n    \"\"\"Read the file at path and give back no more lines than limit allows.\"\"\""
+COURTESY = "Thank you for the detailed prompt and for the time that went into the description of what the function is meant to give back in every case. " * 3
 
 
 @pytest.mark.parametrize(
     "answer, want",
     [
         (None, "empty"), ("", "empty"), (" \n\t", "empty"), ("​", "empty"), ("    pass\n", "empty"), ("```python\n```", "empty"), ("# TODO: implement", "empty"), ("    # your code here\n    pass\n", "empty"),
-        ("I'm sorry, but I can't help with that.", "refusal"), ("# I won't be able to finish this one, sorry.", "refusal"), ("Leider darf ich diese Funktion nicht schreiben.", "refusal"), ("No can do.", "refusal"),
+        ("# TODO: implement\n" * 500, "empty"),
+        ("I'm sorry, but I can't help with that.", "refusal"), ("# I won't be able to finish this one, sorry.", "refusal"), ("Leider darf ich diese Funktion nicht schreiben.", "refusal"), ("No can do.", "refusal"), (COURTESY + "But I cannot write this.", "refusal"),
         (PROMPT, "copy"), ("Write the body of this function.", "copy"), ("def load(path, limit):\n    \"\"\"Read the file at path and give back no more lines than limit allows.\"\"\"", "copy"),
         ("function load(path, limit) {\n  if (!path) { return null; }\n  const x = path.map(v => v.a);\n  return x;\n}", "other_language"), ("La función devuelve el valor en cuanto el búfer se ha leído por completo.", "other_language"),
-        ("    with open(path) as f:\n        return f.readlines()[:lim", "truncated"), ("    x = load_all(path", "truncated"),
-        ("    with open(path) as f:\n        return f.readlines()[:limit]", None), ("    # sorry for the detour\n    return path", None), ("    return path", None),
+        ("    with open(path) as f:\n        return f.readlines()[:lim", "truncated"), ("    x = load_all(path", "truncated"), ("```python\ndef f(a):\n    return a", "truncated"), ("It gives back the lines of", "truncated"), ("    x = path\n    y =", "truncated"),
+        ("    with open(path) as f:\n        return f.readlines()[:limit]", None), ("    # I cannot guarantee the order here\n    return path", None), ("    return path", None), ("It gives back the lines of the file.", None),
     ],
 )
-def test_defect(model, answer, want):
-    scores = p2.posterior(model, p2.natural_text(PROMPT))
-    assert p2.defect(answer, PROMPT, model, ENDS, scores) == want
-
-
-def test_sample_of_languages(spark, monkeypatch):
-    """All labelled texts of a language that has no more than SAMPLE, each once and whole."""
+def test_defect(model, ends, answer, want):
+    assert p2.batch_defects([answer], [PROMPT], model, ends) == [want]
+
+
+def test_ends_decide(spark, model, ends):
+    """The same answers: where unfinished ends are usual, they are likely, and no candidates; the exact check alone finds nothing."""
+    cut = "    x = load_all(path"
+    usual = p2.count_ends(spark.createDataFrame([(cut,)] * 40, "answer string"))
+    assert p2.batch_defects([cut], [PROMPT], model, ends) == ["truncated"] and p2.batch_defects([cut], [PROMPT], model, usual) == [None]
+    who, gram, last = p2.end_grams(["a b", "", "f(x", "f(x)"])
+    assert who[last].tolist() == [0, 2, 3] and len(set(gram[last].tolist())) == 3
+    one = [p2.end_grams([t])[1].tolist() for t in ("a = 'b", "x(1)\ny", "```\nz")]
+    both = p2.end_grams(["a = 'b", "x(1)\ny", "```\nz"])[1].tolist()
+    assert both == one[0] + one[1] + one[2]
+
+
+def test_posteriors_whole_batches(model):
+    """A batch gives what its texts give alone, whatever the size of blocks."""
+    texts = ["die funktion gibt den wert zurück", "", "the value is returned", "x", "如果找不到缓存系统", "def f(a):\n    return a"]
+    got = p2.posteriors(model, texts)
+    for t, row in zip(texts, got):
+        assert np.allclose(p2.posteriors(model, [t])[0], row, equal_nan=True)
+    lang = [p2.LANGUAGES[int(r.argmax())] if not np.isnan(r[0]) else None for r in got]
+    assert lang == ["de", None, "en", None, "zh", "python"]
+
+
+def test_sample_of_texts(spark, monkeypatch):
+    """Each text once and whole, the least hashes, however many copies there are."""
     monkeypatch.setattr(p2, "SAMPLE", 40)
     texts = [f"die funktion gibt den wert zurück sobald der puffer {w} gelesen wurde und er nicht leer ist" + " und dann" * n * 10 for n, w in enumerate("abcdefghijklmnopqrstuvwxyz" + "äöüß")]
-    frame = lambda rows, name: spark.createDataFrame([(t,) for t in rows], f"{name} string")
-    got = p2.sample_languages(frame(texts[:3], "prompt"), frame(texts * 3 + texts[:1] * 60, "answer"))
-    assert sorted(got) == sorted(("de", p2.natural_text(t)) for t in texts) and max(len(t) for _, t in got) > 2000
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    assert p2.sample_texts(frame(texts * 3 + texts[:1] * 60 + [None, "short"])) == sorted(texts)
+    assert {lang for lang, _ in p2.labelled(texts)} == {"de"}
     monkeypatch.setattr(p2, "SAMPLE", 7)
-    assert len(set(p2.sample_languages(frame([], "prompt"), frame(texts * 3, "answer")))) == 7
+    assert len(set(p2.sample_texts(frame(texts * 3 + texts[:1] * 60)))) == 7 and p2.sample_texts(frame([])) == []
 
 
 def test_defects_tables(spark):
