@@ -39,6 +39,8 @@ SAMPLE, BUCKETS, SIZES = 8_000, 1 << 16, (1, 2, 3)
 ODDS, CODE_ODDS, LETTERS, CODE_LETTERS = 0.08, 0.1, 12, 40
 #: Share of the places of an n-gram that end an answer, and share of all ends it makes, below which it is an unlikely end; times it must have been seen.
 END_SHARE, END_RARE, END_SEEN = 0.05, 0.004, 20
+#: Characters at a text's end that its last tokens are looked for in first.
+TAIL = 64
 #: Characters that numpy works on at once; bounds a worker's memory whatever the batch.
 BLOCK_CHARS = 1_000_000
 #: Common words that mark a language, for the labels of the training sample.
@@ -194,6 +196,10 @@ def posteriors(model: np.ndarray, texts: list[str], languages: tuple[str, ...] =
     return out
 
 
+DEPTH = np.zeros(128, np.int64)
+DEPTH[[40, 91, 123]], DEPTH[[41, 93, 125]] = 1, -1
+
+
 def _kind_table() -> np.ndarray:
     """The class of each code point below 128: 0 space, 1 line end, 2 word, 3 digit, or the mark itself."""
     t = np.arange(128)
@@ -204,6 +210,7 @@ def _kind_table() -> np.ndarray:
 
 
 KIND = _kind_table()
+TICKS = re.compile(r"`{3,}")
 M = np.uint64(0x9E3779B97F4A7C15)
 KEYWORD_HASH = np.array(sorted(int(np.bitwise_xor.reduce(np.array([(ord(c) * (i + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for i, c in enumerate(w)], np.uint64))) for w in KEYWORDS), np.uint64)
 SENTENCE = {ord(c): ord(".") for c in "。．"} | {ord("！"): ord("!"), ord("？"): ord("?"), ord("…"): ord(".")}
@@ -217,7 +224,8 @@ def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(flat)), [len(t) + 1 for t in flat])
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    kind = np.where(codes < 128, KIND[np.minimum(codes, 127)], 2)
+    low = np.minimum(codes, 127)
+    kind = np.where(codes < 128, KIND[low], 2)
     bound = np.concatenate([[True], owner[1:] != owner[:-1]])
     start_of = np.flatnonzero(bound)
 
@@ -229,8 +237,7 @@ def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text_at = np.repeat(start_of, np.diff(np.append(start_of, len(codes))))
     line_start = np.concatenate([[True], (kind[:-1] == 1) | bound[1:]])
     line_at = np.maximum.accumulate(np.where(line_start, np.arange(len(codes)), 0))
-    opening = np.isin(codes, [40, 91, 123]).astype(np.int64) - np.isin(codes, [41, 93, 125])
-    depth = since(opening, text_at) > 0
+    depth = since(DEPTH[low], text_at) > 0
     quotes = since((codes == 34).astype(np.int64), line_at) % 2 | since((codes == 39).astype(np.int64), line_at) % 2
     run = (codes == 96) & np.concatenate([codes[1:] == 96, [False]]) & np.concatenate([codes[2:] == 96, [False, False]])
     fences = since((run & ~np.concatenate([[False], run[:-1]])).astype(np.int64), text_at) % 2
@@ -257,16 +264,29 @@ def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return who, gram, np.concatenate([who[1:] != who[:-1], [True]])
 
 
+def last_grams(texts: list[str]) -> np.ndarray:
+    """The n-gram that ends each text, as end_grams gives it; -1 where there is none. Kinds come from the text's end, the state from the whole text."""
+    out = np.full(len(texts), -1)
+    flat = [t.rstrip() for t in texts]
+    for a, b in _blocks([t[-TAIL:] for t in flat]):
+        who, gram, last = end_grams([t[-TAIL:] for t in flat[a:b]])
+        tokens = np.bincount(who, minlength=b - a)
+        out[a + who[last]] = gram[last] >> 3 << 3
+        for k in range(a, b):
+            t = flat[k]
+            if len(t) > TAIL and tokens[k - a] < 4:
+                out[k] = end_grams([t])[1][-1]
+            elif out[k] >= 0:
+                line = t[t.rfind("\n") + 1 :]
+                depth = t.count("(") + t.count("[") + t.count("{") > t.count(")") + t.count("]") + t.count("}")
+                out[k] |= depth | (line.count('"') % 2 | line.count("'") % 2) << 1 | ((len(TICKS.findall(t)) % 2) << 2 if "```" in t else 0)
+    return out
+
+
 def unlikely_ends(texts: list[str], ends: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Whether each text ends in an n-gram that is an unlikely end; `ends` are the n-grams of likely ends and all n-grams seen often, sorted."""
-    likely, often = ends
-    out = np.zeros(len(texts), bool)
-    for a, b in _blocks(texts):
-        who, gram, last = end_grams(texts[a:b])
-        g = gram[last]
-        at = np.minimum(np.searchsorted(likely, g), max(len(likely) - 1, 0))
-        out[a + who[last]] = ~(likely[at] == g) if len(likely) else True
-    return out
+    likely, g = ends[0], last_grams(texts)
+    return ~(likely[np.minimum(np.searchsorted(likely, g), len(likely) - 1)] == g) & (g >= 0) if len(likely) else g >= 0
 
 
 def body_of(answer: str) -> str:

@@ -152,6 +152,16 @@ def test_ends_decide(spark, model, ends):
     assert both == one[0] + one[1] + one[2]
 
 
+def test_last_grams(spark):
+    rng = np.random.default_rng(7)
+    parts = ["word ", "x", "(", ")", "'", '"', "\n", "```", " ", "9.5", "return ", "def f(a):\n    ", "…", "é" * 9, "w" * 99, "[", "]", "=", "   "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000)]
+    who, gram, last = p2.end_grams(texts)
+    want = np.full(len(texts), -1)
+    want[who[last]] = gram[last]
+    assert (p2.last_grams(texts) == want).all()
+
+
 def test_posteriors_whole_batches(model):
     """A batch gives what its texts give alone, whatever the size of blocks."""
     texts = ["die funktion gibt den wert zurück", "", "the value is returned", "x", "如果找不到缓存系统", "def f(a):\n    return a"]
