@@ -89,7 +89,7 @@ KEYWORDS = tuple("and as assert async await break class continue def del elif el
 
 def natural_text(text: str) -> str:
     """The natural-language part: no fenced code, no code lines, no identifiers; if nothing else is left, the contents of docstrings."""
-    bare = FENCED.sub("\n", text)
+    bare = FENCED.sub("\n", text) if "```" in text or "~~~" in text else text
     lines = [x for x in bare.split("\n") if x.strip() and not CODE_LINE.match(x)]
     if not lines:
         docs = re.findall(r"(\"\"\"|''')(.*?)(?:\1|\Z)", text, re.S)
@@ -114,7 +114,7 @@ def marked_language(text: str) -> str | None:
 
 def code_text(text: str) -> str:
     """The code part: fenced code, else the lines that look like code."""
-    m = FENCED.search(text)
+    m = FENCED.search(text) if "```" in text or "~~~" in text else None
     if m:
         return m.group(2)
     return "\n".join(x for x in text.split("\n") if x.strip() and (CODE_LINE.match(x) or x.rstrip()[-1:] in "{};" or x.strip() == "end"))
@@ -340,7 +340,8 @@ def squeeze(text: str) -> str:
         text = QUOTED.sub("", text)
     if "```" in text or "~~~" in text:
         text = FENCE.sub("", text)
-    return BLANK.sub("", "".join(text.split())).lower()
+    bare = "".join(text.split()).lower()
+    return bare if bare.isascii() else BLANK.sub("", bare)
 
 
 @lru_cache(maxsize=64)
@@ -450,7 +451,7 @@ def batch_defects(texts: list[str | None], prompts: list[str | None], model: np.
     asked = {p: k for k, p in enumerate(dict.fromkeys(prompts[i] for i in left if prompts[i] is not None))}
     scores = posteriors(model, [natural_text(p) for p in asked], NATURAL_LANGUAGES) if asked else np.zeros((0, len(LANGUAGES)))
     mine = [texts[i] for i in left]
-    said = posteriors(model, [natural_text(a) if FENCE.search(a) or not re.search(r"^\s*(?:def |async def |@)", a) else "" for a in mine], NATURAL_LANGUAGES)
+    said = posteriors(model, [natural_text(a) if "```" in a or "~~~" in a or not re.search(r"^\s*(?:def |async def |@)", a) else "" for a in mine], NATURAL_LANGUAGES)
     codes = [code_text(a) for a in mine]
     written = posteriors(model, codes, CODE_LANGUAGES)
     n = len(NATURAL_LANGUAGES)
