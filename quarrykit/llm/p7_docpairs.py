@@ -5,12 +5,14 @@ statement is a docstring if it is nothing but a string literal (or literals in a
 take as `__doc__` - no bytes, no f-string, no part of a larger expression. Sources that Python 3 can't parse further down are read
 the same way. Documentation that is blank, a placeholder, a mere "see the base class" tag, or only the function's name again counts as none.
 
-Methods without documentation then inherit: class components give the hierarchy, and in each round the unresolved methods are
-joined with the same method of the next class up, until no class is left above or all are resolved. Functions still undocumented drop out.
+Methods without documentation then inherit in Python's own order. Class components give the hierarchy; in each round the classes whose
+bases are all in order already get theirs by merging (C3), from the top down, until no class is left that can. An undocumented
+method takes the documentation of the first class of its class's order that documents a method of that name. Functions still undocumented drop out.
 
 Defined cases: null, empty or unparsable sources give no pair; repeated rows count once; component types are compared without case
-and outer space; a cycle of base classes ends when no new class comes up; a base class name is looked up in the same file first, then
-in the repository if only one class there has it."""
+and outer space. A base is looked up by name in the same file, then in the file its qualifier names, then in the repository if only one
+other class there has it; a base that none of these gives, or the class itself, is no base. Classes on a cycle of bases, below one, or whose bases have no
+order, inherit nothing. Hierarchies may be of any height."""
 
 from __future__ import annotations
 
@@ -19,13 +21,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.operators.skew import lookup
 from quarrykit.runtime import cut_lineage, read_table, spread
 
-#: Deepest class hierarchy that documentation is carried through; Python's own limit on nesting is of this order.
-MAX_DEPTH = 64
 CALLABLES = ("function", "method", "inner_function")
 #: Placeholders, compared in lower case without outer punctuation.
 PLACEHOLDERS = frozenset(
@@ -36,6 +37,9 @@ PLACEHOLDERS = frozenset(
     "to be documented|to be done|to be written|not documented|not documented yet|no docs|needs documentation|lorem ipsum|function|method|this function|this method".split("|")
 )
 INHERIT = re.compile(r"(?i)^\W*(?:\{?@?inherit_?docs?\}?|see (?:the )?(?:base|super|parent)(?: ?class)?|inherited(?: from .{0,60})?|(?:overrides?|same as) .{0,60}|see :?\w*:?`[^`]*`)\W*$")
+CLASS = re.compile(r"^[ \t]*class[ \t]+\w+[ \t]*(?:\[[^\]\n]*\][ \t]*)?\(", re.M)
+BASE_STEP = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*|[()\[\]{},]")
+COMMENT = re.compile(r"#[^\n]*")
 DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)", re.M)
 STEP = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*|[()\[\]{}:]", re.S)
 GAP = re.compile(r"(?:[ \t\f\r\n]|#[^\n]*|\\\r?\n)*")
@@ -126,57 +130,111 @@ def _read(components: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "comp_no bigint, doc string, doc_state string").dropDuplicates(["comp_no"])
 
 
-def _bases(components: DataFrame) -> DataFrame:
-    """(repo, path, cls, base, ord): each class and its bases in order, from the class components' heads."""
-    head = F.regexp_extract("source_code", r"(?m)^[ \t]*class[ \t]+\w+[ \t]*\(([^()]*)\)", 1)
-    cls = components.where(F.lower(F.trim("component_type")) == "class").select(
-        "repo", F.substring_index("id", "@", 1).alias("cls"), F.substring_index("id", "@", -1).alias("path"), head.alias("head"))
-    cls = cls.where(F.length("head") > 0).dropDuplicates(["repo", "path", "cls"])
-    parts = cls.select("repo", "path", "cls", F.posexplode(F.split("head", r"\s*,\s*")).alias("ord", "base"))
-    base = F.trim(F.regexp_replace("base", r"\[.*$", ""))
-    return parts.select("repo", "path", "cls", "ord", F.substring_index(base, ".", -1).alias("base")).where(~F.col("base").contains("=") & (F.col("base") != "object") & F.col("base").rlike(r"^\w+$"))
+def class_bases(source: str | None) -> list[str]:
+    """The dotted names of the bases in a class's head, in order; keywords, calls and subscripts are no part of a name."""
+    m = CLASS.search(source or "")
+    if not m:
+        return []
+    at, depth, start, parts = m.end(), 1, m.end(), []
+    while depth:
+        t = BASE_STEP.search(source, at)
+        if t is None:
+            return []
+        c, at = t.group(), t.end()
+        depth += (c in "([{") - (c in ")]}")
+        if (c == "," and depth == 1) or not depth:
+            parts.append(source[start : t.start()])
+            start = t.end()
+    names = (re.match(r"\s*([^\W\d]\w*(?:\s*\.\s*[^\W\d]\w*)*)\s*(?:\[.*)?\Z", COMMENT.sub("", p), re.S) for p in parts)
+    return [re.sub(r"\s+", "", n.group(1)) for n in names if n]
+
+
+def merged(own: str, orders: list[list[str]], bases: list[str]) -> list[str] | None:
+    """The C3 order of a class from the orders of its bases and the bases themselves; None if there is none."""
+    out, left = [own], [list(x) for x in [*orders, bases] if x]
+    while left:
+        for seq in left:
+            if not any(seq[0] in other[1:] for other in left):
+                break
+        else:
+            return None
+        head = seq[0]
+        out.append(head)
+        left = [x for x in ([y for y in s if y != head] for s in left) if x]
+    return out
 
 
 def _parents(components: DataFrame) -> DataFrame:
-    """(repo, path, cls, ord, up_path, up_cls): the class that each base name means."""
-    named = components.where(F.lower(F.trim("component_type")) == "class").select(
-        "repo", F.substring_index("id", "@", -1).alias("up_path"), F.substring_index("id", "@", 1).alias("base")).dropDuplicates()
-    by_name = Window.partitionBy("repo", "base")
-    named = named.withColumn("n", F.count(F.lit(1)).over(by_name))
-    joined = _bases(components).join(named, ["repo", "base"]).where((F.col("path") == F.col("up_path")) | (F.col("n") == 1))
-    best = Window.partitionBy("repo", "path", "cls", "ord").orderBy((F.col("path") != F.col("up_path")).cast("int"), "up_path")
-    return joined.withColumn("r", F.row_number().over(best)).where("r = 1").select(
-        "repo", "path", "cls", "ord", "up_path", F.col("base").alias("up_cls"))
-
-
-def documented(components: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(comp_no, doc, depth): the documentation of each callable; depth 0 is its own, n that of the n-th class up.
-
-    Only methods without documentation enter the rounds, as keys without text. Each round is one join on (repo, path, cls, method);
-    rounds end when no method has a class above it left to ask."""
+    """(repo, cls, ord, up): each class (its id) and its bases in order, as ids."""
+    classes = components.where((F.lower(F.trim("component_type")) == "class") & F.col("id").contains("@"))
+    ids = F.concat_ws("@", F.substring_index("id", "@", 1), F.substring_index("id", "@", -1))
+    classes = classes.select(F.coalesce("repo", F.lit("")).alias("repo"), ids.alias("cls"), "source_code").groupBy("repo", "cls").agg(F.min("source_code").alias("source_code"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(repo, cls, i, b) for repo, cls, source in pdf.itertuples(index=False, name=None) for i, b in enumerate(class_bases(source))]
+            yield pd.DataFrame(rows, columns=["repo", "cls", "ord", "base"])
+
+    name = lambda c: F.substring_index(F.substring_index(c, "@", 1), ".", -1)
+    path = lambda c: F.substring_index(c, "@", -1)
+    heads = classes.where(F.col("source_code").contains("(")).mapInPandas(run, "repo string, cls string, ord int, base string")
+    wanted = heads.select("repo", "cls", "ord", F.substring_index("base", ".", -1).alias("name"), F.substring_index(F.substring_index("base", ".", -2), ".", 1).alias("module"), F.col("base").contains(".").alias("dotted")).where("name <> 'object'")
+    named = classes.select("repo", name(F.col("cls")).alias("name"), F.col("cls").alias("up"), F.regexp_extract(path(F.col("cls")), r"([^/]*?)(?:\.\w+)?$", 1).alias("stem"))
+    # a name that very many classes of a repository bear decides by file or module alone; it is counted, never gathered
+    counts = named.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("first"), F.max("up").alias("last"))
+    w = wanted.join(counts, ["repo", "name"])
+    here = w.join(named.select("repo", "name", "up", path(F.col("up")).alias("_p")), (w.repo == named.repo) & (w.name == named.name) & (path(w.cls) == F.col("_p"))).select(w.repo, "cls", "ord", "up", F.lit(0).alias("rank"))
+    there = w.where("dotted").join(named, (w.repo == named.repo) & (w.name == named.name) & (w.module == named.stem)).select(w.repo, "cls", "ord", "up", F.lit(1).alias("rank"))
+    only = w.where("n <= 2").select("repo", "cls", "ord", F.when((F.col("n") == 1) | (F.col("first") != F.col("cls")) & (F.col("last") == F.col("cls")), F.col("first")).when(F.col("first") == F.col("cls"), F.col("last")).alias("up"), F.lit(2).alias("rank"))
+    both = here.unionByName(there).unionByName(only).where("up is not null and up <> cls")
+    return both.groupBy("repo", "cls", "ord").agg(F.min_by("up", F.struct("rank", "up")).alias("up"))
+
+
+def class_orders(parents: DataFrame) -> DataFrame:
+    """(repo, cls, line): the C3 order of each class that has bases and an order; line begins with the class itself.
+
+    Each round takes the classes of which every base is in order, so there are as many rounds as the hierarchy is high."""
+    edges = cut_lineage(parents.select("repo", "cls", "ord", "up"))
+    left = edges.select("repo", "cls").dropDuplicates()
+    tops = edges.select("repo", F.col("up").alias("cls")).dropDuplicates().join(left, ["repo", "cls"], "left_anti")
+    done = cut_lineage(tops.withColumn("line", F.array("cls")))
+    out = None
+
+    @F.pandas_udf("array<string>")
+    def merge(own: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([merged(o, [list(p["line"]) for p in ps], list(dict.fromkeys(p["up"] for p in ps))) for o, ps in zip(own, (sorted(x, key=lambda p: p["ord"]) for x in parts))])
+
+    open_ = edges
+    while True:
+        # the bases in order of the classes that wait; a class is ready if it waits for none
+        known = done.select("repo", F.col("cls").alias("up"), "line")
+        met = lookup(open_, known, ["repo", "up"], "left")
+        ready = met.groupBy("repo", "cls").agg(F.count_if(F.col("line").isNull()).alias("waits"), F.collect_list(F.when(F.col("line").isNotNull(), F.struct("ord", "up", "line"))).alias("parts")).where("waits = 0")
+        new = cut_lineage(ready.select("repo", "cls", merge("cls", "parts").alias("line")).where("line is not null"))
+        if new.isEmpty():
+            return out if out is not None else done.limit(0)
+        out = new if out is None else out.unionByName(new)
+        done = cut_lineage(done.unionByName(new))
+        open_ = cut_lineage(open_.join(new.select("repo", "cls"), ["repo", "cls"], "left_anti"))
+
+
+def documented(components: DataFrame) -> DataFrame:
+    """(comp_no, doc, depth): the documentation of each callable; depth 0 is its own, n that of the n-th class of its class's order.
+
+    Only methods without documentation, whose class has an order, look for others' - as keys without text."""
     read = cut_lineage(_read(components))
     own = read.where("doc_state = 'own'").select("comp_no", "doc", F.lit(0).alias("depth"))
-    ids = components.where(F.lower(F.trim("component_type")) == "method").select(
-        "comp_no", "repo", F.substring_index("id", "@", -1).alias("path"), F.substring_index(F.substring_index("id", "@", 1), ".", 1).alias("cls"),
-        F.substring_index(F.substring_index("id", "@", 1), ".", -1).alias("name")).dropDuplicates(["comp_no"])
-    has = ids.join(read.where("doc_state = 'own'").select("comp_no", "doc"), "comp_no").select(
-        "repo", F.col("path").alias("up_path"), F.col("cls").alias("up_cls"), "name", "doc")
-    has = has.groupBy("repo", "up_path", "up_cls", "name").agg(F.min("doc").alias("doc"))
-    parents = cut_lineage(_parents(components))
-    open_ = ids.join(read.where("doc_state <> 'own'").select("comp_no"), "comp_no").select("comp_no", "repo", "path", "cls", "name")
-    out = own
-    open_ = open_.join(parents.select("repo", "path", "cls").dropDuplicates(), ["repo", "path", "cls"], "left_semi")
-    for depth in range(1, max_depth + 1):
-        up = open_.join(parents, ["repo", "path", "cls"]).join(has, ["repo", "up_path", "up_cls", "name"], "left")
-        up = cut_lineage(up)
-        first = Window.partitionBy("comp_no").orderBy("ord", "up_path", "up_cls")
-        hit = up.where("doc is not null").withColumn("r", F.row_number().over(first)).where("r = 1").select("comp_no", "doc", F.lit(depth).alias("depth"))
-        out = out.unionByName(hit)
-        open_ = up.join(hit, "comp_no", "left_anti").select("comp_no", "repo", F.col("up_path").alias("path"), F.col("up_cls").alias("cls"), "name").dropDuplicates()
-        open_ = open_.join(parents.select("repo", "path", "cls").dropDuplicates(), ["repo", "path", "cls"], "left_semi")
-        if open_.isEmpty():
-            break
-    return out.groupBy("comp_no").agg(F.min_by("doc", "depth").alias("doc"), F.min("depth").alias("depth"))
+    full = F.substring_index("id", "@", 1)
+    ids = components.where((F.lower(F.trim("component_type")) == "method") & F.col("id").contains("@") & full.contains(".")).select(
+        "comp_no", F.coalesce("repo", F.lit("")).alias("repo"), F.concat_ws("@", F.regexp_replace(full, r"\.[^.]*$", ""), F.substring_index("id", "@", -1)).alias("cls"), F.substring_index(full, ".", -1).alias("name")).dropDuplicates(["comp_no"])
+    orders = cut_lineage(class_orders(_parents(components)))
+    if orders.isEmpty():
+        return own
+    has = ids.join(read.where("doc_state = 'own'").select("comp_no", "doc"), "comp_no").groupBy("repo", F.col("cls").alias("up"), "name").agg(F.min("doc").alias("doc"))
+    open_ = ids.join(read.where("doc_state <> 'own'").select("comp_no"), "comp_no")
+    asked = lookup(open_, orders, ["repo", "cls"]).select("comp_no", "repo", "name", F.posexplode("line").alias("depth", "up")).where("depth > 0")
+    hit = lookup(asked, has, ["repo", "up", "name"]).groupBy("comp_no").agg(F.min_by("doc", "depth").alias("doc"), F.min("depth").alias("depth"))
+    return own.unionByName(hit)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,55 @@ def test_documented(spark):
     assert p7.documented(df.limit(0)).count() == 0
 
 
+COMPONENT = "comp_no bigint, repo string, id string, component_type string, clean_name string, source_code string"
+
+
+def test_inheritance_is_pythons(spark):
+    """Random hierarchies of any height, several bases: the first text in Python's own order of classes."""
+    rng = random.Random(3)
+    rows, want, n = [], {}, 0
+    for f in range(25):
+        space: dict = {}
+        classes: list[str] = []
+        for i in range(rng.randrange(2, 14)):
+            bases = rng.sample(classes, min(len(classes), rng.choice([0, 1, 1, 2, 3])))
+            name, methods = f"K{i}", [m for m in ("run", "stop", "load") if rng.random() < 0.6]
+            head = f"class {name}({', '.join(bases)}{', metaclass=type' if rng.random() < 0.2 and bases else ''}):"
+            body = {m: f"    def {m}(self):\n        " + (f'"""Text of {m} in class {name}."""' if rng.random() < 0.35 else "return 1") for m in methods}
+            try:
+                exec(head + "\n" + ("\n".join(body.values()) or "    pass"), space)
+            except TypeError:  # no order
+                continue
+            classes.append(name)
+            rows.append((n := n + 1, "r", f"{name}@f{f}.py", "class", name, head + "\n    ..."))
+            for m in methods:
+                rows.append((n := n + 1, "r", f"{name}.{m}@f{f}.py", "method", m, textwrap.dedent(body[m])))
+                docs = [k.__dict__[m].__doc__ for k in space[name].__mro__ if m in k.__dict__]
+                if found := [d for d in docs if d]:
+                    want[n] = found[0]
+    got = {r["comp_no"]: r["doc"] for r in p7.documented(spark.createDataFrame(rows, COMPONENT)).collect()}
+    assert got == want and len(want) > 100
+
+
+def test_inheritance_by_names(spark):
+    """Bases of the same name elsewhere, cycles, brackets in heads, nested classes, tall hierarchies, and no order at all."""
+    doc, bare = 'def run(self):\n    """Runs %s to its end."""', "def run(self):\n    return 1"
+    rows = [
+        (1, "r", "Client@a/base.py", "class", "Client", "class Client:\n    pass"), (2, "r", "Client.run@a/base.py", "method", "run", doc % "base"),
+        (3, "r", "Client@b/http.py", "class", "Client", "class Client(base.Client):\n    pass"), (4, "r", "Client.run@b/http.py", "method", "run", bare),
+        (5, "r", "Client@c/more.py", "class", "Client", "class Client(nowhere.Client):\n    pass"), (6, "r", "Client.run@c/more.py", "method", "run", bare),
+        (7, "r", "P@d.py", "class", "P", "class P:\n    pass"), (8, "r", "P.run@d.py", "method", "run", doc % "P"), (9, "r", "B@d.py", "class", "B", "class B:\n    pass"), (10, "r", "B.run@d.py", "method", "run", doc % "B"),
+        (11, "r", "A@d.py", "class", "A", "class A(P):\n    pass"), (12, "r", "C@e.py", "class", "C", "class C(A, with_(x=(1, 2)), B):\n    pass"), (13, "r", "C.run@e.py", "method", "run", bare),
+        (14, "r", "X@f.py", "class", "X", "class X(Y):\n    pass"), (15, "r", "Y@f.py", "class", "Y", "class Y(X):\n    pass"), (16, "r", "X.run@f.py", "method", "run", bare), (17, "r", "Z@f.py", "class", "Z", "class Z(X, P):\n    pass"), (18, "r", "Z.run@f.py", "method", "run", bare),
+        (19, "r", "Out.In@g.py", "class", "In", "class In(P):\n    pass"), (20, "r", "Out.In.run@g.py", "method", "run", bare), (21, None, "P@h.py", "class", "P", None), (22, "r", "odd", "class", None, "class Odd(P):"), (23, "r", "noclass@h.py", "method", "noclass", bare),
+        (24, "r", "W@i.py", "class", "W", "class W(P, A):\n    pass"), (25, "r", "W.run@i.py", "method", "run", bare),
+    ]
+    tall = [(100 + 2 * i, "t", f"T{i}@t.py", "class", f"T{i}", f"class T{i}(T{i - 1}):\n    pass" if i else "class T0:\n    pass") for i in range(9)]
+    rows += tall + [(101, "t", "T0.run@t.py", "method", "run", doc % "T0"), (117, "t", "T8.run@t.py", "method", "run", bare)]
+    got = {r["comp_no"]: (r["doc"], r["depth"]) for r in p7.documented(spark.createDataFrame(rows, COMPONENT)).where("depth > 0").collect()}
+    assert got == {4: ("Runs base to its end.", 1), 13: ("Runs P to its end.", 2), 20: ("Runs P to its end.", 1), 117: ("Runs T0 to its end.", 8)}
+
+
 def test_tokenizer_is_the_librarys(spark):
     from tokenizers import Tokenizer
 
