@@ -1,13 +1,14 @@
 """Passages of held-out evaluation items inside a large corpus, by a generalised suffix automaton.
 
 The normalised items become one automaton over words; separators that no text contains keep items apart. Every document is
-streamed through it once: the state after each word is the longest suffix of the words so far that stands in some item, so a
-match of any length is found whatever its start. Matches of `min_words` words or more are leaked spans; an item's coverage is the
-share of its words that matched. Corpus rows are never shuffled but to spread them; the automaton is broadcast, and its size is
-bounded: items are dealt into blocks of at most BLOCK_WORDS words, and every document is streamed through each block's automaton
-(a stated query set against all rows, in blocks).
+streamed through it once: the state after each word is the longest suffix of the words so far that stands in some item, and its
+suffix links give, for each item, the longest suffix that stands in that one; so a match of any length is found whatever its start.
+Matches of `min_words` words or more are leaked spans; an item's coverage is the share of the document's words that they hold. Corpus rows
+are never shuffled but to spread small inputs; the automaton's items are broadcast, and their size is bounded: whole items are dealt
+into blocks of at most BLOCK_WORDS words (or one item), and every document is streamed through each block's automaton (a stated query set
+against all rows, in blocks). No item lies in two blocks, so the rows are the same whatever the blocks. A worker builds an automaton once.
 
-Normalised words are runs of letters and digits in case-folded, NFKC-normalised text without tags.
+Normalised words are runs of letters and digits in case-folded, NFKC-normalised text without tags of any length.
 
 Defined cases: null, empty and wordless texts have no matches; items of fewer than `min_words` words can't leak; repeated documents
 each count under their own id, repeated (id, text) rows once; very long texts are streamed word by word, never cut."""
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,7 +32,7 @@ MIN_WORDS = 20
 #: Words of items in one automaton, which bounds the broadcast to some 100 MB in a worker.
 BLOCK_WORDS = 300_000
 WORD = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
+TAG = re.compile(r"</?[A-Za-z][\w:.\-]*(?:\s+[^\s<>\"'=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*\s*/?>")
 
 
 def normal_words(text: str) -> tuple[str, list[re.Match]]:
@@ -110,73 +112,88 @@ class Automaton:
                 out.append((i + 1 - n, i + 1, v))
         return out
 
-    def items_at(self, state: int) -> tuple[int, ...]:
-        """Items that hold the last `least` words before `state`."""
-        while self.size[self.link[state]] >= self.least:
+    def items_at(self, state: int, length: int) -> list[tuple[int, int]]:
+        """(item, words) of each item that holds the last `least` words or more before `state`, with how many of the last `length` it holds."""
+        out, seen = [], set()
+        while self.size[state] >= self.least:
+            for item in self.holders.get(state, ()):
+                if item not in seen:
+                    seen.add(item)
+                    out.append((item, min(length, self.size[state])))
             state = self.link[state]
-        return self.holders.get(state, ())
+            if state < 0:
+                break
+        return out
 
 
-def _blocks(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list[str]]]]:
+def _blocks(items: list[tuple[int, list[list[str]]]], block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Whole items in blocks of at most `block_words` words, or one item: (item, words) of each of their texts."""
     block, n = [], 0
-    for item in items:
-        if block and n + len(item[1]) > BLOCK_WORDS:
+    for item, texts in items:
+        size = sum(map(len, texts))
+        if block and n + size > block_words:
             yield block
             block, n = [], 0
-        block.append(item)
-        n += len(item[1])
+        block += [(item, t) for t in texts]
+        n += size
     if block:
         yield block
 
 
-def leaked_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], min_words: int = MIN_WORDS) -> DataFrame:
+#: The automata that this worker has built, by the number of their broadcast.
+_BUILT: dict[int, Automaton] = {}
+
+
+def leaked_spans(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: list[str], min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, item_id, longest, covered, coverage, spans) of each document and each item that it leaks.
 
-    longest: words of the longest match; covered: document words in matches; spans: [first character, character after the last]
-    in the normalised text. The items are read by the driver: held-out sets are given, small, and dealt in blocks."""
+    longest: words of the longest match with the item; covered: document words in matches, coverage their share; spans: [first character,
+    character after the last] in the normalised text. The items are read by the driver: held-out sets are given, small, and dealt in blocks."""
     spark = docs.sparkSession
-    rows = items.select(item_key, *item_texts).dropDuplicates([item_key]).toLocalIterator()
-    words: list[tuple[int, list[str]]] = []
-    for r in rows:
-        for t in item_texts:
-            w = [m.group().casefold() for m in normal_words(r[t] or "")[1]]
-            if len(w) >= min_words:
-                words.append((r[item_key], w))
+    items_read: list[tuple[int, list[list[str]]]] = []
+    for r in items.select(item_key, *item_texts).dropDuplicates([item_key]).orderBy(item_key).toLocalIterator():
+        texts = [[m.group().casefold() for m in normal_words(r[t] or "")[1]] for t in item_texts]
+        if (texts := [t for t in texts if len(t) >= min_words]) and r[item_key] is not None:
+            items_read.append((r[item_key], texts))
     kind = dict(docs.dtypes)[key]
-    schema = f"{key} {kind}, item_id bigint, longest int, covered int, spans array<struct<start:int,stop:int>>"
-    texts = spread(docs.select(docs[key].alias(key), docs[text].cast("string").alias("text")).where(F.length("text") > 0))
+    schema = f"{key} {kind}, item_id bigint, longest int, covered int, coverage double, spans array<struct<start:int,stop:int>>"
+    names = [key, "item_id", "longest", "covered", "coverage", "spans"]
+    rows = spread(docs.select(docs[key].alias(key), docs[text].cast("string").alias("text")).where(F.length("text") > 0))
     parts = []
-    for block in _blocks(words):
+    for number, block in enumerate(_blocks(items_read, block_words)):
         ids: dict[str, int] = {}
         coded = [(item, [ids.setdefault(w, len(ids)) for w in ws]) for item, ws in block]
-        shared = spark.sparkContext.broadcast((ids, coded))
+        shared = spark.sparkContext.broadcast((f"{uuid.uuid4().hex}-{number}", ids, coded))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, coded = shared.value
-            auto = Automaton(coded, min_words)
+            name, ids, coded = shared.value
+            if name not in _BUILT:
+                while len(_BUILT) > 1:
+                    _BUILT.pop(next(iter(_BUILT)))
+                _BUILT[name] = Automaton(coded, min_words)
+            auto = _BUILT[name]
             for pdf in batches:
                 out = []
                 for doc, body in pdf.itertuples(index=False, name=None):
                     _, found = normal_words(body)
                     if len(found) < min_words:
                         continue
-                    found_spans = auto.spans([ids.get(m.group().casefold(), -1) for m in found])
                     per: dict[int, list[list[int]]] = {}
                     longest: dict[int, int] = {}
-                    for a, b, state in found_spans:
-                        for item in auto.items_at(state):
-                            # of the match only the last words surely stand in this item; spans that touch grow together
-                            mine = per.setdefault(item, [])
-                            if mine and mine[-1][1] >= b - min_words:
-                                mine[-1][1] = b
-                            else:
-                                mine.append([b - min_words, b])
-                            longest[item] = max(longest.get(item, 0), mine[-1][1] - mine[-1][0])
+                    for a, b, state in auto.spans([ids.get(m.group().casefold(), -1) for m in found]):
+                        for item, n in auto.items_at(state, b - a):
+                            # matches that end at later words and overlap grow into one span; a longer one may swallow earlier spans
+                            mine, first = per.setdefault(item, []), b - n
+                            while mine and mine[-1][1] >= first:
+                                first = min(first, mine.pop()[0])
+                            mine.append([first, b])
+                            longest[item] = max(longest.get(item, 0), n)
                     for item, mine in per.items():
-                        out.append((doc, item, longest[item], sum(b - a for a, b in mine), [(found[a].start(), found[b - 1].end()) for a, b in mine]))
-                yield pd.DataFrame(out, columns=[key, "item_id", "longest", "covered", "spans"])
+                        covered = sum(b - a for a, b in mine)
+                        out.append((doc, item, longest[item], covered, covered / len(found), [(found[a].start(), found[b - 1].end()) for a, b in mine]))
+                yield pd.DataFrame(out, columns=names)
 
-        parts.append(texts.mapInPandas(run, schema))
+        parts.append(rows.mapInPandas(run, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts).dropDuplicates([key, "item_id"])

@@ -144,23 +144,52 @@ def brute_leaks(docs, items, least):
     return out
 
 
+def brute_spans(docs, items, least):
+    """(document, item) -> (longest, covered): by trying every stretch of words."""
+    out = {}
+    for item, texts in items:
+        have = set()
+        for t in texts:
+            w = [m.group().casefold() for m in p9.normal_words(t or "")[1]]
+            have |= {tuple(w[i:j]) for i in range(len(w)) for j in range(i + least, len(w) + 1)}
+        for doc, body in docs:
+            b = [m.group().casefold() for m in p9.normal_words(body or "")[1]]
+            hits = [(i, j) for i in range(len(b)) for j in range(i + least, len(b) + 1) if tuple(b[i:j]) in have]
+            if hits:
+                out[doc, item] = (max(j - i for i, j in hits), len({k for i, j in hits for k in range(i, j)}))
+    return out
+
+
 @pytest.mark.parametrize("least", [4, 8])
-def test_leaks_against_brute_force(spark, least, monkeypatch):
-    monkeypatch.setattr(p9, "BLOCK_WORDS", 120)
+def test_leaks_against_brute_force(spark, least):
+    """The same rows, with true lengths, whatever the size of blocks."""
     rng = random.Random(least)
     voc = [f"w{i}" for i in range(9)]
     items = [(i, [" ".join(rng.choices(voc, k=rng.randrange(0, 40))), rng.choice([None, "", " ".join(rng.choices(voc, k=12))])]) for i in range(20)]
     docs = [(i, " ".join(rng.choice([str.upper, str, lambda x: f"<b>{x}</b>,"])(w) for w in rng.choices(voc, k=rng.randrange(0, 60)))) for i in range(60)] + [(100, None), (101, "")]
+    docs += [(200 + i, "some words here " + " ".join((items[i][1][0] or "").split()[:25]) + " and more " + " ".join(items[(i + 1) % 20][1][0].split()[3:20])) for i in range(20)]
     d = spark.createDataFrame([(*r, 1, "clash") for r in docs], "doc_id bigint, text string, item_id int, spans string")
     t = spark.createDataFrame([(i, a, b) for i, (a, b) in items], "id bigint, docstring string, solution string")
-    spans = p9.leaked_spans(d, "doc_id", "text", t, "id", ["docstring", "solution"], least)
-    assert {(r["doc_id"], r["item_id"]) for r in spans.collect()} == brute_leaks(docs, items, least)
+    want = brute_spans(docs, items, least)
+    assert set(want) == brute_leaks(docs, items, least) and len(want) > 20
+    for block in (1, 120, 300_000):
+        spans = p9.leaked_spans(d, "doc_id", "text", t, "id", ["docstring", "solution"], least, block)
+        assert {(r["doc_id"], r["item_id"]): (r["longest"], r["covered"]) for r in spans.collect()} == want
     left = {r["doc_id"]: r["text"] for r in p9.without_leaks(d, "doc_id", "text", spans, least, 1.0).collect()}
     assert len(left) == len(docs) and left[100] is None
     assert p9.leaked_spans(d.limit(0), "doc_id", "text", t, "id", ["docstring"], least).count() == 0
     assert p9.leaked_spans(d, "doc_id", "text", t.limit(0), "id", ["docstring"], least).count() == 0
 
 
+def test_leaks_across_long_markup(spark):
+    words = [f"word{i}" for i in range(24)]
+    tag = '<a href="https://example.org/' + "path/" * 60 + '" title=\'x > y\' hidden>'
+    docs = [(1, " ".join(words[:12]) + f" {tag} " + " ".join(words[12:]) + "</a>"), (2, " ".join(words[:12]) + " if a < b and so on " + " ".join(words[12:])), (3, " ".join(words[:19]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    t = spark.createDataFrame([(7, " ".join(words))], "id bigint, solution string")
+    assert [(r["doc_id"], r["item_id"], r["longest"]) for r in p9.leaked_spans(d, "doc_id", "text", t, "id", ["solution"]).collect()] == [(1, 7, 24)]
+
+
 def test_exact_ranks(spark):
     """Ranks among the rows that count, of the values of all rows; more than half of the rows share a value."""
     rng = random.Random(4)
