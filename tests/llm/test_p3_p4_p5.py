@@ -118,6 +118,23 @@ def test_allocation_around_a_giant():
             assert abs(held - share * total) <= max(12, 1200 - share * total if any(g[s] and b[1] == 1200 for g, b in zip(got, bundles)) else 12)
 
 
+def test_labels_are_balanced():
+    """Bundles whose labels differ within one profile class: shares of labels come out alike, and no giant makes a small split."""
+    rng = random.Random(2)
+    bundles, labels = [(2, 900, 1, 900)], [(400.0, 3.0)]
+    for _ in range(60):
+        size, n = rng.randrange(1, 40), rng.randrange(1, 30)
+        bundles.append((2, size, n, size * n))
+        labels.append((float(rng.randrange(size + 1)), 0.0))
+    got = p4.allocate(bundles, labels=labels)
+    total, positive = sum(b[3] for b in bundles), sum(b[2] * p for b, (p, _) in zip(bundles, labels))
+    assert got[0] == [1, 0, 0] and all(sum(g) == b[2] for g, b in zip(got, bundles))
+    for s, (_, share) in enumerate(p4.SHARES):
+        held = sum(g[s] * b[1] for g, b in zip(got, bundles))
+        with_label = sum(g[s] * p for g, (p, _) in zip(got, labels))
+        assert abs(held - share * total) <= 12 and abs(with_label - share * positive) <= 12
+
+
 def test_min_cost_flow():
     # two ways of cost 1 and 3, capacity 2 and 5
     assert p4.min_cost_flow(4, [(0, 1, 2, 1), (0, 2, 5, 3), (1, 3, 9, 0), (2, 3, 4, 0)], 0, 3) == [2, 4, 2, 4]
