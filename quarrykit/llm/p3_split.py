@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrykit.runtime import read_table
+from quarrykit.runtime import parts_for, read_table, shared_path
 
 LIMIT, OVERLAP = 2_000, 200
 #: Nominal bytes of a range; halo of characters a worker sees beyond it (an anchor is looked for in half of it).
@@ -68,9 +68,50 @@ def cuts(text: str, step: int, at: int = 0) -> list[tuple[int, str]]:
     return out
 
 
+NAMES = ["item_kind", "item_no", "range_no", "i", "chars", "head", "char_at", "byte_start", "byte_end", "boundary"]
+TABLE = "item_kind string, item_no bigint, range_no int, i int, chars bigint, head int, char_at bigint, byte_start bigint, byte_end bigint, boundary string"
+
+
+def _halos(limit: int, overlap: int) -> tuple[int, int]:
+    """Bytes of a range's halo before and behind it."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be smaller than the limit")
+    return 4 * overlap, 8 * limit
+
+
+def cut_range(n_bytes: int, k: int, lead: int, data: bytes, limit: int, overlap: int, size: int) -> list[tuple]:
+    """The boundary table of range k of an item of n_bytes: (i, chars, head, char_at, byte_start, byte_end, boundary, text) of each piece.
+    data are the range's bytes with its halos, `lead` of them before it; char_at counts from the range's first cut, head are the
+    characters of the overlap."""
+    step = limit - overlap
+    own_at = lead
+    while k and own_at < len(data) and data[own_at] & 0xC0 == 0x80:  # the rest of a character that the range before began
+        own_at += 1
+    own_to = min(lead + size, len(data))
+    while own_to < len(data) and data[own_to] & 0xC0 == 0x80:
+        own_to += 1
+    before = data[:own_at].decode("utf-8", "ignore")
+    text = data[own_at:own_to].decode("utf-8", "replace")
+    first = anchor(text, step) if k else 0
+    if (k + 1) * size < n_bytes:
+        beyond = data[own_to:].decode("utf-8", "ignore")
+        text += beyond[: anchor(beyond, step)]
+    text = before + text
+    at = len(before) + first
+    at_byte = k * size + own_at - lead + len(text[len(before) : at].encode())
+    rows, chars = [], 0
+    for i, (end, why) in enumerate(cuts(text, step, at)):
+        nb = len(text[at:end].encode())
+        head = min(overlap, at) if k or i else 0
+        rows.append((i, end - at, head, chars, at_byte, at_byte + nb, why, text[at - head : end]))
+        chars += end - at
+        at, at_byte = end, at_byte + nb
+    return rows
+
+
 def _ranges(items: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
     """Byte ranges of the oversized items, each with its halos as binary; rows of small items end here, in the JVM."""
-    back, halo = 4 * overlap, 8 * limit
+    back, halo = _halos(limit, overlap)
     big = items.where(F.length("text") > limit).select("item_kind", "item_no", F.col("text").cast("binary").alias("b"))
     big = big.withColumn("n_bytes", F.octet_length("b"))
     big = big.select("*", F.explode(F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / size).cast("int"))).alias("range_no"))
@@ -79,50 +120,23 @@ def _ranges(items: DataFrame, limit: int, overlap: int, size: int) -> DataFrame:
     return big.select("item_kind", "item_no", "n_bytes", "range_no", lead.alias("lead"), F.substring(F.col("b"), start + 1, lead + size + halo).alias("data"))
 
 
-def _local(items: DataFrame, limit: int, overlap: int, size: int, with_text: bool) -> DataFrame:
-    """The boundary table of each range: (range_no, i, chars, head, byte_start, byte_end, boundary), and the piece's text if wished.
-    head: characters of the overlap, which the range has in its halo."""
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be smaller than the limit")
-    step = limit - overlap
-    names = ["item_kind", "item_no", "range_no", "i", "chars", "head", "byte_start", "byte_end", "boundary"] + ["piece"] * with_text
+def _local(ranges: DataFrame, limit: int, overlap: int, size: int, with_text: bool) -> DataFrame:
+    """The boundary table of each range, and the piece's text if wished; n_bytes is the item's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list = []
             for kind, no, n_bytes, k, lead, data in pdf.itertuples(index=False, name=None):
-                data = bytes(data)
-                own_at = lead
-                while k and own_at < len(data) and data[own_at] & 0xC0 == 0x80:  # the rest of a character that the range before began
-                    own_at += 1
-                own_to = min(lead + size, len(data))
-                while own_to < len(data) and data[own_to] & 0xC0 == 0x80:
-                    own_to += 1
-                before = data[:own_at].decode("utf-8", "ignore")
-                text = data[own_at:own_to].decode("utf-8")
-                first = anchor(text, step) if k else 0
-                if (k + 1) * size < n_bytes:
-                    beyond = data[own_to:].decode("utf-8", "ignore")
-                    text += beyond[: anchor(beyond, step)]
-                text = before + text
-                at = len(before) + first
-                at_byte = k * size + own_at - lead + len(text[len(before) : at].encode())
-                for i, (end, why) in enumerate(cuts(text, step, at)):
-                    nb = len(text[at:end].encode())
-                    head = min(overlap, at) if k or i else 0
-                    rows.append((kind, no, k, i, end - at, head, at_byte, at_byte + nb, why) + ((text[at - head : end],) if with_text else ()))
-                    at, at_byte = end, at_byte + nb
-            yield pd.DataFrame(rows, columns=names)
-
-    kinds = "item_kind string, item_no bigint, range_no int, i int, chars bigint, head bigint, byte_start bigint, byte_end bigint, boundary string"
-    return _ranges(items, limit, overlap, size).mapInPandas(run, kinds + ", piece string" * with_text)
+                rows += [(kind, no, k, *r[: None if with_text else -1], n_bytes) for r in cut_range(n_bytes, k, lead, bytes(data), limit, overlap, size)]
+            yield pd.DataFrame(rows, columns=NAMES + ["piece"] * with_text + ["n_bytes"])
 
+    return ranges.mapInPandas(run, TABLE + ", piece string" * with_text + ", n_bytes bigint")
 
-def range_offsets(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
-    """The stitched table: of each range of each item the pieces and characters before it. A row for each range, no text;
-    a repeated item adds equal rows, which the maxima swallow."""
-    by_range = _local(items, limit, overlap, size, False).groupBy("item_kind", "item_no", "range_no", "i").agg(F.max("chars").alias("chars"))
-    by_range = by_range.groupBy("item_kind", "item_no", "range_no").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+
+def _stitched(local: DataFrame) -> DataFrame:
+    """Of each range of each item the pieces and characters before it. A row for each range, no text; a repeated item adds equal rows,
+    which the maxima swallow."""
+    by_range = local.groupBy("item_kind", "item_no", "range_no").agg((F.max("i") + 1).cast("bigint").alias("n"), F.max(F.col("char_at") + F.col("chars")).alias("chars"))
     before = Window.partitionBy("item_kind", "item_no").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     return by_range.select(
         "item_kind", "item_no", "range_no", "n",
@@ -130,21 +144,58 @@ def range_offsets(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
     )
 
 
+def range_offsets(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
+    """The stitched table of the items' ranges."""
+    return _stitched(_local(_ranges(items, limit, overlap, size), limit, overlap, size, False))
+
+
+def _placed(local: DataFrame, size: int) -> DataFrame:
+    """Pieces with their places in the whole item. An item of one range, as nearly all are, has nothing before it; the tables of the
+    others are stitched, from the written pieces, of which only the numbers are read."""
+    out = lambda d, pieces, chars: d.select(
+        "item_kind", "item_no", (pieces + F.col("i")).cast("int").alias("piece_no"), (chars + F.col("char_at")).alias("char_start"),
+        (chars + F.col("char_at") + F.col("chars")).alias("char_end"), F.col("head").alias("overlap"), "byte_start", "byte_end", "boundary", "piece")
+    path = shared_path(local.sparkSession, "pieces")
+    local.write.parquet(path)
+    written = local.sparkSession.read.schema(local.schema).parquet(path)
+    many = written.where(F.col("n_bytes") > size)
+    return out(written.where(F.col("n_bytes") <= size), F.lit(0), F.lit(0).cast("bigint")).unionByName(
+        out(many.join(_stitched(many), ["item_kind", "item_no", "range_no"]), F.col("pieces_before"), F.col("chars_before")))
+
+
 def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
     """(item_kind, item_no, piece_no, char_start, char_end, overlap, byte_start, byte_end, boundary, piece).
 
     `items` has item_kind, item_no, text. char_start..char_end and the bytes are the stretch between the piece's cuts; the
-    piece's text begins `overlap` characters earlier. Pieces are dealt by range, so the pieces of one item spread."""
-    key = ["item_kind", "item_no", "range_no"]
-    local = _local(items, limit, overlap, size, True).repartition(*key).dropDuplicates([*key, "i"])
-    in_range = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    local = local.withColumn("in_range", F.coalesce(F.sum("chars").over(in_range), F.lit(0)))
-    start = F.col("chars_before") + F.col("in_range")
-    return local.join(range_offsets(items, limit, overlap, size), key).select(
-        "item_kind", "item_no", (F.col("pieces_before") + F.col("i")).cast("int").alias("piece_no"),
-        start.alias("char_start"), (start + F.col("chars")).alias("char_end"), F.col("head").cast("int").alias("overlap"),
-        "byte_start", "byte_end", "boundary", "piece",
-    )
+    piece's text begins `overlap` characters earlier. Every item is cut once; ranges are dealt anew, so those of one item spread."""
+    big = items.where(F.length("text") > limit).dropDuplicates(["item_kind", "item_no"])
+    return _placed(_local(_ranges(big, limit, overlap, size), limit, overlap, size, True), size)
+
+
+def file_pieces(spark: SparkSession, path: str, glob: str = "*", limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
+    """The pieces of all files of more than `limit` bytes below a folder, by item_path; columns as of `pieces` besides. No file is ever loaded whole:
+    the listing gives lengths alone, and each task reads the bytes of its ranges and their halos."""
+    back, halo = _halos(limit, overlap)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    files = listed.where(F.col("length") > limit).select(F.col("path").alias("item_kind"), F.lit(0).cast("bigint").alias("item_no"), F.col("length").alias("n_bytes"))
+    ranges = files.select("*", F.explode(F.sequence(F.lit(0), ((F.col("n_bytes") - 1) / size).cast("int"))).alias("range_no"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            data, leads = [], []
+            for name, n_bytes, k in zip(pdf.item_kind, pdf.n_bytes, pdf.range_no):
+                lead = min(k * size, back)
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_file(at) as f:
+                    f.seek(k * size - lead)
+                    data.append(f.read(min(lead + size + halo, n_bytes - (k * size - lead))))
+                leads.append(lead)
+            yield pdf.assign(lead=leads, data=data)
+
+    read = ranges.repartition(parts_for(files), "item_kind", "range_no").mapInPandas(run, "item_kind string, item_no bigint, n_bytes bigint, range_no int, lead int, data binary")
+    return _placed(_local(read, limit, overlap, size, True), size).withColumnRenamed("item_kind", "item_path").drop("item_no")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

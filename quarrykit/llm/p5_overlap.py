@@ -19,17 +19,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.skew import lookup
 from quarrykit.runtime import cut_lineage, read_table, spread
 
 #: Exact check: word n-gram size, least Jaccard similarity, least share of equal words in order.
 GRAM = {"description": 3, "code": 4}
 SIMILAR = {"description": 0.5, "code": 0.42}
 IN_ORDER = {"description": 0.84, "code": 0.8}
+#: Words that the rolling hash of chunks spans, and mean words of a chunk.
+CHUNK_WINDOW, CHUNK_MEAN = 2, 4
 #: Pairs of codes under one pair of descriptions from which they meet on n-grams; results don't hang on it.
 HOT = 4096
 #: For bounds worked out in floating point: less than any step between fractions of words.
@@ -194,7 +198,58 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.least("eval_no", "train_no").alias("pair_a"), F.greatest("eval_no", "train_no").alias("pair_b"))
 
 
+def chunk_ends(words: np.ndarray, owner: np.ndarray, window: int = CHUNK_WINDOW, mean: int = CHUNK_MEAN) -> np.ndarray:
+    """Whether a chunk ends behind each word: where the rolling hash of the last `window` words is one in `mean`, and at a text's end. Equal
+    words are cut alike wherever they stand, but for the first chunk of a passage."""
+    rolled = np.zeros(len(words), np.uint64)
+    for back in range(window):
+        turned = words << np.uint64(7 * back) | words >> np.uint64(64 - 7 * back) if back else words
+        same = np.concatenate([np.zeros(min(back, len(words)), bool), owner[back:] == owner[: len(owner) - back]])
+        rolled ^= np.where(same, np.concatenate([np.zeros(min(back, len(words)), np.uint64), turned[: len(words) - back]]), np.uint64(0))
+    last = np.concatenate([owner[1:] != owner[:-1], [True]]) if len(owner) else np.zeros(0, bool)
+    return (((rolled * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(mean) == 0) | last
+
+
+def fractions(records: DataFrame) -> DataFrame:
+    """(pair_no, split, repo, part, words, shared, fraction) of each evaluation record and part (description, code): the share of its normalised
+    words that stand in content-defined chunks which some train record's same part has too.
+
+    Chunks are cut by a rolling hash over words, and met by digest: each digest of the train split counts once, so a chunk of a third of
+    all records costs a row, and no pairs come out. Work and shuffle grow with the words alone."""
+    recs = cut_lineage(_classes(records))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, column in (("description", "dw"), ("code", "cw")):
+                split = [w.split(" ") for w in pdf[column]]
+                owner = np.repeat(np.arange(len(split)), [len(w) for w in split])
+                words = [w for ws in split for w in ws]
+                known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+                hashes = np.fromiter((known[w] for w in words), np.uint64, len(words))
+                at = np.flatnonzero(chunk_ends(hashes, owner)) + 1
+                begin = np.concatenate([[0], at[:-1]]) if len(at) else at
+                yield pd.DataFrame({
+                    "pair_no": pdf.pair_no.to_numpy()[owner[begin]], "split": pdf.split.to_numpy()[owner[begin]], "repo": pdf.repo.to_numpy()[owner[begin]], "part": part,
+                    "digest": [xxhash.xxh64_intdigest(" ".join(words[a:b])) - (1 << 63) for a, b in zip(begin.tolist(), at.tolist())], "n": (at - begin).astype(np.int32)})
+
+    chunks = cut_lineage(recs.mapInPandas(cut, "pair_no bigint, split string, repo string, part string, digest bigint, n int"))
+    train = chunks.where("split = 'train'").select("part", "digest").dropDuplicates().withColumn("met", F.lit(1))
+    evals = chunks.where("split <> 'train'")
+    met = lookup(evals, train, ["part", "digest"], "left")
+    g = met.groupBy("pair_no", "split", "repo", "part").agg(F.sum("n").cast("bigint").alias("words"), F.coalesce(F.sum(F.when(F.col("met") == 1, F.col("n"))), F.lit(0)).cast("bigint").alias("shared"))
+    return g.withColumn("fraction", F.col("shared") / F.col("words"))
+
+
+def p5_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap fraction of each evaluation record's description and code with the train split."""
+    return fractions(read_table(spark, sf_dir, "training_pair"))
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping evaluation records and links of each split and repository."""
-    o = overlaps(read_table(spark, sf_dir, "training_pair"))
-    return o.groupBy("split", "repo").agg(F.countDistinct("eval_no").alias("records"), F.count(F.lit(1)).alias("links"))
+    """Of each split and repository the evaluation records, those that overlap, their links, and the mean overlap fractions of both parts."""
+    pairs = read_table(spark, sf_dir, "training_pair")
+    o = overlaps(pairs).groupBy("split", "repo").agg(F.countDistinct("eval_no").alias("records"), F.count(F.lit(1)).alias("links"))
+    by = [F.avg(F.when(F.col("part") == p, F.col("fraction"))).alias(f"{p}_overlap") for p in ("description", "code")]
+    f = fractions(pairs).groupBy("split", "repo").agg(F.countDistinct("pair_no").alias("checked"), *by)
+    keys = [f.split.eqNullSafe(o.split), f.repo.eqNullSafe(o.repo)]
+    return f.join(o, keys[0] & keys[1], "left").select(f.split, f.repo, "checked", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("links", F.lit(0)).alias("links"), "description_overlap", "code_overlap")

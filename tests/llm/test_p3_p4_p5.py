@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from quarrykit.llm import p3_split as p3
 from quarrykit.llm import p4_splits as p4
@@ -29,6 +30,26 @@ def test_pieces_round_trip(spark, size, overlap):
         assert all(not o["overlap"] or a["piece"].endswith(o["piece"][: o["overlap"]]) for a, o in zip(ps, ps[1:]))
 
 
+@pytest.mark.parametrize("size", [1 << 12, 1 << 18])
+def test_files_are_read_by_ranges(spark, tmp_path, size, monkeypatch):
+    """Files come out as their texts do, and no read is longer than a range with its halos."""
+    rng = random.Random(4)
+    texts = {n: "".join(rng.choice(["def f(x):\n", "    return é中🚚\n", "word ", "\n\n", "a" * 300]) for _ in range(n)) for n in (3, 400, 2500)}
+    for n, t in texts.items():
+        (tmp_path / f"f{n}.txt").write_bytes(t.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "skip.bin").write_bytes(b"x" * 9000)
+    got = defaultdict(list)
+    for r in p3.file_pieces(spark, str(tmp_path), "*.txt", size=size).orderBy("item_path", "piece_no").collect():
+        got[r["item_path"].rsplit("/", 1)[-1]].append(r)
+    assert set(got) == {f"f{n}.txt" for n, t in texts.items() if len(t.encode()) > 2000}
+    for name, ps in got.items():
+        t = texts[int(name[1:-4])]
+        assert "".join(p["piece"][p["overlap"] :] for p in ps) == t and [p["piece_no"] for p in ps] == list(range(len(ps))) and max(len(p["piece"]) for p in ps) <= 2000
+        assert all(t.encode()[p["byte_start"] : p["byte_end"]].decode() == p["piece"][p["overlap"] :] for p in ps)
+    assert p3.file_pieces(spark, str(tmp_path), "*.none").count() == 0
+
+
 def test_pieces_cut_at_boundaries():
     text = ("x = 1\n" * 100 + "\n\ndef f():\n    pass\n") * 4
     ends = p3.cuts(text, 1000)
@@ -205,3 +226,38 @@ def test_overlaps_of_short_edits(spark, monkeypatch, hot):
 
 def test_in_order():
     assert p5.in_order(list("abcdef"), list("abxdef")) == 5 / 6 and p5.in_order([], ["a"]) == 0
+
+
+def test_fractions_against_brute_force(spark):
+    """Shared chunks of every evaluation record, by cutting each text alone."""
+    rng = random.Random(9)
+    voc = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in range(200):
+        desc, code = rng.choices(voc, k=rng.randrange(1, 30)), [f"{w}()" for w in rng.choices(voc, k=rng.randrange(1, 30))]
+        if n % 3 == 0 and rows:
+            old = rng.choice(rows)
+            desc, code = old[5].split()[: rng.randrange(1, 40)] + desc[:3], code
+        rows.append((n, rng.choice(["train", "Test ", "valid"]), rng.choice(["a", None]), None, None, " ".join(desc), " ; ".join(code), 1, "", 0))
+    rows += [(500, "test", "a", None, None, None, "x = 1", 1, "", 0), rows[0]]
+
+    def cut(words):
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        out, begin = [], 0
+        for i in range(len(words)):
+            r = 0
+            for back in range(p5.CHUNK_WINDOW):
+                if i >= back:
+                    x = h[i - back]
+                    r ^= (x << 7 * back | x >> 64 - 7 * back) & (2**64 - 1) if back else x
+            if (r * 0x9E3779B97F4A7C15 % 2**64 >> 32) % p5.CHUNK_MEAN == 0 or i + 1 == len(words):
+                out.append(tuple(words[begin : i + 1]))
+                begin = i + 1
+        return out
+
+    texts = {r[0]: (r[1].strip().lower(), {"description": p5.description_words(r[5]), "code": p5.code_words(r[6])}) for r in rows if p5.description_words(r[5])}
+    have = {p: {c for s, t in texts.values() if s == "train" for c in cut(t[p])} for p in ("description", "code")}
+    want = {(n, p): (len(t[p]), sum(len(c) for c in cut(t[p]) if c in have[p])) for n, (s, t) in texts.items() if s != "train" for p in t}
+    got = {(r["pair_no"], r["part"]): (r["words"], r["shared"]) for r in p5.fractions(spark.createDataFrame(rows, PAIRS)).collect()}
+    assert got == want and sum(s for _, s in want.values()) > 50
+    assert p5.fractions(spark.createDataFrame([], PAIRS)).count() == 0
