@@ -13,47 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.functions.code_index import _Walk, file_imports, parse
-from quarrykit.runtime import cut_lineage, spread
+from quarrykit.functions.code_index import below, definitions, file_imports, parse
+from quarrykit.operators.hierarchy import class_orders
+from quarrykit.runtime import spread
 
 CALL_SCHEMA = "repo string, path string, caller string, chain string, module string, name string, attr string, flavor string, line int"
 
 
-def c3(bases: dict[str, list[str]], cls: str) -> list[str]:
-    """The C3 linear order of a class; depth-first order where no C3 order exists or bases form a cycle."""
-    def merge(seqs):
-        out = []
-        while seqs := [s for s in seqs if s]:
-            for s in seqs:
-                if not any(s[0] in t[1:] for t in seqs):
-                    break
-            else:
-                return None
-            head = s[0]
-            out.append(head)
-            seqs = [[x for x in t if x != head] for t in seqs]
-        return out
-
-    def order(c, path):
-        if c in path:
-            return None
-        parts = [order(b, (*path, c)) for b in bases.get(c, [])]
-        if any(p is None for p in parts):
-            return None
-        rest = merge([*parts, list(bases.get(c, []))])
-        return None if rest is None else [c, *rest]
-
-    got = order(cls, ())
-    if got is None:
-        got, todo = [], [cls]
-        while todo:
-            c = todo.pop(0)
-            if c not in got:
-                got.append(c)
-                todo = [*bases.get(c, []), *todo]
-    return got
-
-
 def file_calls(repo: str, path: str, code: str) -> list[tuple]:
     """Calls of each definition: the module and name that the head of the chain means here, and the attribute after it."""
     tree = parse(code)
@@ -65,23 +31,23 @@ def file_calls(repo: str, path: str, code: str) -> list[tuple]:
             bound[alias or name] = (module, name)
         elif kind == "import":
             bound[alias or module.removesuffix(".py").split("/")[0]] = (module, None)
-    walk = _Walk()
-    walk.visit(tree)
-    top = {name for _, kind, name in walk.found if kind in ("class", "function")}
-    classes = {name for _, kind, name in walk.found if kind == "class"}
+    found = definitions(code)
+    top = {name for _, kind, name in found if kind in ("class", "function")}
+    classes = {name for _, kind, name in found if kind == "class"}
     rows = []
-    for node, kind, own in walk.found:
+    for node, kind, own in found:
         if kind == "class":
             continue
         cls = own.split(".")[0] if kind == "method" else None
         made: dict[str, str] = {}
-        for n in ast.walk(node):
+        mine = below(code, node)
+        for n in mine:
             if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Name):
                 for t in n.targets:
                     if isinstance(t, ast.Name) and (n.value.func.id in classes or n.value.func.id in bound):
                         made[t.id] = n.value.func.id
-        inner = {n.name for n in ast.walk(node) if n is not node and isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
-        for n in ast.walk(node):
+        inner = {n.name for n in mine if n is not node and isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
+        for n in mine:
             if not isinstance(n, ast.Call):
                 continue
             f, attrs = n.func, []
@@ -121,34 +87,26 @@ def calls(files: DataFrame, repo: str = "repo", path: str = "path", code: str =
     return spread(files.select(F.col(repo), F.col(path), F.col(code))).mapInPandas(run, CALL_SCHEMA)
 
 
-def ancestors(parents: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(repo, cls_id, up_id, distance): the classes above each class, nearest first. `parents`: repo, cls_id, up_id."""
-    step = cut_lineage(parents.select("repo", "cls_id", "up_id").dropDuplicates())
-    seen = step.withColumn("distance", F.lit(1))
-    front = seen
-    for d in range(2, max_depth + 1):
-        nxt = front.select("repo", "cls_id", F.col("up_id").alias("mid")).join(step.select("repo", F.col("cls_id").alias("mid"), "up_id"), ["repo", "mid"]).select("repo", "cls_id", "up_id").dropDuplicates()
-        nxt = cut_lineage(nxt.join(seen, ["repo", "cls_id", "up_id"], "left_anti").where("cls_id <> up_id").withColumn("distance", F.lit(d)))
-        if nxt.isEmpty():
-            break
-        seen = cut_lineage(seen.unionByName(nxt))
-        front = nxt
-    return seen
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(repo, cls_id, up_id, distance): the classes above each class in Python's order (C3). `parents`: repo, cls_id, up_id and, for the order of
+    bases, ord; classes without an order inherit nothing, hierarchies may be of any height."""
+    w = Window.partitionBy("repo", "cls_id").orderBy("ord", "up_id")
+    bases = parents.where("cls_id <> up_id").groupBy("repo", "cls_id", "up_id").agg(F.min("ord").alias("ord")).select("repo", F.col("cls_id").alias("cls"), F.row_number().over(w).alias("ord"), F.col("up_id").alias("up"))
+    line = class_orders(bases).select("repo", F.col("cls").alias("cls_id"), F.posexplode("line").alias("distance", "up_id"))
+    return line.where("distance > 0").select("repo", "cls_id", "up_id", "distance")
 
 
 def call_edges(call_rows: DataFrame, components: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """(repo, caller, callee, flavor, line): resolved calls; a class called is its `__init__` if it has one; callee null is a wildcard."""
-    ids = components.select("repo", "id", "component_type").dropDuplicates(["repo", "id"])
+    ids = components.select("repo", "id").dropDuplicates(["repo", "id"])
     direct = F.when(F.col("attr").isNotNull() & F.col("module").isNotNull(), F.concat("name", F.lit("."), "attr", F.lit("@"), "module"))
     plain = F.when(F.col("module").isNotNull() & F.col("name").isNotNull(), F.concat("name", F.lit("@"), "module"))
     x = call_rows.withColumn("call_no", F.xxhash64("repo", "caller", "chain", "line"))
-    tries = x.select("*", F.posexplode(F.array(direct, F.when(F.col("attr").isNull(), F.concat("name", F.lit(".__init__@"), "module")), F.when(F.col("attr").isNull() | (F.col("flavor") == "imported"), plain))).alias("probe", "id")).where("id is not null and not (flavor = 'super' and probe = 0)")
-    hits = tries.join(ids, ["repo", "id"]).select("call_no", "repo", "caller", "flavor", "line", "probe", F.col("id").alias("callee"))
+    tries = x.select("repo", "call_no", "flavor", F.posexplode(F.array(direct, F.when(F.col("attr").isNull(), F.concat("name", F.lit(".__init__@"), "module")), F.when(F.col("attr").isNull() | (F.col("flavor") == "imported"), plain))).alias("probe", "id"))
+    tries = tries.where("id is not null and not (flavor = 'super' and probe = 0)").select("repo", "call_no", "probe", "id")
     if parents is not None:
-        up = ancestors(parents)
-        method = x.where("attr is not null and module is not null").withColumn("cls_id", F.concat("name", F.lit("@"), "module")).join(up, ["repo", "cls_id"])
-        via = method.withColumn("id", F.concat(F.substring_index("up_id", "@", 1), F.lit("."), "attr", F.lit("@"), F.substring_index("up_id", "@", -1))).join(ids, ["repo", "id"])
-        hits = hits.unionByName(via.select("call_no", "repo", "caller", "flavor", "line", (F.col("distance") + 10).alias("probe"), F.col("id").alias("callee")))
-    best = Window.partitionBy("call_no").orderBy("probe", "callee")
-    one = hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("call_no", "callee")
+        method = x.where("attr is not null and module is not null").select("repo", "call_no", "attr", F.concat("name", F.lit("@"), "module").alias("cls_id")).join(ancestors(parents), ["repo", "cls_id"])
+        via = F.concat(F.substring_index("up_id", "@", 1), F.lit("."), "attr", F.lit("@"), F.substring_index("up_id", "@", -1))
+        tries = tries.unionByName(method.select("repo", "call_no", (F.col("distance") + 10).alias("probe"), via.alias("id")))
+    one = tries.join(ids, ["repo", "id"]).groupBy("call_no").agg(F.min_by("id", F.struct("probe", "id")).alias("callee"))
     return x.join(one, "call_no", "left").select("repo", "caller", "callee", "chain", "flavor", "line").dropDuplicates()

@@ -1,4 +1,4 @@
-"""Python source files as tables: components, imports and raw references, one parse of each file.
+"""Python source files as tables: components, imports, raw references and calls, from one parse of each file.
 
 A file that Python can't parse gives no rows. Only names in `args.args` count as local parameters, annotated and tuple assignments make
 no variable component, and an aliased module keeps its alias as reference: these follow the indexed data's established meaning."""
@@ -10,13 +10,14 @@ import builtins
 import re
 import sys
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.runtime import spread
+from quarrykit.runtime import cut_lineage, spread
 
 COMPONENT_SCHEMA = "repo string, path string, id string, component_type string, clean_name string, parent string, start_line int, end_line int, has_docstring boolean, docstring string, signature string, source_code string, ord int"
 REFERENCE_SCHEMA = "repo string, path string, src_id string, name string, module string, alias string, via string, is_star boolean, ord int"
@@ -25,7 +26,9 @@ NO_DOC = "DOCSTRING"
 BUILTIN = frozenset(dir(builtins)) | {"self", "cls"}
 
 
+@lru_cache(maxsize=2)
 def parse(code: str) -> ast.Module | None:
+    """The tree of a file, None if Python can't parse it; the readers of one file share it, and must not change it."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
@@ -48,6 +51,37 @@ def signature_of(segment: str) -> str:
     return " ".join(segment[m.start() :].split("\n")[0].split()).rstrip(":") + ":"
 
 
+@lru_cache(maxsize=2)
+def _nodes(code: str) -> tuple[list[ast.AST], dict[int, tuple[int, int]]]:
+    """All nodes of a file that parses, each before those below it, and where the nodes below each one stand."""
+    order: list[ast.AST] = []
+    place: dict[int, tuple[int, int]] = {}
+    stack: list = [parse(code)]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, int):  # all nodes below this place are in
+            place[id(order[node])] = (node, len(order))
+            continue
+        stack.append(len(order))
+        order.append(node)
+        below = []
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if isinstance(value, list):
+                below.extend(x for x in value if isinstance(x, ast.AST))
+            elif isinstance(value, ast.AST):
+                below.append(value)
+        stack.extend(reversed(below))
+    return order, place
+
+
+def below(code: str, node: ast.AST) -> list[ast.AST]:
+    """A node of the file and all nodes below it, in source order; one walk of the file serves all its nodes."""
+    order, place = _nodes(code)
+    a, b = place[id(node)]
+    return order[a:b]
+
+
 class _Walk(ast.NodeVisitor):
     """Definitions with their nearest enclosing function and class, in source order."""
 
@@ -75,6 +109,14 @@ class _Walk(ast.NodeVisitor):
     visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = _define
 
 
+@lru_cache(maxsize=2)
+def definitions(code: str) -> tuple[tuple[ast.AST, str, str], ...]:
+    """(node, kind, name) of the definitions of a file that parses."""
+    walk = _Walk()
+    walk.visit(parse(code))
+    return tuple(walk.found)
+
+
 def file_components(repo: str, path: str, code: str) -> list[tuple]:
     tree = parse(code)
     if tree is None:
@@ -94,9 +136,7 @@ def file_components(repo: str, path: str, code: str) -> list[tuple]:
             for t in node.targets:
                 if isinstance(t, ast.Name):
                     add(node, "variable", t.id, t.id)
-    walk = _Walk()
-    walk.visit(tree)
-    for node, kind, name in walk.found:
+    for node, kind, name in definitions(code):
         parent = f"{name.rpartition('.')[0]}@{path}" if "." in name else None
         add(node, kind, name, node.name, parent)
     return rows
@@ -112,7 +152,7 @@ def resolve_relative(path: str, level: int, module: str | None) -> str:
 def file_imports(repo: str, path: str, code: str) -> list[tuple]:
     tree = parse(code)
     rows: list[tuple] = []
-    for node in ast.walk(tree) if tree else ():
+    for node in _nodes(code)[0] if tree else ():
         if isinstance(node, ast.Import):
             for a in node.names:
                 rows.append((repo, path, "import", a.name.replace(".", "/") + ".py", None, a.asname, 0, f"import {a.name}" + (f" as {a.asname}" if a.asname else ""), len(rows)))
@@ -139,16 +179,14 @@ def file_references(repo: str, path: str, code: str) -> list[tuple]:
         else:
             named[alias or module.removesuffix(".py").split("/")[0]] = (module, "*")
     rows: list[tuple] = []
-    walk = _Walk()
-    walk.visit(tree)
-    for node, kind, own in walk.found:
-        src = f"{own}@{path}"
-        local = {a.arg for n in ast.walk(node) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for a in n.args.args}
-        local |= {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+    for node, kind, own in definitions(code):
+        src, mine = f"{own}@{path}", below(code, node)
+        local = {a.arg for n in mine if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) for a in n.args.args}
+        local |= {n.id for n in mine if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
         seen = set()
-        called = {id(n.func) for n in ast.walk(node) if isinstance(n, ast.Call)}
+        called = {id(n.func) for n in mine if isinstance(n, ast.Call)}
         bases = {id(b) for b in getattr(node, "bases", [])}
-        for n in ast.walk(node):
+        for n in mine:
             if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id in named and n.value.id not in local:
                 module, what = named[n.value.id]
                 ref = (module, n.attr if what == "*" else f"{what}.{n.attr}", n.value.id, "attribute")
@@ -166,12 +204,12 @@ def file_references(repo: str, path: str, code: str) -> list[tuple]:
     return rows
 
 
-def _table(files: DataFrame, read, schema: str, repo: str, path: str, code: str) -> DataFrame:
+def _table(files: DataFrame, read: Callable, schema: str, repo: str, path: str, code: str, empty: bool = False) -> DataFrame:
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [x for r, p, c in pdf.itertuples(index=False, name=None) if c for x in read(r, p, c)]
+            rows = [x for r, p, c in pdf.itertuples(index=False, name=None) if c or empty for x in read(r, p, c)]
             yield pd.DataFrame(rows, columns=names)
 
     return spread(files.select(F.col(repo), F.col(path), F.col(code))).mapInPandas(run, schema)
@@ -189,6 +227,34 @@ def index_references(files: DataFrame, repo: str = "repo", path: str = "path", c
     return _table(files, file_references, REFERENCE_SCHEMA, repo, path, code)
 
 
+def skipped_files(files: DataFrame, repo: str = "repo", path: str = "path", code: str = "code") -> DataFrame:
+    """(repo, path, reason) of the files that give no rows: null code, or code that Python can't parse."""
+    return _table(files, lambda r, p, c: [(r, p, "unparsable" if c else "empty")] if not c or parse(c) is None else [], "repo string, path string, reason string", repo, path, code, True)
+
+
+def index_files(files: DataFrame, readers: dict[str, tuple[Callable, str]], repo: str = "repo", path: str = "path", code: str = "code") -> dict[str, DataFrame]:
+    """Several tables of the files from one parse of each: a table for each reader (its row function and schema).
+
+    The rows of all readers come out of one pass with their table's name, and are written once to the shared folder; each table is a
+    selection of them."""
+    columns = {k: [f"{k}_{c.strip().split(' ')[0]}" for c in schema.split(",")] for k, (_, schema) in readers.items()}
+    every = ["_table", *(c for cs in columns.values() for c in cs)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: dict[str, list] = {k: [] for k in readers}
+            for r, p, c in pdf.itertuples(index=False, name=None):
+                for k, (read, _) in readers.items() if c else ():
+                    out[k].extend(read(r, p, c))
+            for k, rows in out.items():
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns[k]).assign(_table=k, **{c: None for c in every if c not in columns[k] and c != "_table"})[every]
+
+    schema = ", ".join(["_table string", *(f"{k}_{c.strip()}" for k, (_, s) in readers.items() for c in s.split(","))])
+    rows = cut_lineage(spread(files.select(F.col(repo), F.col(path), F.col(code))).mapInPandas(run, schema))
+    return {k: rows.where(F.col("_table") == k).select(*[F.col(c).alias(c.removeprefix(f"{k}_")) for c in columns[k]]) for k in readers}
+
+
 def code_identifiers(code: str | None) -> list[str]:
     """Distinct identifiers of a snippet that parses, in source order; by their form if it does not."""
     tree = parse(code or "")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions.text import tokens
 from quarrykit.functions.vectors import softmax_positive
+from quarrykit.operators.skew import lookup
+from quarrykit.runtime import cut_lineage, spread
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -57,6 +59,40 @@ def bm25(docs: DataFrame, queries: DataFrame, task: str, doc: str, text: str, qu
     return docs.select(task, doc).join(queries.select(task).dropDuplicates(), task, "left_semi").join(got, [task, doc], "left").select(task, doc, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def component_terms(bodies: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dl, terms): each text's length in terms and its distinct terms with their counts, as hashes; a text without terms has an empty list.
+
+    Each text is cut into terms once, however many tasks it is a candidate of. `bodies` has each key once."""
+    split = spread(bodies.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_ts")))
+    counts = split.select(key, F.explode("_ts").alias("t")).groupBy(key, F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    terms = counts.groupBy(key).agg(F.sum("tf").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("terms"))
+    none = F.array().cast("array<struct<term:bigint,tf:int>>")
+    return bodies.select(key).join(terms, key, "left").select(key, F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("terms", none).alias("terms"))
+
+
+def bm25_shared(cands: DataFrame, bodies: DataFrame, queries: DataFrame, task: str, doc: str, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(task, doc, score) as of `bm25`, where the text of a candidate is that of `bodies` with its key.
+
+    Candidates carry counts of hashed terms, never texts. For idf the candidates' terms are counted by task, before the shuffle. The
+    query's weights then come to the candidates as one map a task - of the query's own terms - and scores are summed inside the row. Tasks and components
+    that very many rows name meet by broadcast."""
+    terms = cut_lineage(component_terms(bodies, key, text))
+    q = queries.select(task, F.explode(tokens(F.col(query))).alias("_t")).groupBy(task, F.xxhash64("_t").alias("term")).agg(F.count(F.lit(1)).alias("qn"))
+    docs = cut_lineage(lookup(cands.select(task, doc, key), terms, [key]).select(task, doc, "dl", "terms"))
+    sizes = docs.groupBy(task).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    df = docs.select(task, F.explode("terms.term").alias("term")).groupBy(task, "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(sizes, task).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).join(q, [task, "term"], "left")
+    # of a task's vocabulary only the query's terms are kept; the mean idf is over all of it
+    kept = raw.groupBy(task).agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("qn").isNotNull(), F.struct("term", "raw", "qn"))).alias("w"))
+    weight = F.map_from_entries(F.transform("w", lambda x: F.struct(x["term"], x["qn"] * F.when(x["raw"] < 0, EPSILON * F.col("mean")).otherwise(x["raw"]))))
+    asked = sizes.join(queries.select(task).dropDuplicates([task]), task, "left_semi").join(kept.select(task, weight.alias("weights")), task, "left")
+    met = lookup(docs, cut_lineage(asked), [task])
+    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    hits = F.filter("terms", lambda t: F.map_contains_key(F.col("weights"), t["term"]))
+    score = F.aggregate(hits, F.lit(0.0), lambda acc, t: acc + F.element_at(F.col("weights"), t["term"]) * t["tf"] * (k1 + 1) / (t["tf"] + norm))
+    return met.select(task, doc, F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 def top_k(scored: DataFrame, task: str, score: str | Column, k: int, *order: str) -> DataFrame:
     """The k best of each task with their rank from 1; a null or NaN score counts as 0, ties go by the ordinals given."""
     s = F.col(score) if isinstance(score, str) else score

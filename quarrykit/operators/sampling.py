@@ -50,20 +50,28 @@ def pick_one(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     return df.groupBy(group).agg(F.min_by(key, hash_order(key, seed=seed)).alias(key))
 
 
-def pack(df: DataFrame, tokens: str, key: str, budget: int) -> DataFrame:
-    """(key, pack): rows put together up to a token budget, in the order they come in a part; a row over the budget has a pack of its own."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def pack(df: DataFrame, tokens: str, key: str, budget: int, packs: int = 1000) -> DataFrame:
+    """(key, tokens, pack): rows put together up to a token budget; a row over the budget has a pack of its own.
+
+    Rows are dealt by the hash of their key into buckets of about `packs` packs each, and packed in the order of their hash and key there, so the
+    packs are the same however the rows lie in parts. A bucket is small whatever the corpus; repeated keys are packed each."""
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("bigint").alias("n"), F.xxhash64(F.col(key)).alias("h"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // (budget * packs)))
+    rows = rows.withColumn("b", F.pmod("h", F.lit(buckets))).repartition("b").sortWithinPartitions("b", "h", "k", "n")
 
-        part, no, used = TaskContext.get().partitionId(), 0, 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, no, used = None, 0, 0
         for pdf in batches:
-            packs = []
-            for n in pdf.n:
-                if used and used + n > budget:
+            out = []
+            for b, n in zip(pdf.b, pdf.n):
+                if b != bucket:
+                    bucket, no, used = b, 0, 0
+                elif used and used + n > budget:
                     no, used = no + 1, 0
                 used += n
-                packs.append(f"{part}-{no}")
-            yield pd.DataFrame({key: pdf[key], "tokens": pdf.n, "pack": packs})
+                out.append(f"{b}-{no}")
+            yield pd.DataFrame({"k": pdf.k, "tokens": pdf.n, "pack": out})
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n")).mapInPandas(run, f"{key} {kind}, tokens bigint, pack string")
+    return rows.mapInPandas(run, f"k {kind}, tokens bigint, pack string").withColumnRenamed("k", key)

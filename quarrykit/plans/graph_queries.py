@@ -194,10 +194,10 @@ def code_references(spark: SparkSession, sf: str) -> DataFrame:
 
 def call_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Resolved calls of every repository, through imports, classes and base classes."""
-    f = cut_lineage(_files(spark, sf))
-    comp = cut_lineage(CI.index_components(f).select("repo", "id", "component_type", "path"))
-    bases = CI.index_references(f).where("via = 'base'").select("repo", F.col("src_id").alias("cls_id"), F.concat("name", F.lit("@"), "module").alias("up_id"))
-    return CG.call_edges(CG.calls(f), comp, bases.join(comp.select("repo", F.col("id").alias("up_id")), ["repo", "up_id"], "left_semi"))
+    t = CI.index_files(_files(spark, sf), {"component": (CI.file_components, CI.COMPONENT_SCHEMA), "reference": (CI.file_references, CI.REFERENCE_SCHEMA), "call": (CG.file_calls, CG.CALL_SCHEMA)})
+    comp = t["component"].select("repo", "id", "component_type", "path")
+    bases = t["reference"].where("via = 'base'").select("repo", F.col("src_id").alias("cls_id"), F.concat("name", F.lit("@"), "module").alias("up_id"), "ord")
+    return CG.call_edges(t["call"], comp, bases.join(comp.select("repo", F.col("id").alias("up_id")), ["repo", "up_id"], "left_semi"))
 
 
 ONCE = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY comp_no DESC) AS rn FROM (SELECT DISTINCT * FROM component) WHERE repo IS NOT NULL AND id IS NOT NULL) WHERE rn = 1)"

@@ -43,9 +43,11 @@ def _task_docs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    docs, q = _task_docs(spark, sf)
-    docs = cut_lineage(spread(docs))  # small tables would be coalesced into one part, and tokens are many
-    return R.bm25(docs, q, "task_id", "cand_no", "text", "prompt").withColumn("score", F.round("score", 6))
+    """BM25 of each candidate; components are cut into terms once, whatever number of tasks they are candidates of."""
+    q = read_table(spark, sf, "generation").where("prompt is not null").select("task_id", "prompt").dropDuplicates(["task_id"])
+    cand = read_table(spark, sf, "retrieval_result").select("task_id", "cand_no", "cand_id").dropDuplicates(["task_id", "cand_no"]).join(q.select("task_id"), "task_id", "left_semi")
+    bodies = _component_once(spark, sf).withColumnRenamed("id", "cand_id")
+    return R.bm25_shared(cand, bodies, q, "task_id", "cand_no", "cand_id", "source_code", "prompt").withColumn("score", F.round("score", 6))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,6 +11,7 @@ from quarrykit.functions import diffs, execution, models
 from quarrykit.functions import responses as P
 from quarrykit.functions import text as T
 from quarrykit.functions import vectors as V
+from quarrykit.operators.hierarchy import merged
 from quarrykit.plans import tasks
 from quarrykit.sources import files, names, sinks
 from quarrykit.streaming import log
@@ -69,15 +70,33 @@ def test_imports_and_references():
 def test_call_graph(spark):
     df = spark.createDataFrame([("r", "d/m.py", CODE), ("r", "d/base.py", BASE), ("r", "bad.py", "def ("), ("r", "none.py", None)], "repo string, path string, code string")
     comp = CI.index_components(df).cache()
-    bases = CI.index_references(df).where("via = 'base'").select("repo", F.col("src_id").alias("cls_id"), F.concat("name", F.lit("@"), "module").alias("up_id"))
+    bases = CI.index_references(df).where("via = 'base'").select("repo", F.col("src_id").alias("cls_id"), F.concat("name", F.lit("@"), "module").alias("up_id"), "ord")
     got = {(r["caller"], r["chain"], r["callee"]) for r in CG.call_edges(CG.calls(df), comp, bases).collect()}
     assert {("Leaf.run@d/m.py", "helper", "helper@d/base.py"), ("Leaf.run@d/m.py", "self.stop", "Leaf.stop@d/m.py"), ("Leaf.run@d/m.py", "item.stop", "Leaf.stop@d/m.py"), ("Leaf.run@d/m.py", "super.run", "Base.run@d/base.py"),
             ("Leaf.stop@d/m.py", "inner", "stop.inner@d/m.py"), ("make@d/m.py", "Leaf", "Leaf@d/m.py")} <= got
 
 
+def test_tables_of_one_parse(spark):
+    """Each table of one pass equals the table of a pass of its own; files that give none are named."""
+    df = spark.createDataFrame([("r", "d/m.py", CODE), ("r", "d/base.py", BASE), ("r", "bad.py", "def ("), ("r", "none.py", None), ("r", "blank.py", "")], "repo string, path string, code string")
+    t = CI.index_files(df, {"component": (CI.file_components, CI.COMPONENT_SCHEMA), "reference": (CI.file_references, CI.REFERENCE_SCHEMA), "call": (CG.file_calls, CG.CALL_SCHEMA)})
+    for name, alone in (("component", CI.index_components(df)), ("reference", CI.index_references(df)), ("call", CG.calls(df))):
+        assert t[name].schema.simpleString() == alone.schema.simpleString() and sorted(map(str, t[name].collect())) == sorted(map(str, alone.collect()))
+    assert {(r["path"], r["reason"]) for r in CI.skipped_files(df).collect()} == {("bad.py", "unparsable"), ("none.py", "empty"), ("blank.py", "empty")}
+
+
+def test_inherited_calls_follow_python(spark):
+    """C(A, B) with A(P): run of P comes before that of B, and a hierarchy of 40 classes is followed to its top."""
+    code = "class P:\n    def run(self):\n        pass\nclass B:\n    def run(self):\n        pass\nclass A(P):\n    pass\nclass C(A, B):\n    def go(self):\n        self.run()\n"
+    tall = "class T0:\n    def up(self):\n        pass\n" + "".join(f"class T{i}(T{i - 1}):\n    pass\n" for i in range(1, 40)) + "class Top(T39):\n    def go(self):\n        self.up()\n"
+    df = spark.createDataFrame([("r", "c.py", code), ("r", "t.py", tall)], "repo string, path string, code string")
+    bases = CI.index_references(df).where("via = 'base'").select("repo", F.col("src_id").alias("cls_id"), F.concat("name", F.lit("@"), "module").alias("up_id"), "ord")
+    got = {(r["caller"], r["callee"]) for r in CG.call_edges(CG.calls(df), CI.index_components(df), bases).collect()}
+    assert got == {("C.go@c.py", "P.run@c.py"), ("Top.go@t.py", "T0.up@t.py")}
+
+
 def test_c3():
-    assert CG.c3({"D": ["B", "C"], "B": ["A"], "C": ["A"]}, "D") == ["D", "B", "C", "A"]
-    assert CG.c3({"A": ["B"], "B": ["A"]}, "A") == ["A", "B"]
+    assert merged("D", [["B", "A"], ["C", "A"]], ["B", "C"]) == ["D", "B", "C", "A"] and merged("E", [["A", "B"], ["B", "A"]], ["A", "B"]) is None
 
 
 def test_text(spark):

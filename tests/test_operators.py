@@ -126,10 +126,14 @@ def test_split_sizes(spark, total):
 def test_downsample_and_pack(spark):
     df = spark.createDataFrame([(i, 0 if i < 70 else 1 if i < 90 else None) for i in range(100)], "id int, label int")
     assert Counter(r["label"] for r in S.downsample(df, "label", "id").collect()) == {0: 20, 1: 20}
+    rows = spark.createDataFrame([(i, i % 7 * 10) for i in range(500)] + [(999, 500), (1000, None)], "id int, n int")
     packs = defaultdict(int)
-    for r in S.pack(spark.createDataFrame([(i, i % 7 * 10) for i in range(50)] + [(99, 500)], "id int, n int"), "n", "id", 100).collect():
-        packs[r["pack"]] += r["tokens"]
-    assert sum(v > 100 for v in packs.values()) == 1
+    got = sorted(map(tuple, S.pack(rows, "n", "id", 100, 20).collect()))
+    for _, tokens, name in got:
+        packs[name] += tokens
+    assert sum(v > 100 for v in packs.values()) == 1 and sum(packs.values()) == sum(r["n"] or 0 for r in rows.collect()) and len(got) == 502 and len(packs) < 220
+    # the packs are the same however rows lie in parts
+    assert got == sorted(map(tuple, S.pack(rows.repartition(7), "n", "id", 100, 20).collect())) and S.pack(rows.limit(0), "n", "id", 100).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
