@@ -48,11 +48,39 @@ def candidates(components: DataFrame, key: list[str], targets: DataFrame) -> Dat
     return keep_first(both, [*key, "dst_id"], "ord", "kind").join(targets, ["repo", "dst_id"])
 
 
-def noise(components: DataFrame) -> DataFrame:
-    """(repo, id, noise_id): classes and functions of the same file that the component neither is, calls nor lies in."""
+def namespace_probes(namespace: Column, completion_path: Column, kind: Column) -> list[Column]:
+    """The component ids that a dotted namespace may mean, in order of preference: a function by its name and the completion's path below the
+    project, a method by its class and the module its namespace names, as a file or a package, each also below src/; last the bare name
+    with the completion's path. Null where an id can't be formed."""
+    parts, path = F.split(namespace, r"\."), F.split(completion_path, "/")
+    name = F.element_at(parts, -1)
+    below = F.when(F.size(path) >= 3, F.array_join(F.slice(path, 3, F.greatest(F.size(path) - 2, F.lit(1))), "/")).otherwise(F.element_at(path, -1))
+    is_method = (kind == "method") & (F.size(parts) > 2)
+    method = F.array_join(F.slice(parts, -2, 2), ".")
+    folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), "/")
+    at = lambda who, where: F.concat(who, F.lit("@"), where)
+    module, package = F.concat(folder, F.lit(".py")), F.concat(folder, F.lit("/__init__.py"))
+    src = lambda where: F.concat(F.lit("src/"), where)
+    return [
+        F.when(is_method, at(method, module)).when(kind == "function", at(name, below)), F.when(is_method, at(method, src(module))).when(kind == "function", at(name, src(below))),
+        F.when(is_method, at(method, package)), F.when(is_method, at(method, src(package))), F.when(F.size(path) >= 3, at(name, below)),
+    ]
+
+
+def standalone(*lists: Column) -> Column:
+    """Whether a row names no dependency at all: every list is null or empty."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.size(x), F.lit(0)) <= 0 for x in lists])
+
+
+def noise(components: DataFrame, brought: DataFrame | None = None) -> DataFrame:
+    """(repo, id, noise_id): classes and functions that the component neither is, calls nor lies in, of its file and of what the file's
+    imports bring in. `brought`, if given, has repo, path, id, as of expand_imports."""
     path = F.substring_index("id", "@", -1)
     one = components.select("repo", "id", "component_type", path.alias("path")).dropDuplicates(["repo", "id"])
     mates = one.where(F.col("component_type").isin("class", "function")).select("repo", "path", F.col("id").alias("noise_id"))
+    if brought is not None:
+        met = brought.select("repo", "path", F.col("id").alias("noise_id")).join(one.where(F.col("component_type").isin("class", "function")).select("repo", F.col("id").alias("noise_id")), ["repo", "noise_id"], "left_semi")
+        mates = mates.unionByName(met.select("repo", "path", "noise_id")).dropDuplicates()
     near = one.join(mates, ["repo", "path"]).where("id <> noise_id").select("repo", "id", "noise_id")
     called = edges(components, "outgoing_calls", "repo", "id").select("repo", "id", F.col("dst_id").alias("noise_id")).dropDuplicates()
     left = near.join(called, ["repo", "id", "noise_id"], "left_anti")

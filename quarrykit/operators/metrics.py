@@ -110,3 +110,50 @@ def sentence_bleu(reference: Column, hypothesis: Column) -> Column:
         return pd.Series([bleu(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(reference, hypothesis)], dtype="float64")
 
     return run(reference, hypothesis)
+
+
+def mteval_tokens(text: Column) -> Column:
+    """Tokens as the public mteval-v13a normalisation cuts them, in lower case.
+
+    Fixed values: skipped marks go, lines that end in a hyphen are joined, four entities are decoded; marks stand alone, but for points and
+    commas between digits and hyphens not behind one."""
+    t = F.regexp_replace(F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), "\n", " ")
+    for entity, mark in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        t = F.replace(t, F.lit(entity), F.lit(mark))
+    t = F.concat(F.lit(" "), F.lower(t), F.lit(" "))
+    for pattern, to in ((r"([\{-~\[-` -&\(-\+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.filter(F.split(t, r"[ \t\r\f]+"), lambda x: x != "")
+
+
+def _gram_counts(df: DataFrame, key: list[str], tokens: str, order: int) -> DataFrame:
+    """(key, n, gram, c): how often each n-gram of up to `order` tokens stands in each row."""
+    grams = F.flatten(F.array(*[F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: i + (n - 1) <= F.size(tokens)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(F.col(tokens), i, n), "\u0001").alias("gram"))) for n in range(1, order + 1)]))
+    return df.select(*key, F.explode(grams).alias("g")).groupBy(*key, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("c"))
+
+
+def corpus_bleu(pairs: DataFrame, key: str, reference: str, hypothesis: str, order: int = 4) -> DataFrame:
+    """(n, hits, total, bleu): clipped n-gram hits of all rows for each order, and the corpus's BLEU with its brevity penalty; both columns are token
+    arrays. n-grams are counted by row before anything is summed; an order without hits makes the BLEU 0."""
+    h = _gram_counts(pairs, [key], hypothesis, order).withColumnRenamed("c", "h")
+    r = _gram_counts(pairs, [key], reference, order).withColumnRenamed("c", "r")
+    by = h.join(r, [key, "n", "gram"], "left").groupBy("n").agg(F.sum(F.least("h", F.coalesce("r", F.lit(0)))).alias("hits"), F.sum("h").alias("total"))
+    orders = pairs.sparkSession.range(1, order + 1).select(F.col("id").cast("int").alias("n"))
+    by = orders.join(by, "n", "left").select("n", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("total", F.lit(0)).alias("total"), F.lit(1).alias("k"))
+    size = pairs.agg(F.sum(F.greatest(F.size(reference), F.lit(0))).alias("rl"), F.sum(F.greatest(F.size(hypothesis), F.lit(0))).alias("hl")).withColumn("k", F.lit(1))
+    mean = by.groupBy("k").agg(F.min("hits").alias("least"), F.avg(F.log(F.col("hits") / F.col("total"))).alias("mean"))
+    brevity = F.when(F.col("hl") < F.col("rl"), F.exp(1 - F.col("rl") / F.col("hl"))).otherwise(1.0)
+    score = mean.join(size, "k").select("k", F.when(F.col("least") > 0, brevity * F.exp("mean")).otherwise(0.0).alias("bleu"))
+    return by.join(score, "k").select("n", "hits", "total", "bleu")
+
+
+def functional_accuracy(runs: DataFrame, task: str, passed: Column) -> DataFrame:
+    """(tasks, accuracy): the mean over tasks of the share of their runs that passed; a run without a result did not pass."""
+    per = runs.groupBy(task).agg(F.avg(F.coalesce(passed.cast("double"), F.lit(0.0))).alias("a"))
+    return per.agg(F.count(F.lit(1)).alias("tasks"), F.avg("a").alias("accuracy"))
+
+
+def polyglot_pass_at_k(runs: DataFrame, problem: str, status: str, exit_code: str, ks: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
+    """(k, pass_at_k, problems) of runs in any language: one passed if its status is OK and its exit code 0; each k counts the problems with that many runs."""
+    totals = task_totals(runs.withColumn("_ok", (F.col(status) == "OK") & (F.col(exit_code) == 0)), problem, F.col("_ok"))
+    return mean_pass_at_k(totals, list(ks), False)

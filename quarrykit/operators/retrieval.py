@@ -19,6 +19,9 @@ from quarrykit.runtime import cut_lineage, spread
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: The lines around the blocks of a structured prompt.
+PROMPT_HEADER = "You are a Python programmer working with a repository. Here is all the context you may find useful to complete the function:"
+PROMPT_FOOTER = "Based on the information above, please complete the function in the current file:"
 #: Rows of one query block; bounds what is broadcast to QUERY_BLOCK vectors.
 QUERY_BLOCK = 4096
 
@@ -184,3 +187,22 @@ def with_current_file(scoped: DataFrame, current: DataFrame, target: str, metada
     cur = current.withColumn(metadata, F.array(F.struct(F.split(F.col(target), "/").alias("fpath_tuple")))).withColumn("is_current", F.lit(1))
     base = scoped.withColumn(metadata, F.transform(metadata, lambda m: F.struct(m["fpath_tuple"].alias("fpath_tuple")))).withColumn("is_current", F.lit(0))
     return base.unionByName(cur)
+
+
+def structured_prompts(tasks: DataFrame, hits: DataFrame, header: str = PROMPT_HEADER, footer: str = PROMPT_FOOTER) -> DataFrame:
+    """(task_id, prompt): a block for each file in the order of its best hit, classes before variables before functions, each text followed by an empty
+    line; the target's own file comes last, with its import statements ahead, and only if it has hits; then the footer and the task.
+
+    `tasks`: task_id, own_path, prompt, imports; `hits`: task_id, cand_type, relative_path, source_code, rank. Candidates of other types are left out.
+    The lists hold one task's hits."""
+    kind = F.array_position(F.array(F.lit("class"), F.lit("variable"), F.lit("function")), F.col("cand_type"))
+    own = tasks.select("task_id", "own_path", "imports").dropDuplicates(["task_id"])
+    x = hits.join(own, "task_id").withColumn("k", kind).where("k > 0").withColumn("current", F.coalesce(F.col("relative_path") == F.col("own_path"), F.lit(False)))
+    texts = F.array_sort(F.collect_list(F.struct("k", "rank", F.coalesce("source_code", F.lit("")).alias("s"))))
+    per = x.groupBy("task_id", "current", F.coalesce("relative_path", F.lit("")).alias("relative_path")).agg(F.min("rank").alias("first"), F.first("imports").alias("imports"), texts.alias("xs"))
+    bodies = F.flatten(F.transform("xs", lambda e: F.array(e["s"], F.lit(""))))
+    said = F.when(F.col("current") & (F.size("imports") > 0), F.concat("imports", F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+    head = F.concat(F.when(F.col("current"), "#CURRENT FILE: ").otherwise("#FILE: "), F.col("relative_path"))
+    block = F.array_join(F.concat(F.array(head), said, bodies), "\n")
+    blocks = per.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("current", "first", "relative_path", block.alias("b")))), lambda e: e["b"]), "\n").alias("blocks"))
+    return tasks.select("task_id", "prompt").dropDuplicates(["task_id"]).join(blocks, "task_id", "left").select("task_id", F.concat_ws("\n", F.lit(header), "blocks", F.lit(footer), "prompt").alias("prompt"))

@@ -44,13 +44,14 @@ class Engine:
 
         References are resolved by equi-joins; a reference to an enclosing class or function is no call. The id lists are those of one
         component, bounded by its source."""
-        files = cut_lineage(files)
-        c = cut_lineage(D.keep_last(CI.index_components(files), ["repo", "id"], "ord"))
-        refs = CI.index_references(files)
+        t = CI.index_files(files, {"component": (CI.file_components, CI.COMPONENT_SCHEMA), "reference": (CI.file_references, CI.REFERENCE_SCHEMA), "import": (CI.file_imports, CI.IMPORT_SCHEMA)})
+        c = cut_lineage(D.keep_last(t["component"], ["repo", "id"], "ord"))
+        refs = t["reference"]
         named = refs.where("not is_star").select("repo", F.col("src_id"), F.concat("name", F.lit("@"), "module").alias("ref"), "ord")
         star = refs.where("is_star").select("repo", "path", "src_id", "module")
         used = refs.where("not is_star and module = path").select("repo", "src_id", "name")
         by_star = star.join(used, ["repo", "src_id"]).select("repo", "src_id", F.concat("name", F.lit("@"), "module").alias("ref"))
+        brought = cut_lineage(self.brought(t["import"], c))
         found = D.resolve(named.select("repo", "src_id", "ref").unionByName(by_star).dropDuplicates(), c)
         own = F.substring_index("src_id", "@", 1)
         other = F.substring_index("id", "@", 1)
@@ -58,11 +59,24 @@ class Engine:
         calls = self._lists(found.join(c.select("repo", "id", "component_type"), ["repo", "id"]), "outgoing_calls")
         x = c.join(calls, [c.repo == calls.r, c.id == calls.s], "left").drop("r", "s")
         x = cut_lineage(self._filled(x, "outgoing_calls"))
-        noise = D.noise(x).withColumnRenamed("noise_id", "n").select("repo", F.col("id").alias("src_id"), F.col("n").alias("id"))
+        noise = D.noise(x, brought).withColumnRenamed("noise_id", "n").select("repo", F.col("id").alias("src_id"), F.col("n").alias("id"))
         lists = self._lists(noise.join(c.select("repo", "id", "component_type"), ["repo", "id"]), "noise")
         x = self._filled(x.join(lists, [x.repo == lists.r, x.id == lists.s], "left").drop("r", "s"), "noise")
         return x.withColumn("out_count", D.out_degree("outgoing_calls")).withColumnRenamed("path", "relative_path")
 
+    @staticmethod
+    def brought(imports: DataFrame, components: DataFrame) -> DataFrame:
+        """(repo, path, id, alias): the components that each file's imports bring in. A module may be a file or a package; a name that a package's own
+        file does not define is looked for in its submodules."""
+        i = imports.select("repo", "path", "module", "name", "alias", (F.col("kind") == "star").alias("is_star"), (F.col("kind") == "import").alias("is_module"))
+        package = i.withColumn("module", F.regexp_replace("module", r"\.py$", "/__init__.py"))
+        direct = cut_lineage(D.expand_imports(i.unionByName(package), components))
+        # a name of a package that neither way gave
+        wanted = package.where("not is_star and not is_module").select("repo", "path", F.regexp_replace("module", "/__init__\\.py$", "").alias("package"), "name", F.coalesce("alias", "name").alias("alias")).dropDuplicates()
+        missing = wanted.join(direct.select("repo", "path", "alias").dropDuplicates(), ["repo", "path", "alias"], "left_anti")
+        again = D.reexported(missing.select("repo", "package", "name").dropDuplicates(), components)
+        return direct.unionByName(missing.join(again, ["repo", "package", "name"]).select("repo", "path", "id", "alias")).dropDuplicates()
+
     @staticmethod
     def _lists(edges: DataFrame, name: str) -> DataFrame:
         kinds = {"classes": "class", "functions": "function", "variables": "variable"}
@@ -108,19 +122,16 @@ class Engine:
             return p.join(candidates, ["task_id", "cand_id"])
         return R.hybrid(top, p, ["task_id", "cand_id"], "task_id").withColumnRenamed("place", "rank").join(candidates, ["task_id", "cand_id"])
 
-    def prompts(self, tasks: DataFrame, hits: DataFrame, header: str = "Use the following context.", footer: str = "Complete the last function.") -> DataFrame:
-        """(task_id, prompt): a block for each file in the order of its best hit, the target's own file last, then the task.
-
-        Tasks without hits keep their prompt alone. The lists hold a task's hits."""
-        kind = F.array_position(F.array(F.lit("class"), F.lit("variable"), F.lit("function")), F.col("cand_type"))
-        own = tasks.select("task_id", F.substring_index("target_id", "@", -1).alias("own_path"), F.col("prompt").alias("task_prompt")).dropDuplicates(["task_id"])
-        x = hits.join(own, "task_id").withColumn("current", (F.col("relative_path") == F.col("own_path")).cast("int"))
-        per = x.groupBy("task_id", "current", "relative_path").agg(F.min("rank").alias("first"), F.array_sort(F.collect_list(F.struct(kind.alias("k"), "rank", F.coalesce("source_code", F.lit("")).alias("s")))).alias("xs"))
-        head = F.when(F.col("current") == 1, F.lit("#CURRENT FILE: ")).otherwise(F.lit("#FILE: "))
-        block = F.concat(head, "relative_path", F.lit("\n"), F.array_join(F.transform("xs", lambda e: e["s"]), "\n"))
-        blocks = per.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("current", "first", block.alias("b")))), lambda e: e["b"]), "\n\n").alias("blocks"))
-        text = F.when(F.col("blocks").isNull(), F.col("task_prompt")).otherwise(F.concat_ws("\n\n", F.lit(header), "blocks", F.lit(footer), "task_prompt"))
-        return own.join(blocks, "task_id", "left").select("task_id", text.alias("prompt"))
+    def prompts(self, tasks: DataFrame, hits: DataFrame, imports: DataFrame | None = None, header: str = R.PROMPT_HEADER, footer: str = R.PROMPT_FOOTER) -> DataFrame:
+        """(task_id, prompt) of each task, with a block for each file of its hits. `imports`, if given, has repo, path, statement, ord: the import
+        statements of the target's file, which stand at the head of its block."""
+        own = tasks.select("task_id", "repo", F.substring_index("target_id", "@", -1).alias("own_path"), "prompt").dropDuplicates(["task_id"])
+        if imports is not None:
+            said = imports.groupBy("repo", F.col("path").alias("own_path")).agg(F.array_sort(F.collect_list(F.struct("ord", "statement"))).alias("_i"))
+            own = own.join(said.select("repo", "own_path", F.array_distinct(F.transform("_i", lambda e: e["statement"])).alias("imports")), ["repo", "own_path"], "left")
+        else:
+            own = own.withColumn("imports", F.lit(None).cast("array<string>"))
+        return R.structured_prompts(own, hits, header, footer)
 
     def generate(self, prompts: DataFrame, load: Callable) -> DataFrame:
         """(task_id, prompt, response) of an injected model."""

@@ -224,6 +224,37 @@ def order_parts_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return x.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
 
 
+def mteval_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Docstrings in the tokens of the public BLEU normalisation, as digests."""
+    t = M.mteval_tokens(F.coalesce("docstring", F.lit("")))
+    return read_table(spark, sf, "repoexec_task").select("id", F.size(t).cast("bigint").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+def corpus_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    """Corpus BLEU of the held-out docstrings against their solutions, and its parts."""
+    t = read_table(spark, sf, "repoexec_task").where("docstring is not null and solution is not null")
+    t = t.select("id", M.mteval_tokens(F.col("solution")).alias("r"), M.mteval_tokens(F.col("docstring")).alias("h"))
+    return M.corpus_bleu(t, "id", "r", "h").withColumn("bleu", F.round("bleu", 6))
+
+
+def functional_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean share of passed runs over tasks."""
+    return M.functional_accuracy(_runs(spark, sf), "task_id", F.col("passed")).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def polyglot_pass_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """pass@1, @10 and @100 by status and exit code, taking a run's result for both."""
+    r = _runs(spark, sf).withColumn("status", F.when(F.col("passed"), "OK").otherwise("Exception")).withColumn("code", F.when(F.col("passed"), 0).otherwise(1))
+    return M.polyglot_pass_at_k(r, "task_id", "status", "code", (1, 2, 100)).withColumn("pass_at_k", F.round("pass_at_k", 6))
+
+
+def named_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Generations whose task is a number within the held-out tasks; others are passed over."""
+    t = read_table(spark, sf, "repoexec_task").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    g = read_table(spark, sf, "generation").select("task_id").dropDuplicates()
+    return g.where(F.col("task_id").try_cast("int").between(t["a"], t["b"]))
+
+
 def fenced_code(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaned function of every answer, as a digest."""
     a = _answers(spark, sf).where("answer is not null")
@@ -240,6 +271,18 @@ IDS = "list_distinct(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*'))"
 MODEL = "g AS (SELECT DISTINCT CAST(task_id AS INTEGER) AS task_id, coalesce(model, 'unknown') AS model FROM generation)"
 LN = "CASE WHEN {0} = '' THEN [] WHEN ends_with(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), chr(10)) THEN string_split(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), chr(10))[:-2] ELSE string_split(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), chr(10)) END"
 RATIO = "CASE WHEN {1} > 0 THEN ({0}) / ({1}) ELSE 0.0 END"
+_GRAMS = "list_transform(range(1, len({0}) - n + 2), lambda i: array_to_string(list_slice({0}, i, i + n - 1), chr(1)))"
+#: Clipped n-gram counts of t (id, r, h), for the BLEU queries.
+BLEU = f"""o AS (SELECT unnest([1, 2, 3, 4]) AS n),
+hg AS (SELECT id, n, g, count(*) AS c FROM (SELECT id, n, unnest({_GRAMS.format('h')}) AS g FROM t, o) GROUP BY ALL), rg AS (SELECT id, n, g, count(*) AS c FROM (SELECT id, n, unnest({_GRAMS.format('r')}) AS g FROM t, o) GROUP BY ALL),
+k AS (SELECT hg.id, hg.n, sum(least(hg.c, coalesce(rg.c, 0))) AS hits, sum(hg.c) AS total FROM hg LEFT JOIN rg USING (id, n, g) GROUP BY ALL)"""
+_mt = "replace(replace(@text, '<skipped>', ''), '-' || chr(10), '')"
+for _e, _c in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+    _mt = f"replace({_mt}, '{_e}', '{_c}')" if _e != "&quot;" else f"replace(replace({_mt}, chr(10), ' '), '{_e}', '{_c}')"
+_mt = f"(' ' || lower({_mt}) || ' ')"
+for _p, _r in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+    _mt = f"regexp_replace({_mt}, '{_p}', '{_r}', 'g')"
+MTEVAL = f"list_filter(string_split_regex({_mt}, '[ \\t\\r\\f]+'), lambda x: x <> '')"
 _stop = "least(" + ", ".join("CASE WHEN instr(answer, '{0}') > 0 THEN instr(answer, '{0}') ELSE 2147483647 END".format(s) for s in STOPS) + ")"
 
 
@@ -257,6 +300,17 @@ def _lat(c: str, f: str) -> str:
 
 
 SQL = {
+    "tolerance_accuracy": "SELECT coalesce(abs(bm25_score - round(bm25_score, 2)) < 0.004, false) AS correct, count(*) AS n FROM (SELECT DISTINCT task_id, cand_no, bm25_score FROM retrieval_result) GROUP BY 1",
+    "mteval_tokens": f"SELECT id, len({MTEVAL.replace('@text', "coalesce(docstring, '')")}) AS n, md5(array_to_string({MTEVAL.replace('@text', "coalesce(docstring, '')")}, ' ')) AS tokens_md5 FROM repoexec_task",
+    "corpus_bleu": f"""WITH t AS (SELECT id, {MTEVAL.replace('@text', 'solution')} AS r, {MTEVAL.replace('@text', 'docstring')} AS h FROM repoexec_task WHERE docstring IS NOT NULL AND solution IS NOT NULL), {BLEU},
+b AS (SELECT o.n, coalesce(sum(k.hits), 0) AS hits, coalesce(sum(k.total), 0) AS total FROM o LEFT JOIN k USING (n) GROUP BY 1), z AS (SELECT sum(len(r)) AS rl, sum(len(h)) AS hl FROM t)
+SELECT CAST(n AS INTEGER) AS n, CAST(hits AS BIGINT) AS hits, CAST(total AS BIGINT) AS total, (SELECT round(CASE WHEN min(b.hits) > 0 THEN exp(avg(ln(greatest(b.hits, 1) / b.total))) * any_value(CASE WHEN hl < rl THEN exp(1 - rl / hl) ELSE 1.0 END) ELSE 0.0 END, 6) FROM b, z) AS bleu FROM b""",
+    "bleu4": f"""WITH t AS (SELECT id, {TOK.format('lower(solution)')} AS r, {TOK.format('lower(docstring)')} AS h FROM repoexec_task WHERE docstring IS NOT NULL AND solution IS NOT NULL), {BLEU},
+f AS (SELECT t.id, len(r) AS rl, len(h) AS hl, coalesce(k.hits, 0) + (o.n > 1)::INT AS a, coalesce(k.total, 0) + (o.n > 1)::INT AS b FROM t CROSS JOIN o LEFT JOIN k ON k.id = t.id AND k.n = o.n)
+SELECT id, round(100 * CASE WHEN min(least(a, b)) <= 0 THEN 0.0 ELSE exp(sum(ln(greatest(a, 1) / greatest(b, 1))) / 4 + least(0.0, 1 - (any_value(rl) + 1) / (any_value(hl) + 1))) END, 6) AS bleu FROM f GROUP BY id""",
+    "polyglot_pass_at_k": f"WITH {TOTALS} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg({PK.format(k)}) FILTER (n >= {k}), 6) AS pass_at_k FROM t" for k in (1, 2, 100)),
+    "functional_accuracy": f"WITH {TOTALS} SELECT count(*) AS tasks, round(avg(c / n), 6) AS accuracy FROM t",
+    "named_tasks": "SELECT DISTINCT task_id FROM generation WHERE try_cast(task_id AS INTEGER) BETWEEN (SELECT min(id) FROM repoexec_task) AND (SELECT max(id) FROM repoexec_task)",
     "task_totals": f"WITH {TOTALS} SELECT * FROM t",
     "pass_at_k": f"WITH {TOTALS} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg({PK.format(k)}) FILTER (n >= {k}), 6) AS pass_at_k FROM t" for k in KS),
     "pass_at_k_gated": f"WITH {TOTALS} " + " UNION ALL ".join(f"SELECT {k} AS k, CASE WHEN bool_and(n >= {k}) THEN round(avg({PK.format(k)}), 6) END AS pass_at_k FROM t" for k in KS),

@@ -125,7 +125,7 @@ def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     j = lambda name, desc, sig: F.concat(F.lit('{"name": '), json_string(name), F.lit(', "description": '), json_string(desc), F.lit(', "signature": '), json_string(sig), F.lit("}"))
     c_text = F.when(F.col("ctype") == "variable", F.coalesce("ccode", F.lit(""))).otherwise(j(F.col("dst_id"), F.col("cdoc"), F.col("csig")))
     text = F.concat(j(F.col("id"), F.col("docstring"), F.col("signature")), F.lit("</s>"), c_text)
-    return x.select("repo", "id", "dst_id", "label", "ord", F.length(text).cast("bigint").alias("chars"))
+    return x.select("repo", "id", "dst_id", "label", "ord", F.md5(text).alias("text_md5"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,6 +153,35 @@ def pack_to_budget(spark: SparkSession, sf: str) -> DataFrame:
     return S.pack(p, "tokens", "pair_no", 2048)
 
 
+def standalone_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Components that name some dependency; standalone ones drop out."""
+    return _once(spark, sf).where(~D.standalone(*[F.col(f"outgoing_calls.{f}") for f, _ in D.KINDS])).select("comp_no")
+
+
+def ordered_callees(spark: SparkSession, sf: str) -> DataFrame:
+    """Callees of each caller in the order they are listed in, as a digest."""
+    e = _edges(spark, sf, "outgoing_calls").groupBy("repo", "id").agg(F.array_sort(F.collect_list(F.struct("ord", "dst_id"))).alias("e"))
+    return e.select("repo", "id", F.size("e").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("e", lambda x: x["dst_id"]), ",")).alias("callees_md5"))
+
+
+def namespace_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions and methods looked up by dotted namespace and completion path, with the fallbacks of packages, src/ and the bare name. Those of paths
+    without a suffix are packages here, and a third of all paths come without their src/."""
+    c = _once(spark, sf).where(F.col("component_type").isin("function", "method"))
+    path = F.substring_index("id", "@", -1)
+    plain = F.when(F.pmod("comp_no", F.lit(3)) == 0, F.regexp_replace(path, "^src/", "")).otherwise(path)
+    module = F.replace(F.regexp_replace(F.regexp_replace(plain, r"\.py$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
+    t = c.select("repo", "comp_no", F.col("component_type").alias("kind"), F.concat(module, F.lit("."), id_name(F.col("id"))).alias("namespace"), F.concat(F.lit("area/"), "repo", F.lit("/"), plain).alias("completion_path"))
+    return D.lookup(t, ["repo", "comp_no"], D.namespace_probes(F.col("namespace"), F.col("completion_path"), F.col("kind")), _once(spark, sf)).select("comp_no", "probe", "id")
+
+
+def noise_of_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise of each component, of its own file and of what its file's imports bring in, taking the targets of the file's calls as that."""
+    c = _once(spark, sf)
+    brought = D.edges(c, "outgoing_calls", "repo", "id").select("repo", F.substring_index("id", "@", -1).alias("path"), F.col("dst_id").alias("id")).dropDuplicates()
+    return D.noise(c, brought)
+
+
 def out_count_check(spark: SparkSession, sf: str) -> DataFrame:
     """Components whose stored out_count is not the length of their calls."""
     return _once(spark, sf).where(F.col("out_count") != D.out_degree("outgoing_calls")).select("comp_no", "out_count", D.out_degree("outgoing_calls").alias("counted"))
@@ -218,7 +247,28 @@ SPLIT = "SELECT pair_no, CASE WHEN place < floor(total * {a}) THEN '{x}' WHEN pl
 JSON = "'{{\"name\": ' || to_json(coalesce({0}, ''))::VARCHAR || ', \"description\": ' || to_json(coalesce({1}, ''))::VARCHAR || ', \"signature\": ' || to_json(coalesce({2}, ''))::VARCHAR || '}}'"
 LABEL = "replace(replace(replace(replace({0}, '.', '__'), '^^^', ''), '*', ''), '-', '')"
 
+def _noise_sql(extra: str) -> str:
+    mates = f"SELECT repo, {PATH.format('id')} AS path, id FROM c WHERE component_type IN ('class', 'function')" + extra
+    return f"""WITH {E_SQL}, m AS ({mates}) SELECT a.repo, a.id, m.id AS noise_id FROM c a JOIN m ON a.repo = m.repo AND {PATH.format('a.id')} = m.path AND a.id <> m.id
+WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.repo = a.repo AND e.id = a.id AND e.dst_id = m.id) AND NOT starts_with({NAME.format('a.id')}, {NAME.format('m.id')} || '.')"""
+
+
+_plain = f"CASE WHEN comp_no % 3 = 0 THEN regexp_replace({PATH.format('id')}, '^src/', '') ELSE {PATH.format('id')} END"
+_module = "replace(regexp_replace(regexp_replace(plain, '\\.py$', ''), '/__init__$', ''), '/', '.')"
+_below = "CASE WHEN len(cp) >= 3 THEN array_to_string(cp[3:], '/') ELSE cp[-1] END"
+NAMESPACE = f"""{ONCE}, a AS (SELECT repo, comp_no, component_type AS kind, {NAME.format('id')} AS nm, {_plain} AS plain FROM c WHERE component_type IN ('function', 'method')),
+b AS (SELECT repo, comp_no, kind, string_split({_module} || '.' || nm, '.') AS ns, string_split('area/' || repo || '/' || plain, '/') AS cp FROM a),
+d AS (SELECT *, kind = 'method' AND len(ns) > 2 AS ism, array_to_string(ns[-2:], '.') AS meth, array_to_string(ns[:-3], '/') AS folder, ns[-1] AS nm, {_below} AS below FROM b),
+t AS (SELECT comp_no, repo, 0 AS probe, CASE WHEN ism THEN meth || '@' || folder || '.py' WHEN kind = 'function' THEN nm || '@' || below END AS id FROM d
+UNION ALL SELECT comp_no, repo, 1, CASE WHEN ism THEN meth || '@src/' || folder || '.py' WHEN kind = 'function' THEN nm || '@src/' || below END FROM d
+UNION ALL SELECT comp_no, repo, 2, CASE WHEN ism THEN meth || '@' || folder || '/__init__.py' END FROM d UNION ALL SELECT comp_no, repo, 3, CASE WHEN ism THEN meth || '@src/' || folder || '/__init__.py' END FROM d
+UNION ALL SELECT comp_no, repo, 4, CASE WHEN len(cp) >= 3 THEN nm || '@' || below END FROM d)"""
+
 SQL = {
+    "standalone_filter": f"WITH {ONCE} SELECT comp_no FROM c WHERE {DEGREE} > 0",
+    "ordered_callees": f"WITH {E_SQL} SELECT repo, id, count(*) AS n, md5(string_agg(dst_id, ',' ORDER BY ord, dst_id)) AS callees_md5 FROM e GROUP BY 1, 2",
+    "namespace_lookup": f"WITH {NAMESPACE} SELECT comp_no, CAST(probe AS INTEGER) AS probe, id FROM (SELECT t.*, row_number() OVER (PARTITION BY comp_no ORDER BY probe) AS r FROM t SEMI JOIN c ON c.repo = t.repo AND c.id = t.id) WHERE r = 1",
+    "noise_of_imports": _noise_sql(f" UNION SELECT e.repo, {PATH.format('e.id')}, e.dst_id FROM e SEMI JOIN (SELECT repo, id FROM c WHERE component_type IN ('class', 'function')) k ON k.repo = e.repo AND k.id = e.dst_id"),
     "call_edges": f"WITH {E_SQL} SELECT repo, id, kind, dst_id, ord FROM e",
     "edges_by_file": f"WITH {E_SQL} SELECT repo, {PATH.format('id')} AS path, count(*) AS calls, count(DISTINCT dst_id) AS targets, md5(array_to_string(list_sort(list(DISTINCT dst_id)), ',')) AS targets_md5 FROM e GROUP BY 1, 2",
     "edge_outdegree_groups": f"WITH {ONCE} SELECT {DEGREE} AS degree, count(*) AS components, min(id) AS first_id FROM c WHERE component_type IN ('class', 'function') GROUP BY 1",
@@ -249,7 +299,7 @@ WHEN {PATH.format('id')} = {PATH.format('dst_id')} THEN 'in_file' ELSE 'in_objec
 r AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth FROM g UNION SELECT r.root, g.dst, r.depth + 1 FROM r JOIN g ON r.node = g.src WHERE r.depth < 8),
 m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT root, count(*) AS nodes, max(depth) AS depth FROM m GROUP BY root""",
     "training_pairs": f"""WITH {N_SQL}, u AS (SELECT *, 1 AS label FROM e UNION ALL SELECT *, 0 FROM nz)
-SELECT u.repo, u.id, u.dst_id, CAST(u.label AS INTEGER) AS label, u.ord, length({JSON.format('t.id', 't.docstring', 't.signature')} || '</s>' || CASE WHEN k.component_type = 'variable' THEN coalesce(k.source_code, '') ELSE {JSON.format('k.id', 'k.docstring', 'k.signature')} END) AS chars
+SELECT u.repo, u.id, u.dst_id, CAST(u.label AS INTEGER) AS label, u.ord, md5({JSON.format('t.id', 't.docstring', 't.signature')} || '</s>' || CASE WHEN k.component_type = 'variable' THEN coalesce(k.source_code, '') ELSE {JSON.format('k.id', 'k.docstring', 'k.signature')} END) AS text_md5
 FROM u JOIN c t ON t.repo = u.repo AND t.id = u.id AND t.component_type IN ('class', 'function') JOIN c k ON k.repo = u.repo AND k.id = u.dst_id""",
     "train_split": SPLIT.format(a=0.8, b=0.9, x="train", y="valid", z="test", s=0),
     "half_split": SPLIT.format(a=0.8, b=0.9, x="train", y="test", z="valid", s=7),

@@ -169,18 +169,23 @@ def window_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_structured(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts of file blocks (class, variable, function in each) before the task's own text, as digests. Lists hold the ten hits of a task."""
+    """Structured prompts as digests: blocks of the files of a task's ten hits, the last file by name standing for the target's own, with the
+    import lines of its first source file ahead. Lists hold the hits of a task."""
     hits = R.top_k(_scored(spark, sf), "task_id", "score", 10, "cand_no").select("task_id", "cand_no", "rank")
-    r = read_table(spark, sf, "retrieval_result").select("task_id", "cand_no", "cand_id", "cand_type", "file_path").dropDuplicates(["task_id", "cand_no"])
+    r = read_table(spark, sf, "retrieval_result").select("task_id", "cand_no", "cand_id", "cand_type", F.col("file_path").alias("relative_path")).dropDuplicates(["task_id", "cand_no"])
     comp = _component_once(spark, sf).select(F.col("id").alias("cand_id"), "source_code")
-    x = hits.join(r, ["task_id", "cand_no"]).join(comp, "cand_id")
-    kind = F.array_position(F.array(F.lit("class"), F.lit("variable"), F.lit("function")), F.col("cand_type"))
-    per_file = x.groupBy("task_id", "file_path").agg(F.min("rank").alias("r"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(kind.alias("k"), "rank", F.coalesce("source_code", F.lit("")).alias("s")))), lambda e: e["s"]), "\n").alias("body"))
-    block = F.concat(F.lit("#FILE: "), "file_path", F.lit("\n"), "body")
-    per_task = per_file.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", block.alias("b")))), lambda e: e["b"]), "\n\n").alias("blocks"))
+    x = cut_lineage(hits.join(r, ["task_id", "cand_no"]).join(comp, "cand_id"))
+    files = read_table(spark, sf, "source_file").where("code is not null and relative_path is not null").groupBy(F.col("relative_path").alias("own_path")).agg(F.min_by("code", "file_no").alias("code"))
+    own = x.groupBy("task_id").agg(F.max("relative_path").alias("own_path")).join(files, "own_path", "left")
     q = read_table(spark, sf, "generation").where("prompt is not null").select("task_id", "prompt").dropDuplicates(["task_id"])
-    text = F.concat(F.lit("Use the following context.\n"), "blocks", F.lit("\n\n"), "prompt")
-    return per_task.join(q, "task_id").select("task_id", F.md5(text).alias("prompt_md5"), F.length(text).cast("bigint").alias("chars"))
+    tasks = q.join(own.select("task_id", "own_path", F.regexp_extract_all("code", F.lit(r"(^|\n)((?:import|from) [^\r\n]*)"), F.lit(2)).alias("imports")), "task_id")
+    return R.structured_prompts(tasks, x).select("task_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("chars"))
+
+
+def first_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five candidates of each task by number: a head of each group."""
+    r = read_table(spark, sf, "retrieval_result").where("task_id is not null").select("task_id", "cand_no").dropDuplicates()
+    return R.top_k(r.withColumn("s", -F.col("cand_no").cast("double")), "task_id", "s", 5, "cand_no").select("task_id", "cand_no", "rank")
 
 
 def prompt_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,11 +255,16 @@ SELECT repo, md5(context) AS context_md5, count(*) AS places, min((file_no, line
     "scope_whole_repo": f"WITH {SCOPE} SELECT window_no, repo, len(l) AS places FROM (SELECT window_no, repo, list_filter(metadata, lambda m: array_to_string(m.fpath_tuple, '/') <> target) AS l FROM w JOIN p USING (repo)) WHERE len(l) > 0",
     "window_bm25_topk": f"WITH {WBM} SELECT * FROM top",
     "prompt_structured": f"""WITH {BM25}, top AS ({TOP.format('task_id', 'cand_no', 'scored', 10)}),
-x AS (SELECT t.task_id, t.rank, r.file_path, coalesce(list_position(['class', 'variable', 'function'], r.cand_type), 0) AS k, coalesce(comp.source_code, '') AS s FROM top t JOIN (SELECT DISTINCT task_id, cand_no, cand_id, cand_type, file_path FROM retrieval_result) r USING (task_id, cand_no) JOIN comp ON comp.id = r.cand_id),
-pf AS (SELECT task_id, file_path, min(rank) AS r, string_agg(s, chr(10) ORDER BY k, rank) AS body FROM x GROUP BY ALL),
-pt AS (SELECT task_id, string_agg('#FILE: ' || file_path || chr(10) || body, chr(10) || chr(10) ORDER BY r) AS blocks FROM pf GROUP BY task_id),
-t AS (SELECT task_id, 'Use the following context.' || chr(10) || blocks || chr(10) || chr(10) || prompt AS text FROM pt JOIN q USING (task_id))
+x AS (SELECT t.task_id, t.rank, r.file_path, list_position(['class', 'variable', 'function'], r.cand_type) AS k, coalesce(comp.source_code, '') AS s FROM top t JOIN (SELECT DISTINCT task_id, cand_no, cand_id, cand_type, file_path FROM retrieval_result) r USING (task_id, cand_no) JOIN comp ON comp.id = r.cand_id),
+sf AS (SELECT relative_path, regexp_extract_all(arg_min(code, file_no), '(^|\n)((?:import|from) [^\r\n]*)', 2) AS imports FROM source_file WHERE code IS NOT NULL AND relative_path IS NOT NULL GROUP BY 1),
+own AS (SELECT o.task_id, o.own_path, sf.imports FROM (SELECT task_id, max(file_path) AS own_path FROM x GROUP BY 1) o LEFT JOIN sf ON sf.relative_path = o.own_path),
+pf AS (SELECT x.task_id, coalesce(x.file_path = o.own_path, false) AS cur, coalesce(x.file_path, '') AS f, min(rank) AS r, any_value(o.imports) AS imports, string_agg(s || chr(10), chr(10) ORDER BY k, rank) AS body FROM x JOIN own o USING (task_id) WHERE k > 0 GROUP BY ALL),
+pt AS (SELECT task_id, string_agg(CASE WHEN cur THEN '#CURRENT FILE: ' ELSE '#FILE: ' END || f || chr(10) || CASE WHEN cur AND len(imports) > 0 THEN array_to_string(imports, chr(10)) || chr(10) || chr(10) ELSE '' END || body, chr(10) ORDER BY cur, r, f) AS blocks FROM pf GROUP BY task_id),
+t AS (SELECT q.task_id, '{R.PROMPT_HEADER}' || chr(10) || CASE WHEN blocks IS NULL THEN '' ELSE blocks || chr(10) END || '{R.PROMPT_FOOTER}' || chr(10) || prompt AS text FROM q JOIN own USING (task_id) LEFT JOIN pt USING (task_id))
 SELECT task_id, md5(text) AS prompt_md5, length(text) AS chars FROM t""",
+    "first_candidates": "SELECT task_id, cand_no, CAST(rank AS INTEGER) AS rank FROM (SELECT task_id, cand_no, row_number() OVER (PARTITION BY task_id ORDER BY cand_no) AS rank FROM (SELECT DISTINCT task_id, cand_no FROM retrieval_result WHERE task_id IS NOT NULL)) WHERE rank <= 5",
+    "prediction_windows": f"""WITH g AS (SELECT DISTINCT task_id, {LINES.format('prompt')} AS ls, {LINES.format("coalesce(response[1], '')")} AS nl FROM generation WHERE prompt IS NOT NULL AND len(response) > 0)
+SELECT task_id, md5(array_to_string(list_filter(list_concat(list_slice(ls, greatest(0, len(ls) - 10) + 1, len(ls)), list_slice(list_filter(nl, lambda x: trim(x, ' ') <> ''), 1, 10)), lambda x: trim(x, ' ') <> ''), chr(10))) AS window_md5 FROM g""",
     "prompt_chunks": f"""WITH {WBM}, x AS (SELECT top.repo, string_agg('##CHUNK ' || rank || chr(10) || context, chr(10) ORDER BY rank) AS body FROM top JOIN cw USING (window_no) GROUP BY top.repo)
 SELECT repo, md5(body || chr(10) || '#CURRENT FILE: ' || target || chr(10) || query) AS prompt_md5 FROM x JOIN a USING (repo)""",
 }

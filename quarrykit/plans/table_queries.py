@@ -30,9 +30,9 @@ def component_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def component_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Length of each component's JSON text."""
+    """Each component's JSON text, as a digest."""
     c = _component(spark, sf)
-    return c.select("comp_no", F.length(B.target_json(F.col("id"), F.col("docstring"), F.col("signature"), F.col("source_code"))).cast("bigint").alias("chars"))
+    return c.select("comp_no", F.md5(B.target_json(F.col("id"), F.col("docstring"), F.col("signature"), F.col("source_code"))).alias("json_md5"))
 
 
 def failed_run_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +154,7 @@ CHK = "coalesce(check_code, '')"
 
 SQL = {
     "component_defaults": "SELECT DISTINCT comp_no, md5(coalesce(docstring, 'DOCSTRING')) AS doc_md5, coalesce(has_docstring, false) AS has_docstring, coalesce(signature, '') AS signature, coalesce(start_line, 0) AS start_line, coalesce(end_line, 0) AS end_line, '' AS component_type FROM component",
-    "component_json": f"SELECT comp_no, length('{{\"name\": ' || {JS.format('id')} || ', \"description\": ' || {JS.format("coalesce(docstring, 'DOCSTRING')")} || ', \"code\": ' || {JS.format('source_code')} || ', \"signature\": ' || {JS.format('signature')} || '}}') AS chars FROM (SELECT DISTINCT comp_no, id, docstring, source_code, signature FROM component)",
+    "component_json": f"SELECT comp_no, md5('{{\"name\": ' || {JS.format('id')} || ', \"description\": ' || {JS.format("coalesce(docstring, 'DOCSTRING')")} || ', \"code\": ' || {JS.format('source_code')} || ', \"signature\": ' || {JS.format('signature')} || '}}') AS json_md5 FROM (SELECT DISTINCT comp_no, id, docstring, source_code, signature FROM component)",
     "failed_run_filter": "SELECT DISTINCT task_id, prediction_id, CASE WHEN message IS NULL OR starts_with(message, 'failed:') THEN '' ELSE message END AS message FROM execution_result",
     "numbered_runs": "SELECT task_id, prediction_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY prediction_id) - 1 AS INTEGER) AS completion_id FROM (SELECT DISTINCT task_id, prediction_id FROM execution_result)",
     "namespace_prefix": "SELECT DISTINCT comp_no, id FROM component WHERE starts_with(id, 'get_') OR starts_with(id, 'Local')",

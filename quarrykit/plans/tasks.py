@@ -88,6 +88,35 @@ def select(patterns: list[str]) -> list[Task]:
     return [REGISTRY[n] for n in sorted(REGISTRY) if any(fnmatch.fnmatch(n, p) for p in patterns)]
 
 
+#: What programs of a language begin with.
+PREAMBLES = {
+    "python": "import math\nimport re\nimport sys\nimport copy\nimport datetime\nimport itertools\nimport collections\nimport heapq\nimport functools\nimport hashlib\nimport string\nfrom typing import *\nfrom collections import *\n",
+    "cpp": "#include <algorithm>\n#include <cmath>\n#include <map>\n#include <string>\n#include <vector>\nusing namespace std;\n",
+    "java": "import java.util.*;\nimport java.lang.*;\n", "rust": "use std::{slice::Iter, cmp::{max, self}, mem::replace, collections::{HashSet, HashMap}};\n", "js": "", "go": "package main\n",
+}
+
+
+def assembled(language: str, prompt: Column, completion: Column, test: Column) -> Column:
+    """The program that runs a completion's test: preamble, prompt and completion without what would clash, test.
+
+    C++ completions lose their main, Java ones their main class; of Go all imports of prompt and test are named once, behind the package."""
+    if language not in PREAMBLES:
+        raise ValueError(f"language must be one of {sorted(PREAMBLES)}")
+    prompt, completion, test = (F.coalesce(x, F.lit("")) for x in (prompt, completion, test))
+    head = F.lit(PREAMBLES[language])
+    if language == "cpp":
+        completion = F.regexp_replace(completion, r"(?s)\bint\s+main\s*\([^)]*\)\s*\{.*\z", "")
+    elif language == "java":
+        completion = F.regexp_replace(completion, r"(?s)\bpublic\s+class\s+Main\s*\{.*\z", "")
+    elif language == "go":
+        both = F.concat(prompt, F.lit("\n"), test)
+        named = F.array_sort(F.array_distinct(F.regexp_extract_all(F.array_join(F.regexp_extract_all(both, F.lit(r"(?m)^import\s*(\([^)]*\)|\"[^\"]+\")"), F.lit(1)), "\n"), F.lit(r"\"[^\"]+\""), F.lit(0))))
+        bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?m)^import\s*(\([^)]*\)|\"[^\"]+\")\n?", ""), r"(?m)^package\s+\w+\n?", "")
+        head = F.concat(head, F.when(F.size(named) > 0, F.concat(F.lit("import (\n\t"), F.array_join(named, "\n\t"), F.lit("\n)\n"))).otherwise(""))
+        prompt, test = bare(prompt), bare(test)
+    return F.concat(head, prompt, completion, F.lit("\n"), test)
+
+
 def _pass(ks: list[int]) -> Callable[[DataFrame], DataFrame]:
     return lambda r: M.mean_pass_at_k(M.task_totals(r, "task_id", F.col("passed")), ks, True)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +134,16 @@ def splits(spark: SparkSession, paths: dict[str, str], schema: str = "text strin
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def dataset(spark: SparkSession, path: str, split: str | None = None, language: str | None = None) -> DataFrame:
+    """A saved dataset in parquet or JSON lines: a folder with one folder or file for each split, below one for each language where there are several.
+
+    Stands for datasets of a public hub or of one configuration a language, once they are saved; nothing is fetched."""
+    base = "/".join([path.rstrip("/"), *([language] if language else [])])
+    base = f"{base}/{split}*" if split else base
+    reader = spark.read.option("recursiveFileLookup", "true")
+    try:
+        return reader.option("pathGlobFilter", "*.parquet").parquet(base)
+    except AnalysisException:  # no parquet there
+        return reader.option("pathGlobFilter", "*.json*").json(base)

@@ -25,6 +25,16 @@ def graph(components: DataFrame, path: str) -> None:
     text.write.mode("overwrite").partitionBy("repo").text(path)
 
 
+def knowledge(imports: DataFrame, brought: DataFrame, path: str) -> None:
+    """A file of external knowledge for each repository: JSON lines of relative_path, import_statements and external_entity, the lists of one file each.
+
+    `imports`: repo, path, statement, ord; `brought`: repo, path, id."""
+    said = imports.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "statement"))).alias("i")).select("repo", "path", F.transform("i", lambda e: e["statement"]).alias("import_statements"))
+    ids = brought.groupBy("repo", "path").agg(F.array_sort(F.collect_set("id")).alias("external_entity"))
+    rows = said.join(ids, ["repo", "path"], "full").withColumnRenamed("path", "relative_path")
+    json_lines(rows.select("repo", "relative_path", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("import_statements", "external_entity")]), path, by=["repo"])
+
+
 def windows(df: DataFrame, path: str, window: int, slices: int) -> None:
     """Windows by repository in parquet, with the sizes as columns."""
     df.withColumn("window_size", F.lit(window)).withColumn("slice_size", F.lit(slices)).write.mode("overwrite").partitionBy("repo").parquet(path)

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarrykit.operators import retrieval as R
 from quarrykit.operators import tables as T
 from quarrykit.plans.engine import Engine
 
@@ -35,11 +36,28 @@ def test_retrieve_and_prompt(spark, graph, method):
     ranks = [r["rank"] for r in hits.orderBy("rank").collect()]
     assert ranks == list(range(1, len(ranks) + 1)) and ranks
     text = {r["task_id"]: r["prompt"] for r in e.prompts(tasks, hits).collect()}
-    assert text["2"] == "LIMIT =" and text["1"].endswith("def run(path): read_rows path") and "#FILE: " in text["1"]
+    assert text["2"] == f"{R.PROMPT_HEADER}\n{R.PROMPT_FOOTER}\nLIMIT =" and text["1"].endswith(f"{R.PROMPT_FOOTER}\ndef run(path): read_rows path") and "#FILE: " in text["1"]
     with pytest.raises(ValueError):
         e.retrieve(tasks, cands, "none")
 
 
+def test_prompt_layout(spark):
+    """Files by their best hit, types in order, the target's own file last with its imports; other types and files without hits leave no trace."""
+    tasks = spark.createDataFrame([("1", "m.py", "def t():", ["import os", "from a import b"]), ("2", "z.py", "def u():", ["import sys"]), ("3", None, "def v():", None)], "task_id string, own_path string, prompt string, imports array<string>")
+    hits = [("1", "function", "a.py", "def f(): 1", 1), ("1", "class", "m.py", "class M: 1", 2), ("1", "variable", "b.py", "V = 1", 3), ("1", "class", "a.py", "class A: 1", 4), ("1", "other", "c.py", "no", 5), ("1", "class", "d.py", None, 6), ("2", "class", "a.py", "class A: 1", 1)]
+    got = {r["task_id"]: r["prompt"] for r in R.structured_prompts(tasks, spark.createDataFrame(hits, "task_id string, cand_type string, relative_path string, source_code string, rank int")).collect()}
+    lines = ["#FILE: a.py", "class A: 1", "", "def f(): 1", "", "#FILE: b.py", "V = 1", "", "#FILE: d.py", "", "", "#CURRENT FILE: m.py", "import os", "from a import b", "", "class M: 1", ""]
+    assert got["1"] == "\n".join([R.PROMPT_HEADER, *lines, R.PROMPT_FOOTER, "def t():"])
+    assert got["2"] == "\n".join([R.PROMPT_HEADER, "#FILE: a.py", "class A: 1", "", R.PROMPT_FOOTER, "def u():"]) and got["3"] == "\n".join([R.PROMPT_HEADER, R.PROMPT_FOOTER, "def v():"])
+
+
+def test_index_follows_packages(spark):
+    """Names of a package's submodules, packages as modules, and imports that are not used as noise."""
+    files = [("r", "pkg/__init__.py", "TOP = 1\n"), ("r", "pkg/deep.py", "def hid():\n    return 1\n\n\ndef spare():\n    return 2\n"), ("r", "use.py", "import pkg\nfrom pkg import hid, spare\n\n\ndef go():\n    return 3\n")]
+    g = {r["id"]: r for r in Engine(spark).index(spark.createDataFrame(files, "repo string, path string, code string")).collect()}
+    assert g["go@use.py"]["noise"]["functions"] == ["hid@pkg/deep.py", "spare@pkg/deep.py"] and g["hid@pkg/deep.py"]["noise"]["functions"] == ["spare@pkg/deep.py"]
+
+
 def test_training_pairs_and_metrics(spark, graph):
     e = Engine(spark)
     pairs = e.training_pairs(graph).where("id = 'run@main.py'").collect()

@@ -1,5 +1,6 @@
 import json
 import os
+import sys
 
 import numpy as np
 import pytest
@@ -205,3 +206,41 @@ def test_resume_and_stream(spark, tmp_path):
     q = log.append_log(log.follow(spark, str(tmp_path / "in"), schema), path, schema, ["id"], lambda d: d, str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.json(path).collect()) == [1, 2, 3]
+
+
+def test_assembled_programs(spark):
+    df = spark.createDataFrame([("p(){\n", "  return 1;\n}\nint main() { return 2; }", "int main() { assert(p()); }")], "p string, c string, t string")
+    out = df.select(tasks.assembled("cpp", F.col("p"), F.col("c"), F.col("t")).alias("x")).first()["x"]
+    assert out.count("main") == 1 and out.startswith("#include") and out.endswith("int main() { assert(p()); }")
+    go = spark.createDataFrame([('import (\n    "math"\n)\nfunc F() int {\n', "    return 1\n}", 'package main\nimport "testing"\nimport "math"\nfunc T() {}')], "p string, c string, t string").select(tasks.assembled("go", F.col("p"), F.col("c"), F.col("t")).alias("x")).first()["x"]
+    assert go.count('"math"') == 1 and go.count("package main") == 1 and go.index('"testing"') < go.index("func F") and "import" not in go[go.index("func F") :]
+    with pytest.raises(ValueError):
+        tasks.assembled("cobol", F.lit(""), F.lit(""), F.lit(""))
+
+
+def test_suites_never_touch_the_repository(tmp_path):
+    (tmp_path / "m.py").write_text("def f():\n    return 1\n")
+    (tmp_path / "t_ok.py").write_text("import m\nassert m.f() == 2\n")
+    (tmp_path / "t_slow.py").write_text("import time\ntime.sleep(60)\n")
+    run = lambda patches, tests, t=20.0: execution.run_suite(str(tmp_path), patches, tests, t, 2048, (sys.executable,))
+    assert run([("m.py", 1, 2, "    return 2\n")], ["t_ok.py"]) == "Pass" and run([], ["t_ok.py"]) == "Error" and (tmp_path / "m.py").read_text() == "def f():\n    return 1\n"
+    assert run([], ["t_slow.py"], 1.0) == "TimeOut" and run([("../x.py", 0, 0, "")], []) == "Error" and run([("m.py", 5, 99, "")], []) == "Error"
+
+
+def test_answers_and_guards(spark, monkeypatch):
+    assert execution.answer_of("x = 6 * 7", "x") == "42" and execution.answer_of("print('a', 1)") == "a 1" and execution.answer_of("1 / 0", "x") is None
+    ok, _, out = execution.run_program(execution.guarded("import os\ntry:\n    os.remove('program.py')\nexcept TypeError:\n    print('held')"))
+    assert ok and out.strip() == "held"
+    df = spark.createDataFrame([("/nowhere", [], ["t"])], "f string, p array<struct<file:string,start:int,stop:int,text:string>>, t array<string>")
+    monkeypatch.delenv(execution.ALLOW, raising=False)
+    assert execution.suites(df, "f", "p", "t").first()["status"] is None
+
+
+def test_saved_datasets(spark, tmp_path):
+    for lang in ("py", "go"):
+        for split in ("train", "test"):
+            spark.createDataFrame([(lang, split)], "lang string, split string").write.parquet(str(tmp_path / "p" / lang / split))
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "test.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert [tuple(r) for r in files.dataset(spark, str(tmp_path / "p"), "test", "go").collect()] == [("go", "test")]
+    assert files.dataset(spark, str(tmp_path / "p"), None, "py").count() == 2 and files.dataset(spark, str(tmp_path / "j"), "test").count() == 2
