@@ -137,15 +137,16 @@ def reachable(edge_table: DataFrame, roots: DataFrame, max_depth: int = 1000) ->
 
     Rounds end when one meets no new node; `max_depth` is a safety limit, and paths that are longer raise."""
     step = cut_lineage(edge_table.select("src", "dst").dropDuplicates())
-    seen = roots.select(F.col("node").alias("root"), "node").dropDuplicates().withColumn("depth", F.lit(0))
-    front = seen
+    front = cut_lineage(roots.select(F.col("node").alias("root"), "node").dropDuplicates().withColumn("depth", F.lit(0)))
+    # what was met stays as it was written, a layer for each round
+    layers = [front]
     for depth in range(1, max_depth + 2):
+        seen = reduce(DataFrame.unionByName, layers)
         nxt = front.join(step, front.node == step.src).select("root", F.col("dst").alias("node")).dropDuplicates()
-        nxt = cut_lineage(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if nxt.isEmpty():
+        front = cut_lineage(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(nxt))
-        front = nxt
+        layers.append(front)
     raise RuntimeError(f"nodes lie behind more than {max_depth} steps")
 
 

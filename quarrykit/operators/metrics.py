@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.operators.ordering import medians
+
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """Unbiased pass@k of c right ones among n: 1 - prod_{i=n-c+1..n} (1 - k/i); 1 where fewer than k are wrong, 0 where none is right."""
@@ -49,10 +51,13 @@ def recall_at_k(scored: DataFrame, group: str, order: str, value: str, ks: list[
 
 
 def latency(df: DataFrame, seconds: Column, *by: str) -> DataFrame:
-    """count, mean, min, max and exact median, in seconds and milliseconds."""
-    v = df.select(*by, seconds.alias("s")).where("s is not null")
-    g = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_s"), F.min("s").alias("min_s"), F.max("s").alias("max_s"), F.percentile("s", F.lit(0.5)).alias("median_s"))
-    return g.select("*", *[(F.col(f"{x}_s") * 1000).alias(f"{x}_ms") for x in ("mean", "min", "max", "median")])
+    """count, mean, min, max and exact median, in seconds and milliseconds; without groups always one row."""
+    keys = list(by) or ["_all"]
+    v = (df if by else df.withColumn("_all", F.lit(1))).select(*keys, seconds.alias("s")).where("s is not null")
+    g = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("mean_s"), F.min("s").alias("min_s"), F.max("s").alias("max_s"))
+    m = medians(v, keys, "s").withColumnRenamed("median", "median_s")
+    g = (g if by else g.withColumn("_all", F.lit(1))).join(m, keys, "left")
+    return g.select(*by, "n", *[f"{x}_s" for x in ("mean", "min", "max", "median")], *[(F.col(f"{x}_s") * 1000).alias(f"{x}_ms") for x in ("mean", "min", "max", "median")])
 
 
 def classification_report(df: DataFrame, label: Column, predicted: Column) -> DataFrame:

@@ -171,15 +171,15 @@ def hybrid(bm25_hits: DataFrame, classified: DataFrame, key: list[str], task: st
     return both.select(*key, F.coalesce("class_score", "bm25_score").alias("score"), F.when(F.col("class_score").isNotNull(), "classifier").otherwise("bm25").alias("source"), F.row_number().over(w).alias("place"))
 
 
-def in_scope(windows: DataFrame, metadata: str, target: Column, imports: Column | None) -> DataFrame:
-    """Windows with a place outside the target file, and inside the imported files unless `imports` is None; the other places are pruned."""
-
-    def keep(m):
-        p = F.array_join(m["fpath_tuple"], "/")
-        cond = p != target
-        return cond if imports is None else cond & F.array_contains(imports, p)
-
-    return windows.withColumn(metadata, F.filter(F.col(metadata), keep)).where(F.size(metadata) > 0)
+def in_scope(windows: DataFrame, key: str, metadata: str, targets: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """Windows (key, repo, ..) with a place outside the target file of their repository, and inside its imported files unless `imports` is None; the other places
+    are pruned. `targets`: repo, target; `imports`: repo, path, each once. Places meet files by join, whatever number of files a repository has."""
+    places = windows.select(key, "repo", F.posexplode(metadata).alias("_i", "_m")).withColumn("path", F.array_join("_m.fpath_tuple", "/"))
+    kept = lookup(places, targets.select("repo", "target"), ["repo"]).where(F.col("path") != F.col("target"))
+    if imports is not None:
+        kept = lookup(cut_lineage(kept), imports.select("repo", "path"), ["repo", "path"], "left_semi")
+    lists = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda e: e["_m"]).alias("_kept"))
+    return windows.join(lists, key).withColumn(metadata, F.col("_kept")).drop("_kept")
 
 
 def with_current_file(scoped: DataFrame, current: DataFrame, target: str, metadata: str) -> DataFrame:

@@ -14,35 +14,40 @@ def hash_order(*keys: str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def random_split(df: DataFrame, key: str, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("valid", 0.1), ("test", 0.1)), seed: int = 0) -> DataFrame:
-    """Each row's split, sizes floor(total * cumulative share) exactly.
-
-    The boundaries are hash values, found by counting rows under the 12-bit heads of the hash and ranking only inside the heads
-    that hold a boundary, so no global sort runs in one task."""
+def _placed(df: DataFrame, key: str, seed: int, cuts: Column, facts: DataFrame | None = None) -> DataFrame:
+    """The rows with _place, their place from 0 in hash order, exact where it matters: rows are counted under the 12-bit heads of the hash, and ranked
+    only inside the heads that hold one of the places `cuts` (of _total, and of the one row of `facts`); elsewhere a head's rows share its first place."""
     h = df.withColumn("_h", hash_order(key, seed=seed)).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     heads = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # 4096 rows at most, whatever the table
     heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    if facts is not None:
+        heads = heads.withColumn("_one", F.lit(1)).join(F.broadcast(facts.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    heads = heads.withColumn("_cut", F.exists(cuts, lambda c: (c > F.col("_before")) & (c < F.col("_before") + F.col("_n"))))
     x = h.join(F.broadcast(heads), "_b")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
-    x = x.withColumn("_place", place)
-    name, cum = F.lit(shares[-1][0]), sum(s for _, s in shares[:-1])
-    for split, share in reversed(shares[:-1]):
-        name = F.when(F.col("_place") < F.floor(F.col("_total") * F.lit(round(cum, 10))), split).otherwise(name)
-        cum -= share
-    return x.withColumn("split", name).drop("_h", "_b", "_n", "_before", "_total", "_place")
+    ranked = x.where("_cut").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1)
+    return ranked.unionByName(x.where("not _cut").withColumn("_place", F.col("_before"))).drop("_h", "_b", "_n", "_before", "_cut")
+
+
+def random_split(df: DataFrame, key: str, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("valid", 0.1), ("test", 0.1)), seed: int = 0) -> DataFrame:
+    """Each row's split, sizes floor(total * cumulative share) exactly; boundaries are places in hash order."""
+    ends, cum = [], 0.0
+    for _, share in shares[:-1]:
+        cum += share
+        ends.append(F.floor(F.col("_total") * F.lit(round(cum, 10))))
+    x = _placed(df, key, seed, F.array(*ends))
+    name = F.lit(shares[-1][0])
+    for (split, _), end in reversed(list(zip(shares[:-1], ends))):
+        name = F.when(F.col("_place") < end, split).otherwise(name)
+    return x.withColumn("split", name).drop("_total", "_place")
 
 
 def downsample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Class 0 cut to the size of class 1 if it is larger; labels other than 0 and 1 drop out."""
     x = df.where(F.col(label).isin(0, 1))
-    sizes = x.agg(F.sum((F.col(label) == 0).cast("bigint")).alias("n0"), F.sum((F.col(label) == 1).cast("bigint")).alias("n1"))
-    zero = x.where(F.col(label) == 0)
-    h = zero.withColumn("_h", hash_order(key, seed=seed)).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
-    heads = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = h.join(F.broadcast(heads), "_b").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    kept = ranked.join(F.broadcast(sizes)).where((F.col("n0") <= F.col("n1")) | (F.col("_place") <= F.col("n1"))).drop("_h", "_b", "_n", "_before", "_place", "n0", "n1")
-    return kept.unionByName(x.where(F.col(label) == 1))
+    sizes = x.agg(F.sum((F.col(label) == 1).cast("bigint")).alias("_ones"))
+    zero = _placed(x.where(F.col(label) == 0), key, seed, F.array("_ones"), sizes)
+    return zero.where(F.col("_place") < F.col("_ones")).drop("_place", "_total", "_ones").unionByName(x.where(F.col(label) == 1))
 
 
 def pick_one(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions import responses as P
 from quarrykit.functions import text as T
 from quarrykit.operators import metrics as M
+from quarrykit.operators.ordering import medians, numbered
 from quarrykit.runtime import read_table
 
 KS = [1, 3, 5]
@@ -165,10 +166,10 @@ def missing_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def positional_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out tasks and generations by position in key order."""
+    """Generations and held-out tasks zipped by their places, each in the order of its own number."""
     g = read_table(spark, sf, "generation").select(F.col("task_id").cast("int").alias("task_id")).dropDuplicates()
-    n = g.withColumn("place", F.row_number().over(Window.partitionBy(F.pmod("task_id", F.lit(10))).orderBy("task_id")) * 10 + F.pmod("task_id", F.lit(10)))
-    return n.join(read_table(spark, sf, "repoexec_task").select(F.col("id").alias("place"), "entry_point"), "place")
+    t = read_table(spark, sf, "repoexec_task").select("id", "entry_point").dropDuplicates(["id"])
+    return numbered(g, "task_id").join(numbered(t, "id"), "place").select(F.col("place").cast("int").alias("place"), "task_id", "id", "entry_point")
 
 
 def stop_token_truncate(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,7 +216,8 @@ def json_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def event_tallies(spark: SparkSession, sf: str) -> DataFrame:
     """Events of each type and user with exact median value."""
     e = read_table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    g = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+    return g.join(medians(e, ["event_type"], "value"), "event_type", "left").select("event_type", "n", "users", F.round("median", 6).alias("median"))
 
 
 def order_parts_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,10 +333,9 @@ SELECT repo, target_id, round(len(list_intersect(ref, coalesce(pred, []))) / len
     "exact_match": f"WITH {R}, {A}, u AS (SELECT DISTINCT CAST(task_id AS INTEGER) AS task_id, answer AS generation FROM a WHERE answer IS NOT NULL) SELECT round(avg(CASE WHEN u.task_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS exact_match, count(*) AS n FROM r LEFT JOIN u USING (task_id, generation) WHERE r.generation IS NOT NULL",
     "run_tallies": f"WITH {R} SELECT CASE WHEN message IS NULL THEN 'none' WHEN starts_with(message, 'failed:') THEN 'failed' ELSE message END AS kind, count(*) AS runs, count(*) FILTER (passed) AS passed FROM r GROUP BY 1",
     "average_candidates": "WITH r AS (SELECT task_id, count(*) AS n, count(*) FILTER (cand_type = 'class') AS k FROM (SELECT DISTINCT task_id, cand_no, cand_type FROM retrieval_result) GROUP BY 1), g AS (SELECT DISTINCT task_id FROM generation) SELECT round(avg(coalesce(n, 0)), 6) AS candidates, round(avg(coalesce(k, 0)), 6) AS classes, count(*) AS tasks FROM g LEFT JOIN r USING (task_id)",
-    "bleu4": None,
     "resume_antijoin": f"WITH {R}, {A} SELECT CAST(a.task_id AS INTEGER) AS task_id, CAST(answer_no AS INTEGER) AS answer_no FROM a ANTI JOIN (SELECT * FROM r WHERE passed IS NOT NULL) d ON CAST(a.task_id AS INTEGER) = d.task_id AND a.answer_no = d.prediction_id",
     "missing_numbers": f"WITH {R}, f AS (SELECT task_id, unnest(range(0, max(prediction_id) + 1)) AS prediction_id FROM r GROUP BY task_id) SELECT f.task_id, CAST(f.prediction_id AS INTEGER) AS prediction_id FROM f ANTI JOIN r USING (task_id, prediction_id)",
-    "positional_join": "WITH g AS (SELECT DISTINCT CAST(task_id AS INTEGER) AS task_id FROM generation), n AS (SELECT task_id, row_number() OVER (PARTITION BY task_id % 10 ORDER BY task_id) * 10 + task_id % 10 AS place FROM g) SELECT n.place, n.task_id, t.entry_point FROM n JOIN repoexec_task t ON t.id = n.place",
+    "positional_join": "WITH g AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS place FROM (SELECT DISTINCT CAST(task_id AS INTEGER) AS task_id FROM generation)), t AS (SELECT id, entry_point, row_number() OVER (ORDER BY id) - 1 AS place FROM repoexec_task) SELECT place, task_id, id, entry_point FROM g JOIN t USING (place)",
     "stop_token_truncate": f"WITH {A} SELECT task_id, answer_no, md5(CASE WHEN {_stop} = 2147483647 THEN answer ELSE answer[1 : {_stop} - 1] END) AS cut_md5 FROM a WHERE answer IS NOT NULL",
     "whitespace_squeeze": f"SELECT id, md5(array_to_string({TOK.format('solution')}, ' ')) AS squeezed_md5, len({TOK.format('solution')}) AS tokens FROM repoexec_task",
     "answer_kinds": f"WITH {A} SELECT CASE WHEN answer IS NULL THEN 'null' WHEN answer = '    pass' || chr(10) THEN 'pass only' WHEN trim(answer, ' ') = '' THEN 'blank' WHEN contains(answer, '```') THEN 'fenced' ELSE 'plain' END AS kind, count(*) AS n FROM a GROUP BY 1",

@@ -59,11 +59,11 @@ def noise_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def categorize_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Called components of each repository by type; methods and inner functions drop out."""
+    """Called components of each repository by type, with the sum of their ids' digests; methods and inner functions drop out."""
     c = cut_lineage(_once(spark, sf))
     t = c.where(F.col("component_type").isin("class", "function", "variable")).select("repo", F.col("id").alias("dst_id"), "component_type")
     e = D.edges(c, "outgoing_calls", "repo", "id").select("repo", "dst_id").dropDuplicates().join(t, ["repo", "dst_id"])
-    return e.groupBy("repo", "component_type").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("dst_id")), ",")).alias("ids_md5"))
+    return e.groupBy("repo", "component_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5("dst_id"), 1, 8), 16, 10).cast("bigint")).alias("ids_sum"))
 
 
 def target_lookup_fallback(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,7 +278,7 @@ u AS (SELECT * FROM e UNION ALL SELECT * FROM nz), f AS (SELECT *, row_number()
 SELECT f.repo, f.id, f.dst_id, c.component_type AS dst_type, f.ord FROM f JOIN c ON c.repo = f.repo AND c.id = f.dst_id WHERE f.r = 1""",
     "noise_antijoin": f"""WITH {E_SQL} SELECT a.repo, a.id, b.id AS noise_id FROM c a JOIN c b ON a.repo = b.repo AND {PATH.format('a.id')} = {PATH.format('b.id')} AND a.id <> b.id
 WHERE b.component_type IN ('class', 'function') AND NOT EXISTS (SELECT 1 FROM e WHERE e.repo = a.repo AND e.id = a.id AND e.dst_id = b.id) AND NOT starts_with({NAME.format('a.id')}, {NAME.format('b.id')} || '.')""",
-    "categorize_components": f"WITH {E_SQL} SELECT d.repo, c.component_type, count(*) AS n, md5(array_to_string(list_sort(list(d.dst_id)), ',')) AS ids_md5 FROM (SELECT DISTINCT repo, dst_id FROM e) d JOIN c ON c.repo = d.repo AND c.id = d.dst_id WHERE c.component_type IN ('class', 'function', 'variable') GROUP BY 1, 2",
+    "categorize_components": f"WITH {E_SQL} SELECT d.repo, c.component_type, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(d.dst_id), 1, 8) AS BIGINT)) AS BIGINT) AS ids_sum FROM (SELECT DISTINCT repo, dst_id FROM e) d JOIN c ON c.repo = d.repo AND c.id = d.dst_id WHERE c.component_type IN ('class', 'function', 'variable') GROUP BY 1, 2",
     "target_lookup_fallback": f"""WITH {ONCE}, p AS (SELECT DISTINCT pair_no, repo, target_id, {NAME.format('target_id')} AS name, {CLEAN} AS clean FROM training_pair WHERE repo IS NOT NULL AND target_id IS NOT NULL),
 t AS (SELECT pair_no, repo, 0 AS probe, target_id AS id FROM p UNION ALL SELECT pair_no, repo, 1, name || '@' || clean FROM p UNION ALL SELECT pair_no, repo, 2, name || '@src/' || clean FROM p UNION ALL SELECT pair_no, repo, 3, name || '@' || regexp_replace(clean, '^src/', '') FROM p)
 SELECT pair_no, CAST(probe AS INTEGER) AS probe, id FROM (SELECT t.*, row_number() OVER (PARTITION BY pair_no ORDER BY probe) AS r FROM t SEMI JOIN c ON c.repo = t.repo AND c.id = t.id) WHERE r = 1""",

@@ -138,10 +138,10 @@ def prediction_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scope(spark: SparkSession, sf: str, whole: bool) -> DataFrame:
     w = read_table(spark, sf, "code_window").where("context is not null").dropDuplicates(["window_no"]).withColumn("repo", F.col("metadata")[0]["repo"])
-    paths = read_table(spark, sf, "source_file").where("repo is not null and relative_path is not null").groupBy("repo").agg(
-        F.min("relative_path").alias("target"), F.collect_set(F.when(F.col("relative_path").startswith("src/"), F.col("relative_path"))).alias("imports"))
-    x = w.join(paths, "repo")
-    return R.in_scope(x, "metadata", F.col("target"), None if whole else F.col("imports"))
+    files = read_table(spark, sf, "source_file").where("repo is not null and relative_path is not null").select("repo", F.col("relative_path").alias("path"))
+    targets = files.groupBy("repo").agg(F.min("path").alias("target"))
+    imports = files.where(F.col("path").startswith("src/")).dropDuplicates(["repo", "path"])
+    return R.in_scope(w, "window_no", "metadata", targets, None if whole else imports)
 
 
 def scope_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,7 +163,7 @@ def window_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best windows of each repository for the first 20 lines of its first file, out of that file's scope."""
     a = cut_lineage(_anchor(spark, sf))
     w = read_table(spark, sf, "code_window").where("context is not null").dropDuplicates(["window_no"]).withColumn("repo", F.col("metadata")[0]["repo"])
-    w = R.in_scope(w.join(a.select("repo", "target"), "repo"), "metadata", F.col("target"), None).select("repo", "window_no", "context")
+    w = R.in_scope(w, "window_no", "metadata", a.select("repo", "target"), None).select("repo", "window_no", "context")
     s = R.bm25(cut_lineage(spread(w)), a, "repo", "window_no", "context", "query").withColumn("score", F.round("score", 6))
     return R.top_k(s, "repo", "score", 10, "window_no").select("repo", "window_no", "score", "rank")
 
