@@ -159,10 +159,10 @@ def resume_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missing_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Run numbers that a task lacks below its greatest."""
-    r = _runs(spark, sf).select("task_id", "prediction_id")
-    full = r.groupBy("task_id").agg(F.max("prediction_id").alias("m")).select("task_id", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("prediction_id"))
-    return full.join(r, ["task_id", "prediction_id"], "left_anti")
+    """Line numbers that an order lacks below its greatest."""
+    r = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates()
+    full = r.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m")).select("l_orderkey", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("l_linenumber"))
+    return full.join(r, ["l_orderkey", "l_linenumber"], "left_anti")
 
 
 def positional_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,10 +251,10 @@ def polyglot_pass_at_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def named_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    """Generations whose task is a number within the held-out tasks; others are passed over."""
-    t = read_table(spark, sf, "repoexec_task").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
-    g = read_table(spark, sf, "generation").select("task_id").dropDuplicates()
-    return g.where(F.col("task_id").try_cast("int").between(t["a"], t["b"]))
+    """Runs of a known generation whose number is that of one of its answers; the others are passed over."""
+    g = read_table(spark, sf, "generation").dropDuplicates(["task_id"]).select(F.col("task_id").try_cast("int").alias("task_id"), F.greatest(F.coalesce(F.size("response"), F.lit(0)), F.lit(0)).alias("n"))
+    r = _runs(spark, sf).where("task_id is not null").select("task_id", "prediction_id").join(g, "task_id")
+    return r.where((F.col("prediction_id") >= 0) & (F.col("prediction_id") < F.col("n"))).select("task_id", "prediction_id")
 
 
 def fenced_code(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,7 +312,7 @@ f AS (SELECT t.id, len(r) AS rl, len(h) AS hl, coalesce(k.hits, 0) + (o.n > 1)::
 SELECT id, round(100 * CASE WHEN min(least(a, b)) <= 0 THEN 0.0 ELSE exp(sum(ln(greatest(a, 1) / greatest(b, 1))) / 4 + least(0.0, 1 - (any_value(rl) + 1) / (any_value(hl) + 1))) END, 6) AS bleu FROM f GROUP BY id""",
     "polyglot_pass_at_k": f"WITH {TOTALS} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg({PK.format(k)}) FILTER (n >= {k}), 6) AS pass_at_k FROM t" for k in (1, 2, 100)),
     "functional_accuracy": f"WITH {TOTALS} SELECT count(*) AS tasks, round(avg(c / n), 6) AS accuracy FROM t",
-    "named_tasks": "SELECT DISTINCT task_id FROM generation WHERE try_cast(task_id AS INTEGER) BETWEEN (SELECT min(id) FROM repoexec_task) AND (SELECT max(id) FROM repoexec_task)",
+    "named_tasks": f"WITH {R} SELECT task_id, prediction_id FROM r JOIN (SELECT DISTINCT try_cast(task_id AS INTEGER) AS task_id, coalesce(len(response), 0) AS n FROM generation) g USING (task_id) WHERE prediction_id >= 0 AND prediction_id < n",
     "task_totals": f"WITH {TOTALS} SELECT * FROM t",
     "pass_at_k": f"WITH {TOTALS} " + " UNION ALL ".join(f"SELECT {k} AS k, round(avg({PK.format(k)}) FILTER (n >= {k}), 6) AS pass_at_k FROM t" for k in KS),
     "pass_at_k_gated": f"WITH {TOTALS} " + " UNION ALL ".join(f"SELECT {k} AS k, CASE WHEN bool_and(n >= {k}) THEN round(avg({PK.format(k)}), 6) END AS pass_at_k FROM t" for k in KS),
@@ -334,7 +334,7 @@ SELECT repo, target_id, round(len(list_intersect(ref, coalesce(pred, []))) / len
     "run_tallies": f"WITH {R} SELECT CASE WHEN message IS NULL THEN 'none' WHEN starts_with(message, 'failed:') THEN 'failed' ELSE message END AS kind, count(*) AS runs, count(*) FILTER (passed) AS passed FROM r GROUP BY 1",
     "average_candidates": "WITH r AS (SELECT task_id, count(*) AS n, count(*) FILTER (cand_type = 'class') AS k FROM (SELECT DISTINCT task_id, cand_no, cand_type FROM retrieval_result) GROUP BY 1), g AS (SELECT DISTINCT task_id FROM generation) SELECT round(avg(coalesce(n, 0)), 6) AS candidates, round(avg(coalesce(k, 0)), 6) AS classes, count(*) AS tasks FROM g LEFT JOIN r USING (task_id)",
     "resume_antijoin": f"WITH {R}, {A} SELECT CAST(a.task_id AS INTEGER) AS task_id, CAST(answer_no AS INTEGER) AS answer_no FROM a ANTI JOIN (SELECT * FROM r WHERE passed IS NOT NULL) d ON CAST(a.task_id AS INTEGER) = d.task_id AND a.answer_no = d.prediction_id",
-    "missing_numbers": f"WITH {R}, f AS (SELECT task_id, unnest(range(0, max(prediction_id) + 1)) AS prediction_id FROM r GROUP BY task_id) SELECT f.task_id, CAST(f.prediction_id AS INTEGER) AS prediction_id FROM f ANTI JOIN r USING (task_id, prediction_id)",
+    "missing_numbers": "WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), f AS (SELECT l_orderkey, unnest(range(1, max(l_linenumber) + 1)) AS l_linenumber FROM r GROUP BY 1) SELECT f.l_orderkey, CAST(f.l_linenumber AS INTEGER) AS l_linenumber FROM f ANTI JOIN r USING (l_orderkey, l_linenumber)",
     "positional_join": "WITH g AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS place FROM (SELECT DISTINCT CAST(task_id AS INTEGER) AS task_id FROM generation)), t AS (SELECT id, entry_point, row_number() OVER (ORDER BY id) - 1 AS place FROM repoexec_task) SELECT place, task_id, id, entry_point FROM g JOIN t USING (place)",
     "stop_token_truncate": f"WITH {A} SELECT task_id, answer_no, md5(CASE WHEN {_stop} = 2147483647 THEN answer ELSE answer[1 : {_stop} - 1] END) AS cut_md5 FROM a WHERE answer IS NOT NULL",
     "whitespace_squeeze": f"SELECT id, md5(array_to_string({TOK.format('solution')}, ' ')) AS squeezed_md5, len({TOK.format('solution')}) AS tokens FROM repoexec_task",

@@ -183,8 +183,10 @@ def noise_of_imports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def out_count_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Components whose stored out_count is not the length of their calls."""
-    return _once(spark, sf).where(F.col("out_count") != D.out_degree("outgoing_calls")).select("comp_no", "out_count", D.out_degree("outgoing_calls").alias("counted"))
+    """Each component's stored out_count beside the number of its calls that are components of the repository."""
+    c = cut_lineage(_once(spark, sf))
+    known = D.edges(c, "outgoing_calls", "repo", "id").join(c.select("repo", F.col("id").alias("dst_id")), ["repo", "dst_id"], "left_semi").groupBy("repo", "id").agg(F.count(F.lit(1)).alias("n"))
+    return c.join(known, ["repo", "id"], "left").select("comp_no", "out_count", F.coalesce("n", F.lit(0)).cast("int").alias("counted"))
 
 
 def graph_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,7 +307,7 @@ FROM u JOIN c t ON t.repo = u.repo AND t.id = u.id AND t.component_type IN ('cla
     "half_split": SPLIT.format(a=0.8, b=0.9, x="train", y="test", z="valid", s=7),
     "downsample": """WITH p AS (SELECT DISTINCT pair_no, label FROM training_pair WHERE label IN (0, 1)), n AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM p),
 z AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0:' || pair_no), pair_no) AS r FROM p) SELECT pair_no, label FROM z, n WHERE label = 1 OR n0 <= n1 OR r <= n1""",
-    "out_count_check": f"WITH {ONCE} SELECT comp_no, out_count, CAST({DEGREE} AS INTEGER) AS counted FROM c WHERE out_count <> {DEGREE}",
+    "out_count_check": f"WITH {E_SQL}, k AS (SELECT e.repo, e.id, count(*) AS n FROM e SEMI JOIN c ON c.repo = e.repo AND c.id = e.dst_id GROUP BY 1, 2) SELECT comp_no, out_count, CAST(coalesce(n, 0) AS INTEGER) AS counted FROM c LEFT JOIN k ON k.repo = c.repo AND k.id = c.id",
     "graph_lines": f"""WITH {E_SQL}, n AS (SELECT repo, id AS n FROM e UNION SELECT repo, dst_id FROM e)
 SELECT repo, {LABEL.format('n')} || ' ' || n AS line FROM n UNION ALL SELECT DISTINCT repo, {LABEL.format('id')} || ' ' || {LABEL.format('dst_id')} || ' ' || kind FROM e""",
     "modules": "SELECT DISTINCT file_no, repo, replace(regexp_replace(regexp_replace(relative_path, '\\.py$', ''), '/__init__$', ''), '/', '.') AS module FROM source_file WHERE relative_path IS NOT NULL AND len(list_filter(string_split(relative_path, '/'), lambda p: (starts_with(p, '.') AND p <> '.' AND p <> '..') OR p IN ('myenv', 'venv'))) = 0",
