@@ -246,3 +246,12 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read_table(spark, sf_dir, "training_pair")
     s = assign(grouped(pairs), pairs.select("pair_no", "label")).join(pairs.select("pair_no", "label").dropDuplicates(["pair_no"]), "pair_no")
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("group_no").alias("groups"), F.avg((F.col("label") > 0).cast("double")).alias("positive"))
+
+
+#: Path of an id in normal form: forward slashes, no empty, `.` or `..` steps.
+_PATH = """CASE WHEN contains({0}, '@') THEN array_to_string(list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(list_filter(string_split(replace(trim(split_part({0}, '@', -1), ' '), '\\', '/'), '/'), lambda x: x <> '' AND x <> '.'), lambda x: [x])),
+lambda a, b: CASE WHEN b[1] = '..' THEN list_slice(a, 1, len(a) - 1) ELSE list_concat(a, b) END), '/') END"""
+SQL = {"p4_found": f"""WITH RECURSIVE d AS (SELECT DISTINCT pair_no, coalesce(repo, '') AS repo, {_PATH.format('target_id')} AS a, {_PATH.format('context_id')} AS b FROM training_pair),
+e AS (SELECT pair_no, repo, a AS f FROM d WHERE a IS NOT NULL UNION SELECT pair_no, repo, b FROM d WHERE b IS NOT NULL),
+r AS (SELECT pair_no AS root, pair_no AS p FROM d UNION SELECT r.root, o.pair_no FROM r JOIN e ON e.pair_no = r.p JOIN e o ON o.repo = e.repo AND o.f = e.f)
+SELECT root AS pair_no, min(p) AS group_no FROM r GROUP BY root HAVING count(*) > 1"""}

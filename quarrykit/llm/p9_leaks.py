@@ -241,3 +241,15 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     c = without_leaks(docs, "doc_id", "text", _spans(spark, sf_dir))
     return c.select("doc_id", F.length("text").alias("chars_left"), "removed")
+
+
+#: Words of a text for the SQL check: entities decoded, tags out, runs of letters and digits. DuckDB knows no NFKC form, so texts that it changes may differ.
+_PLAIN = "{0}"
+for _entity, _mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_mark}')"
+_WORDS = "regexp_extract_all(lower(regexp_replace(" + _PLAIN + ", '" + TAG.pattern.replace("'", "''").replace("{", "{{").replace("}", "}}") + "', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+_SHINGLES = f"unnest(list_transform(range(1, len(w) - {MIN_WORDS - 2}), lambda i: hash(array_to_string(list_slice(w, i, i + {MIN_WORDS - 1}), ' '))))"
+SQL = {"p9_found": f"""WITH t AS (SELECT id, {_WORDS.format('docstring')} AS w FROM repoexec_task WHERE docstring IS NOT NULL UNION ALL SELECT id, {_WORDS.format('solution')} FROM repoexec_task WHERE solution IS NOT NULL),
+d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+ts AS (SELECT DISTINCT id, {_SHINGLES} AS s FROM t), ds AS (SELECT DISTINCT doc_id, {_SHINGLES} AS s FROM d)
+SELECT DISTINCT doc_id, CAST(id AS INTEGER) AS item_id FROM ds JOIN ts USING (s)"""}
