@@ -56,7 +56,8 @@ MARK_FILES, MARK_REPOS, MARK_SHARE, MARK_ODDS = 8, 3, {"head": 0.5, "path": 0.3}
 #: What marks are learned for.
 LEARNED = ("generated", "vendored")
 #: An n-gram of one in HOT of all files is looked up by broadcast, so that one of a third of all files is not one task's work.
-HOT = 1000
+#: Below HOT_FILES files none is.
+HOT, HOT_FILES = 1000, 10_000
 
 TOKEN = re.compile(
     r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*.*?\*/|\d[\w.]*|\w+|[^\w\s]", re.S
@@ -341,10 +342,12 @@ def _surely(told: Column, n: Column) -> Column:
     return (p + 4.5 / n - 3 * F.sqrt(p * (1 - p) / n + 2.25 / (n * n))) / (1 + 9 / n)
 
 
-def _meet(rows: DataFrame, table: DataFrame, files: int, how: str) -> DataFrame:
-    """Rows with their n-gram's entry of `table`; both hold its number of files, n. N-grams of very many files meet by broadcast: they
-    are at most HOT times the n-grams of a file; so none of them is one task's work."""
-    hot = F.col("n") * HOT >= files
+def _meet(rows: DataFrame, table: DataFrame, hot_from: int | None, how: str) -> DataFrame:
+    """Rows with their n-gram's entry of `table`; both hold its number of files, n. N-grams of `hot_from` files or more meet by broadcast: they
+    are at most HOT times the n-grams of a file; so none of them is one task's work. None: there is no such n-gram."""
+    if hot_from is None:
+        return rows.join(table.drop("n"), "g", how)
+    hot = F.col("n") >= hot_from
     return rows.where(hot).join(F.broadcast(table.where(hot).drop("n")), "g", how).unionByName(rows.where(~hot).join(table.where(~hot).drop("n"), "g", how))
 
 
@@ -359,18 +362,21 @@ def learned(f: DataFrame) -> DataFrame:
     start = f.select("file_no", F.coalesce("repo", F.lit("")).alias("repo"), *[F.coalesce(F.col("grammar_origin") == k, F.lit(False)).cast("int").alias(k) for k in LEARNED])
     each = f.select("file_no", F.explode(F.arrays_zip("mark_line", "mark_new", "mark")).alias("m"))
     each = each.select("file_no", F.col("m.mark_line").alias("at"), F.col("m.mark_new").alias("new"), F.col("m.mark").alias("g"))
-    files = f.count()
     usual = cut_lineage(each.groupBy("g").agg(F.sum("new").alias("n")).where(F.col("n") >= MARK_FILES))
-    hot = F.broadcast(usual.where(F.col("n") * HOT >= files))
-    named = each.join(hot, "g", "left")
-    each = cut_lineage(named.where("n is not null").unionByName(named.where("n is null").drop("n").join(usual.where(F.col("n") * HOT < files), "g")))
+    most = usual.agg(F.max("n")).first()[0] or 0
+    hot_from = max(HOT_FILES, -(-f.count() // HOT)) if most >= HOT_FILES else None
+    if hot_from is None:
+        each = cut_lineage(each.join(usual, "g"))
+    else:
+        named = each.join(F.broadcast(usual.where(F.col("n") >= hot_from)), "g", "left")
+        each = cut_lineage(named.where("n is not null").unionByName(named.where("n is null").drop("n").join(usual.where(F.col("n") < hot_from), "g")))
     known, scores = start, None
     for judge in (("head",), ("head", "path")):
         told = known.where(" or ".join(f"{k} = 1" for k in LEARNED))
         rows = each if "path" in judge else each.where("at >= 0")
         grams = rows.where("new = 1").join(told, "file_no").groupBy("g", "repo").agg(F.first("n").alias("n"), *[F.sum(k).alias(k) for k in LEARNED])
         grams = cut_lineage(grams.groupBy("g").agg(F.first("n").alias("n"), *[F.sum(k).alias(f"told_{k}") for k in LEARNED], *[F.count_if(F.col(k) > 0).alias(f"repos_{k}") for k in LEARNED]))
-        by_line = _meet(rows, grams, files, "left").groupBy("file_no", "at").agg(
+        by_line = _meet(rows, grams, hot_from, "left").groupBy("file_no", "at").agg(
             *[F.avg(F.coalesce(F.col(f"told_{k}") / F.col("n"), F.lit(0.0))).alias(f"head_{k}") for k in LEARNED],
             *[F.max(F.when(F.col(f"repos_{k}") >= MARK_REPOS, _surely(F.col(f"told_{k}"), F.col("n")))).alias(f"path_{k}") for k in LEARNED], F.count(F.lit(1)).alias("grams"))
         in_head = (F.col("at") >= 0) & (F.col("grams") >= 2)
