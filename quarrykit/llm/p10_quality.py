@@ -249,7 +249,7 @@ def _summed_tails(long: DataFrame, documents: int) -> DataFrame:
     high = (F.col("total") - F.col("below") + 1) / (F.col("total") + 1)
     side = F.create_map(*[x for s in SCORED for x in (F.lit(s), F.lit(TAIL[s]))])[F.col("stat")]
     tail = F.when(side < 0, low).when(side > 0, high).otherwise(2 * F.least(low, high))
-    tails = cut_lineage(ranks.select("lang", "stat", "value", "docs", (-F.log(F.least(F.lit(1.0), F.greatest(F.lit(LEAST_TAIL), tail)))).alias("s")))
+    tails = ranks.select("lang", "stat", "value", "docs", (-F.log(F.least(F.lit(1.0), F.greatest(F.lit(LEAST_TAIL), tail)))).alias("s"))
     # values that very many documents share come by broadcast; so no value is one task's work
     heavy = tails.where(F.col("docs") * HEAVY >= documents).select("lang", "stat", "value", F.col("s").alias("heavy"))
     met = long.select("key", "lang", "stat", "value").join(F.broadcast(heavy), ["lang", "stat", "value"], "left")
