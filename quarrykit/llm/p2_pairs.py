@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quarrykit.runtime import cut_lineage, read_table, spread
 
 #: Texts that the naive Bayes model is fitted on at most; buckets of its hashed n-grams; sizes of them.
-SAMPLE, BUCKETS, SIZES = 8_000, 1 << 16, (1, 2, 3)
+SAMPLE, BUCKETS, SIZES = 8_000, 1 << 16, (2, 3)
 #: Log-odds of the answer's language over the prompt's, per n-gram, from which they differ; letters of prose or code an answer needs for that.
 ODDS, CODE_ODDS, LETTERS, CODE_LETTERS = 0.08, 0.1, 12, 40
 #: Share of the places of an n-gram that end an answer, and share of all ends it makes, below which it is an unlikely end; times it must have been seen.
@@ -161,14 +161,14 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_languages(rows: list[tuple[str, str]]) -> np.ndarray:
-    """Log probabilities (bucket, language) of a multinomial naive Bayes model with equal priors; -inf for a language without texts."""
-    counts = np.full((BUCKETS, len(LANGUAGES)), 0.1)
+    """Log probabilities (language, bucket) of a multinomial naive Bayes model with equal priors; -inf for a language without texts."""
+    counts = np.full((len(LANGUAGES), BUCKETS), 0.1)
     for i, lang in enumerate(LANGUAGES):
         mine = [t for x, t in rows if x == lang]
         for a, b in _blocks(mine):
-            counts[:, i] += np.bincount(gram_buckets(mine[a:b])[1], minlength=BUCKETS)
+            counts[i] += np.bincount(gram_buckets(mine[a:b])[1], minlength=BUCKETS)
     known = np.array([any(x == lang for x, _ in rows) for lang in LANGUAGES])
-    return np.where(known, np.log(counts / counts.sum(axis=0)), -np.inf).astype(np.float32)
+    return np.where(known[:, None], np.log(counts / counts.sum(axis=1, keepdims=True)), -np.inf).astype(np.float32)
 
 
 def posteriors(model: np.ndarray, texts: list[str], languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
@@ -179,7 +179,7 @@ def posteriors(model: np.ndarray, texts: list[str], languages: tuple[str, ...] =
         who, bucket = gram_buckets(texts[a:b])
         n = np.maximum(np.bincount(who, minlength=b - a), 1)
         for i in map(LANGUAGES.index, languages):
-            out[a:b, i] = np.bincount(who, model[bucket, i], minlength=b - a) / n
+            out[a:b, i] = np.bincount(who, model[i][bucket], minlength=b - a) / n
         for k, t in enumerate(texts[a:b], a):
             if t.isascii():
                 cjk = foreign = 0
@@ -211,8 +211,10 @@ def _kind_table() -> np.ndarray:
 
 KIND = _kind_table()
 TICKS = re.compile(r"`{3,}")
-M = np.uint64(0x9E3779B97F4A7C15)
-KEYWORD_HASH = np.array(sorted(int(np.bitwise_xor.reduce(np.array([(ord(c) * (i + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) for i, c in enumerate(w)], np.uint64))) for w in KEYWORDS), np.uint64)
+#: Weights of a word's characters by their place, for telling keywords by a sum.
+PLACE_POWER = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(16)], np.uint32)
+_sums = {w: sum(ord(c) * int(PLACE_POWER[i]) for i, c in enumerate(w)) % (1 << 32) for w in KEYWORDS}
+KEYWORD_HASH = np.array(sorted(_sums.values()), np.uint32)
 SENTENCE = {ord(c): ord(".") for c in "。．"} | {ord("！"): ord("!"), ord("？"): ord("?"), ord("…"): ord(".")}
 
 
@@ -220,8 +222,8 @@ def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, n-gram, whether it ends its text) of every token: the kinds of the last three tokens, and whether a bracket, a quote of
     the line, or a fence is open behind them. Texts end where their white space at the end begins."""
     flat = [t.rstrip().translate(SENTENCE) if not t.isascii() else t.rstrip() for t in texts]
-    codes = np.frombuffer("\n".join(flat + [""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(flat)), [len(t) + 1 for t in flat])
+    codes = np.frombuffer("\n".join(flat + [""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int32)
+    owner = np.repeat(np.arange(len(flat), dtype=np.int32), [len(t) + 1 for t in flat])
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     low = np.minimum(codes, 127)
@@ -231,16 +233,17 @@ def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def since(x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sum of x from the place `at` up to each place."""
-        total = np.cumsum(x)
+        total = np.cumsum(x, dtype=np.int32)
         return total - total[at] + x[at]
 
     text_at = np.repeat(start_of, np.diff(np.append(start_of, len(codes))))
     line_start = np.concatenate([[True], (kind[:-1] == 1) | bound[1:]])
-    line_at = np.maximum.accumulate(np.where(line_start, np.arange(len(codes)), 0))
+    here = np.arange(len(codes), dtype=np.int32)
+    line_at = np.maximum.accumulate(np.where(line_start, here, 0))
     depth = since(DEPTH[low], text_at) > 0
-    quotes = since((codes == 34).astype(np.int64), line_at) % 2 | since((codes == 39).astype(np.int64), line_at) % 2
+    quotes = since(codes == 34, line_at) % 2 | since(codes == 39, line_at) % 2
     run = (codes == 96) & np.concatenate([codes[1:] == 96, [False]]) & np.concatenate([codes[2:] == 96, [False, False]])
-    fences = since((run & ~np.concatenate([[False], run[:-1]])).astype(np.int64), text_at) % 2
+    fences = since(run & ~np.concatenate([[False], run[:-1]]), text_at) % 2
     word = (kind == 2) | (kind == 3)
     begins = (kind != 0) & ~(word & np.concatenate([[False], word[:-1]]) & ~bound)
     begins &= ~((kind == 1) & np.concatenate([(owner[1:] != owner[:-1]), [True]]))  # the line end that parts texts is no token
@@ -248,14 +251,13 @@ def end_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     stop = np.append(at[1:], len(codes)) - 1
-    place = np.arange(len(codes)) - np.maximum.accumulate(np.where(begins, np.arange(len(codes)), 0))
-    letters = np.where(word, codes.astype(np.uint64) * (place.astype(np.uint64) + np.uint64(1)) * M, np.uint64(0))
-    hashed = np.bitwise_xor.reduceat(letters, at)
+    place = np.minimum(here - np.maximum.accumulate(np.where(begins, here, 0)), len(PLACE_POWER) - 1)
+    hashed = np.add.reduceat(np.where(word, codes.view(np.uint32) * PLACE_POWER[place], np.uint32(0)), at, dtype=np.uint32)
     found = np.minimum(np.searchsorted(KEYWORD_HASH, hashed), len(KEYWORDS) - 1)
-    k = np.where((kind[at] == 2) & (KEYWORD_HASH[found] == hashed), 200 + found, kind[at])
+    k = np.where((kind[at] == 2) & (KEYWORD_HASH[found] == hashed), 200 + found, kind[at]).astype(np.int64)
     who = owner[at]
     # the state behind the token: at its last character that is no space
-    last = np.maximum.accumulate(np.where(kind != 0, np.arange(len(codes)), 0))[stop]
+    last = np.maximum.accumulate(np.where(kind != 0, here, 0))[stop]
     last = np.where((kind[last] == 1) & (codes[last] == 10) & (last > at), last - 1, last)
     state = depth[last].astype(np.int64) | quotes[last] << 1 | fences[last] << 2
     one = np.concatenate([[0], np.where(who[1:] == who[:-1], k[:-1] + 1, 0)])
