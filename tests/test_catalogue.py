@@ -15,6 +15,8 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 def plain(v):
+    if isinstance(v, (np.ndarray, list, dict)):
+        return str(v.tolist() if isinstance(v, np.ndarray) else v)
     if v is None or v != v or str(v) in ("NaT", "<NA>"):
         return None
     if isinstance(v, (bool, np.bool_)):
