@@ -79,7 +79,7 @@ def bm25_shared(cands: DataFrame, bodies: DataFrame, queries: DataFrame, task: s
     Candidates carry counts of hashed terms, never texts. For idf the candidates' terms are counted by task, before the shuffle. The
     query's weights then come to the candidates as one map a task - of the query's own terms - and scores are summed inside the row. Tasks and components
     that very many rows name meet by broadcast."""
-    terms = cut_lineage(component_terms(bodies, key, text))
+    terms = component_terms(bodies, key, text)
     q = queries.select(task, F.explode(tokens(F.col(query))).alias("_t")).groupBy(task, F.xxhash64("_t").alias("term")).agg(F.count(F.lit(1)).alias("qn"))
     docs = cut_lineage(lookup(cands.select(task, doc, key), terms, [key]).select(task, doc, "dl", "terms"))
     sizes = docs.groupBy(task).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -89,7 +89,7 @@ def bm25_shared(cands: DataFrame, bodies: DataFrame, queries: DataFrame, task: s
     kept = raw.groupBy(task).agg(F.avg("raw").alias("mean"), F.collect_list(F.when(F.col("qn").isNotNull(), F.struct("term", "raw", "qn"))).alias("w"))
     weight = F.map_from_entries(F.transform("w", lambda x: F.struct(x["term"], x["qn"] * F.when(x["raw"] < 0, EPSILON * F.col("mean")).otherwise(x["raw"]))))
     asked = sizes.join(queries.select(task).dropDuplicates([task]), task, "left_semi").join(kept.select(task, weight.alias("weights")), task, "left")
-    met = lookup(docs, cut_lineage(asked), [task])
+    met = lookup(docs, asked, [task])
     norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     hits = F.filter("terms", lambda t: F.map_contains_key(F.col("weights"), t["term"]))
     score = F.aggregate(hits, F.lit(0.0), lambda acc, t: acc + F.element_at(F.col("weights"), t["term"]) * t["tf"] * (k1 + 1) / (t["tf"] + norm))
