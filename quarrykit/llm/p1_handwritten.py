@@ -375,7 +375,8 @@ def learned(f: DataFrame) -> DataFrame:
         told = known.where(" or ".join(f"{k} = 1" for k in LEARNED))
         rows = each if "path" in judge else each.where("at >= 0")
         grams = rows.where("new = 1").join(told, "file_no").groupBy("g", "repo").agg(F.first("n").alias("n"), *[F.sum(k).alias(k) for k in LEARNED])
-        grams = cut_lineage(grams.groupBy("g").agg(F.first("n").alias("n"), *[F.sum(k).alias(f"told_{k}") for k in LEARNED], *[F.count_if(F.col(k) > 0).alias(f"repos_{k}") for k in LEARNED]))
+        grams = grams.groupBy("g").agg(F.first("n").alias("n"), *[F.sum(k).alias(f"told_{k}") for k in LEARNED], *[F.count_if(F.col(k) > 0).alias(f"repos_{k}") for k in LEARNED])
+        grams = grams if hot_from is None else cut_lineage(grams)
         by_line = _meet(rows, grams, hot_from, "left").groupBy("file_no", "at").agg(
             *[F.avg(F.coalesce(F.col(f"told_{k}") / F.col("n"), F.lit(0.0))).alias(f"head_{k}") for k in LEARNED],
             *[F.max(F.when(F.col(f"repos_{k}") >= MARK_REPOS, _surely(F.col(f"told_{k}"), F.col("n")))).alias(f"path_{k}") for k in LEARNED], F.count(F.lit(1)).alias("grams"))
