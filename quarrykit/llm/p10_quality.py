@@ -84,7 +84,8 @@ SCORED, LEAST_TAIL = ("symbol_ratio", "digit_ratio", "line_end_share", "common_s
 #: Score from which a document is found, and below which it is not; between them the share of prose is looked at.
 CLEAR, POSSIBLE = 30.0, 11.0
 #: A value that one in HEAVY of all documents has is joined back by broadcast: at most that many values a statistic.
-HEAVY = 1000
+#: Where one in HEAVY is fewer than HEAVY_DOCS documents, all values meet in one join, with the same result.
+HEAVY, HEAVY_DOCS = 1000, 1000
 #: Fixed reference: each statistic's quantiles over the 6,247 documents of sf0.1 whose prose share is at least 0.5.
 QUANTILES = (0.001, 0.01, 0.1, 0.5, 0.9, 0.99, 0.999)
 REFERENCE = {
@@ -249,10 +250,14 @@ def _summed_tails(long: DataFrame, documents: int) -> DataFrame:
     high = (F.col("total") - F.col("below") + 1) / (F.col("total") + 1)
     side = F.create_map(*[x for s in SCORED for x in (F.lit(s), F.lit(TAIL[s]))])[F.col("stat")]
     tail = F.when(side < 0, low).when(side > 0, high).otherwise(2 * F.least(low, high))
-    tails = cut_lineage(ranks.select("lang", "stat", "value", "docs", (-F.log(F.least(F.lit(1.0), F.greatest(F.lit(LEAST_TAIL), tail)))).alias("s")))
+    tails = ranks.select("lang", "stat", "value", "docs", (-F.log(F.least(F.lit(1.0), F.greatest(F.lit(LEAST_TAIL), tail)))).alias("s"))
+    rows = long.select("key", "lang", "stat", "value")
+    if documents < HEAVY * HEAVY_DOCS:  # no value that counts as heavy has so many documents that it were a task's work
+        return rows.join(tails, ["lang", "stat", "value"]).groupBy("key", "lang").agg(F.sum("s").alias("score"))
+    tails = cut_lineage(tails)
     # values that very many documents share come by broadcast; so no value is one task's work
     heavy = tails.where(F.col("docs") * HEAVY >= documents).select("lang", "stat", "value", F.col("s").alias("heavy"))
-    met = long.select("key", "lang", "stat", "value").join(F.broadcast(heavy), ["lang", "stat", "value"], "left")
+    met = rows.join(F.broadcast(heavy), ["lang", "stat", "value"], "left")
     rest = met.where("heavy is null").drop("heavy").join(tails.select("lang", "stat", "value", "s"), ["lang", "stat", "value"])
     both = met.where("heavy is not null").select("key", "lang", F.col("heavy").alias("s")).unionByName(rest.select("key", "lang", "s"))
     return both.groupBy("key", "lang").agg(F.sum("s").alias("score"))

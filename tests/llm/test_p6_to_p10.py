@@ -201,9 +201,13 @@ def test_exact_ranks(spark):
     assert got == {(*k, x): (sum(y == x for y, _ in v), sum(c for y, c in v if y == x), sum(c for y, c in v if y < x), sum(c for _, c in v)) for k, v in by.items() for x, _ in v}
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("heavy", [1000, 0])
+def test_scores_against_brute_force(spark, monkeypatch, heavy):
+    """The same scores whether common values meet by broadcast or with all others."""
     import numpy as np
 
+    monkeypatch.setattr(p10, "HEAVY_DOCS", heavy)
+
     rng = np.random.default_rng(8)
     n = 900
     junk = rng.random(n) < 0.3
