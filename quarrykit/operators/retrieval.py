@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarrykit.functions.text import tokens
 from quarrykit.functions.vectors import softmax_positive
 from quarrykit.operators.skew import lookup
-from quarrykit.runtime import cut_lineage, spread
+from quarrykit.runtime import cut_lineage, spread, widened
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -81,7 +81,7 @@ def bm25_shared(cands: DataFrame, bodies: DataFrame, queries: DataFrame, task: s
     that very many rows name meet by broadcast."""
     terms = component_terms(bodies, key, text)
     q = queries.select(task, F.explode(tokens(F.col(query))).alias("_t")).groupBy(task, F.xxhash64("_t").alias("term")).agg(F.count(F.lit(1)).alias("qn"))
-    docs = cut_lineage(lookup(cands.select(task, doc, key), terms, [key]).select(task, doc, "dl", "terms"))
+    docs = widened(cut_lineage(lookup(cands.select(task, doc, key), terms, [key]).select(task, doc, "dl", "terms")))
     sizes = docs.groupBy(task).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = docs.select(task, F.explode("terms.term").alias("term")).groupBy(task, "term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(sizes, task).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).join(q, [task, "term"], "left")

@@ -132,3 +132,10 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
         return df
     n = parts_for(df)
     return df.repartition(n, *[F.col(c) for c in by]) if by else df.repartition(n)
+
+
+def widened(written: DataFrame) -> DataFrame:
+    """A table cut from its lineage, in at least as many parts as there are slots: small ones are put together into few when they are
+    written, and would then keep most slots idle. Large ones stay as they are."""
+    n = slots(written.sparkSession)
+    return written.repartition(n) if written.rdd.getNumPartitions() < n else written
